@@ -2,15 +2,60 @@
 
 from __future__ import annotations
 
-from . import mixing
+import hashlib
+
+from pyspark.sql import functions as F
+
+from . import bpe, chat, imatch, mixing, quality
+
+#: The rank file of the queries; a parameter of the operators.
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def tokenizer() -> tuple[str, str]:
+    """Path of the rank file and the splitting pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_bpe(spark, sf_dir):
+    names = [str(i) for i in range(1 << 17)]
+
+    def digest(ids, data):
+        return hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(data).hexdigest()
+
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), *tokenizer())
+    return bpe.decode(encoded, *tokenizer(), digest, "ids_sha256 string, decoded_sha256 string")
+
+
+def op3_document_fingerprints(spark, sf_dir):
+    return imatch.near_edits(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_formatting(spark, sf_dir):
+    hard = r"\### Assistant: </turn> ok"
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], given.schema)
+    return chat.read_back(chat.format_turns(given.unionByName(added), *tokenizer()), *tokenizer())
 
 
 def op5_mixing(spark, sf_dir):
-    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def queries():
-    return {"op5_mixing": op5_mixing}
+    return {f.__name__: f for f in (op1_bpe, op3_document_fingerprints, op5_mixing, op7_chat_formatting, op9_quality_classifier)}
 
 
 def oracle_sql():
