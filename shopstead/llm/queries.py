@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, imatch, mixing, quality
+from . import bpe, chat, imatch, jaccard, mixing, quality, substrings
 
 #: The rank file of the queries; a parameter of the operators.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -37,6 +37,10 @@ def op3_document_fingerprints(spark, sf_dir):
     return imatch.near_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.ngram_join(table(spark, sf_dir, "documents"), width=4, num=85)
+
+
 def op7_chat_formatting(spark, sf_dir):
     hard = r"\### Assistant: </turn> ok"
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -54,8 +58,16 @@ def op9_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    def digest(data, kept, gone):
+        return len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()
+
+    columns = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return substrings.cut_repeats(table(spark, sf_dir, "documents"), 100, digest, columns)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op3_document_fingerprints, op5_mixing, op7_chat_formatting, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_bpe, op3_document_fingerprints, op5_mixing, op6_ngram_jaccard_join, op7_chat_formatting, op9_quality_classifier, op10_suffix_dedup)}
 
 
 def oracle_sql():
