@@ -154,7 +154,7 @@ def _rivals(sets: DataFrame, num: int, den: int) -> DataFrame:
     return found
 
 
-def _tree_links(sets: DataFrame, rivals: DataFrame, num: int, den: int) -> DataFrame:
+def tree_links(sets: DataFrame, rivals: DataFrame, num: int, den: int = 100) -> DataFrame:
     """(a, b) links that connect what the ratio connects. Each group of rivals is cut by hash into blocks of bounded
     size; each pair of blocks is one piece of work, wherever it runs."""
     sized = sets.select("doc_id", "n").join(rivals.withColumnRenamed("id", "doc_id"), "doc_id")
@@ -216,7 +216,7 @@ def ngram_join(docs: DataFrame, width: int, num: int, den: int = 100) -> DataFra
     classes = stored(near.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), "classes")
     sets = stored(_sets_of(docs, classes, width), "sets")
     rivals = _rivals(sets, num, den)
-    joined = components(_tree_links(sets, rivals, num, den))
+    joined = components(tree_links(sets, rivals, num, den))
     dropped(sets, rivals)
     roots = classes.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("component", "doc_id").alias("component_id"))
     return known.join(roots, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

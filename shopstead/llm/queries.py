@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, imatch, jaccard, mixing, quality, substrings
+from . import bpe, caps, chat, imatch, jaccard, lines, mixing, quality, substrings
 
 #: The rank file of the queries; a parameter of the operators.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -33,6 +33,15 @@ def op1_bpe(spark, sf_dir):
     return bpe.decode(encoded, *tokenizer(), digest, "ids_sha256 string, decoded_sha256 string")
 
 
+def op2_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, lines.kept_sha256, "kept_sha256 string").select("doc_id", "n_dropped", "kept_sha256")
+
+
+def op4_embedding_dedup(spark, sf_dir):
+    return caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_document_fingerprints(spark, sf_dir):
     return imatch.near_edits(table(spark, sf_dir, "documents"))
 
@@ -67,7 +76,7 @@ def op10_suffix_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op3_document_fingerprints, op5_mixing, op6_ngram_jaccard_join, op7_chat_formatting, op9_quality_classifier, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_document_fingerprints, op4_embedding_dedup, op5_mixing, op6_ngram_jaccard_join, op7_chat_formatting, op9_quality_classifier, op10_suffix_dedup)}
 
 
 def oracle_sql():
