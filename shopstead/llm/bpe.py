@@ -162,10 +162,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, digest=None, columns: str = "decoded binary") -> DataFrame:
-    """encoded with the bytes of its ids as column decoded. With digest, a function of (ids, bytes) that returns the
-    values of `columns`, those come instead of ids and decoded."""
-    schema = [f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema if f.name != "ids" or digest is None]
+def decode(encoded: DataFrame, path: str, pattern: str, digest=None, columns: str = "decoded binary", keep_ids: bool = True) -> DataFrame:
+    """encoded with the bytes of its ids as column decoded; with digest, a function of (ids, bytes), the values of
+    `columns` instead."""
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema if f.name != "ids" or keep_ids]
     names = [s.split(" ")[0] for s in schema]
     new = [c.strip().split(" ")[0] for c in columns.split(",")]
 

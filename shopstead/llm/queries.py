@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from . import bpe, caps, chat, imatch, jaccard, lines, mixing, quality, substrings
+from . import bpe, caps, chat, imatch, jaccard, kneser_ney, lines, mixing, quality, substrings
 
 #: The rank file of the queries; a parameter of the operators.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -23,14 +23,18 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_bpe(spark, sf_dir):
+def encoded_and_decoded(docs, keep_ids=False):
+    """Ids of each document and what they decode to, as digests; the ids themselves, too, where asked."""
     names = [str(i) for i in range(1 << 17)]
 
     def digest(ids, data):
         return hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(data).hexdigest()
 
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), *tokenizer())
-    return bpe.decode(encoded, *tokenizer(), digest, "ids_sha256 string, decoded_sha256 string")
+    return bpe.decode(bpe.encode(docs, *tokenizer()), *tokenizer(), digest, "ids_sha256 string, decoded_sha256 string", keep_ids)
+
+
+def op1_bpe(spark, sf_dir):
+    return encoded_and_decoded(table(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark, sf_dir):
@@ -61,6 +65,11 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark, sf_dir):
+    out = kneser_ney.held_out(F.col("doc_id"))
+    return kneser_ney.score(table(spark, sf_dir, "documents"), ~out).withColumn("held_out", out)
+
+
 def op9_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
@@ -76,7 +85,7 @@ def op10_suffix_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_document_fingerprints, op4_embedding_dedup, op5_mixing, op6_ngram_jaccard_join, op7_chat_formatting, op9_quality_classifier, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_document_fingerprints, op4_embedding_dedup, op5_mixing, op6_ngram_jaccard_join, op7_chat_formatting, op8_lm_scoring, op9_quality_classifier, op10_suffix_dedup)}
 
 
 def oracle_sql():
