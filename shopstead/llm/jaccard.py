@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, blob_batch, chunks_of, dealt, documents, dropped, mix64, n_buckets, stored
+from .common import BLOBS, blob_batch, bucket_records, chunks_of, dealt, documents, dropped, mix64, n_buckets, stored
 from .components import components
 from .rolling import Rolling, code_points, lower_ascii, words_of
 from .sigtree import Block, links
@@ -44,7 +44,8 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _deal(ids: list[int], sets: list[np.ndarray], nb: int):
-    """Blobs of (element, set) by bucket of the element; each starts with the ids of the sets that occur in it."""
+    """Blobs of (element, set) by bucket of the element; each starts with the ids of the sets that occur in it and with
+    a number for the chunk, where its counts are to meet again."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     h = np.concatenate(sets)
     if not len(h):
@@ -60,64 +61,91 @@ def _deal(ids: list[int], sets: list[np.ndarray], nb: int):
         new = np.r_[True, own[1:] != own[:-1]]
         local = (np.cumsum(new) - 1).astype(np.uint16)
         here = names[own[new]]
-        yield int(bucket[s]), np.array([len(here), e - s], np.int64).tobytes() + here.tobytes() + low[s:e].tobytes() + local.tobytes()
+        yield int(bucket[s]), np.array([len(here), e - s, ids[0]], np.int64).tobytes() + here.tobytes() + low[s:e].tobytes() + local.tobytes()
 
 
 def _shared_counts(blobs: list[bytes]):
-    """Of the sets in one bucket's blobs: how many of their elements occur in another set, too."""
-    ids, low, own, base = [], [], [], 0
-    for x in blobs:
-        m, n = np.frombuffer(x, np.int64, 2)
-        ids.append(np.frombuffer(x, np.int64, m, 16))
-        low.append(np.frombuffer(x, np.uint32, n, 16 + 8 * m))
-        own.append(np.frombuffer(x, np.uint16, n, 16 + 8 * m + 4 * n).astype(np.int32) + base)
-        base += int(m)
-    ids, low, own = np.concatenate(ids), np.concatenate(low), np.concatenate(own)
+    """Of the sets in one bucket's blobs: how many of their elements occur in another set, too; by chunk."""
+    heads = [np.frombuffer(x, np.int64, 3) for x in blobs]
+    low = np.concatenate([np.frombuffer(x, np.uint32, n, 24 + 8 * m) for x, (m, n, _) in zip(blobs, heads)])
+    base = np.cumsum([0] + [int(h[0]) for h in heads])
+    own = np.concatenate([np.frombuffer(x, np.uint16, n, 24 + 8 * m + 4 * n).astype(np.int32) + b for x, (m, n, _), b in zip(blobs, heads, base)])
     order = np.argsort(low, kind="stable")
     low = low[order]
     same = low[1:] == low[:-1]
     shared = np.r_[False, same] | np.r_[same, False]
-    counts = np.bincount(own[order][shared], minlength=len(ids))
-    some = counts > 0
-    return ids[some], counts[some]
+    counts = np.bincount(own[order][shared], minlength=base[-1])
+    for x, (m, _, chunk), b in zip(blobs, heads, base):
+        c = counts[b : b + m]
+        if c.any():
+            yield int(chunk), np.c_[np.frombuffer(x, np.int64, m, 24)[c > 0], c[c > 0]].astype(np.int64).tobytes()
 
 
-def profile(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), k1, k2 (set key), shared (elements that some other document has, too), a row a doc_id."""
-    nb = n_buckets(docs, _CHARS)
+_COUNTS = "bucket long, blob binary"
 
-    def deal(batches):
-        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 12_000_000):
-            for a in range(0, len(ids), 20_000):
-                sets = [s for b in range(a, min(a + 20_000, len(ids)), 400) for s in shingle_sets(texts[b : min(b + 400, a + 20_000)], width)]
-                part = ids[a : a + 20_000]
-                keys = np.array([(i, len(s), *set_key(s)) for i, s in zip(part, sets)], np.int64)
-                yield blob_batch([*_deal(part, sets, nb), (nb + int(keys[0, 0]) % nb, keys.tobytes())])
+
+def _count_shared(blobs: DataFrame, nb: int) -> DataFrame:
+    """(doc_id, shared): how many elements of each set another set has. Counts go back to their chunk as blobs, so that
+    the rows between stages number chunks times buckets, not sets times buckets."""
 
     def count(batches):
-        def out(ids, shared, n, k1, k2):
-            null = pa.nulls(len(ids), pa.int64())
-            cols = [null if c is None else pa.array(c, pa.int64()) for c in (ids, shared, n, k1, k2)]
-            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "shared", "n", "k1", "k2"])
+        def out(pairs):
+            pairs = list(pairs)
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.binary())], names=["bucket", "blob"])
 
         now, held = None, []
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if b >= nb:
-                    keys = np.frombuffer(blob, np.int64).reshape(-1, 4)
-                    yield out(keys[:, 0], np.zeros(len(keys), np.int64), keys[:, 1], keys[:, 2], keys[:, 3])
-                    continue
                 if b != now and held:
-                    yield out(*_shared_counts(held), None, None, None)
+                    yield out(_shared_counts(held))
                     held = []
                 now = b
                 held.append(blob)
         if held:
-            yield out(*_shared_counts(held), None, None, None)
+            yield out(_shared_counts(held))
+
+    def total(batches):
+        for pairs in bucket_records(batches, np.int64):
+            pairs = pairs.reshape(-1, 2)
+            ids, back = np.unique(pairs[:, 0], return_inverse=True)
+            sums = np.zeros(len(ids), np.int64)
+            np.add.at(sums, back, pairs[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums)], names=["doc_id", "shared"])
+
+    met = dealt(blobs, nb).mapInArrow(count, _COUNTS)
+    back = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(total, "doc_id long, shared long")
+    return back.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+
+
+def profile(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n (set size), k1, k2 (set key), a row a doc_id."""
+
+    def keys(batches):
+        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 2_000_000):
+            rows = np.array([(i, len(s), *set_key(s)) for i, s in zip(ids, shingle_sets(texts, width))], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], names=["doc_id", "n", "k1", "k2"])
 
-    blobs = docs.where("doc_id is not null").mapInArrow(deal, BLOBS)
-    rows = dealt(blobs, 2 * nb).mapInArrow(count, "doc_id long, shared long, n long, k1 long, k2 long")
-    return rows.groupBy("doc_id").agg(F.sum("shared").alias("shared"), *[F.max(c).alias(c) for c in ("n", "k1", "k2")])
+    rows = docs.where("doc_id is not null").mapInArrow(keys, "doc_id long, n long, k1 long, k2 long")
+    return rows.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("n", "k1", "k2")])
+
+
+def _dealt_texts(docs: DataFrame, width: int, nb: int) -> DataFrame:
+    def deal(batches):
+        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 12_000_000):
+            for a in range(0, len(ids), 20_000):
+                sets = [s for b in range(a, min(a + 20_000, len(ids)), 400) for s in shingle_sets(texts[b : min(b + 400, a + 20_000)], width)]
+                yield blob_batch(_deal(ids[a : a + 20_000], sets, nb))
+
+    return docs.where("doc_id is not null").mapInArrow(deal, BLOBS)
+
+
+def _dealt_sets(sets: DataFrame, nb: int) -> DataFrame:
+    def deal(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield blob_batch(_deal(batch.column(0).to_pylist(), [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()], nb))
+
+    return sets.select("doc_id", "items").mapInArrow(deal, BLOBS)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -202,7 +230,8 @@ def ngram_join(docs: DataFrame, width: int, num: int, den: int = 100) -> DataFra
     their sets of word n-grams (ASCII lower case; words are runs of no ASCII white space).
 
     1. Elements are dealt by hash; a document can link only if at least num/den of its elements occur elsewhere.
-    2. Of those, equal sets become one; sets that share a prefix element form groups that no link leaves.
+    2. Of those, equal sets become one, and the same test is made again among what is left; sets that share a prefix
+       element form groups that no link leaves.
     3. In each group signature trees prune by greatest possible overlap, exact intersections decide, and found links
        are merged by distributed connected components.
     No link between different sets is lost; within a group, pairs already connected are not compared again.
@@ -211,10 +240,17 @@ def ngram_join(docs: DataFrame, width: int, num: int, den: int = 100) -> DataFra
     without doc_id are left out, and so are extra columns. Empty tables give empty results.
     """
     docs = documents(docs)
+    nb = n_buckets(docs, _CHARS)
     known = stored(profile(docs, width), "profile")
-    near = known.where(F.col("n") > 0).where(F.col("shared") * den >= F.col("n") * num)
+    shared = _count_shared(_dealt_texts(docs, width, nb), nb)
+    enough = F.col("shared") * den >= F.col("n") * num
+    near = known.join(shared, "doc_id").where(enough)
     classes = stored(near.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), "classes")
-    sets = stored(_sets_of(docs, classes, width), "sets")
+    every = stored(_sets_of(docs, classes, width), "sets")
+    # once more among classes: what only equal copies shared is out
+    again = _count_shared(_dealt_sets(every, nb), nb)
+    sets = stored(every.join(again, "doc_id").where(enough).select("doc_id", "n", "items"), "near")
+    dropped(every)
     rivals = _rivals(sets, num, den)
     joined = components(tree_links(sets, rivals, num, den))
     dropped(sets, rivals)

@@ -14,6 +14,8 @@ from .rolling import Rolling
 Q = 24
 #: Unresolved suffixes of one bucket that a task takes at once; larger buckets are split by window hash.
 SPLIT = 20_000
+#: Characters that a task samples at once: some 20 arrays of 8 bytes a character are in memory meanwhile.
+CHUNK = 1_500_000
 _CHARS = 16_000_000
 _PLACE = np.uint64((1 << 30) - 1)
 SUFFIX = np.dtype([("t", "<u4"), ("s", "<u8"), ("d", "<i8"), ("p", "<i4"), ("n", "u1"), ("o", "u1")])
@@ -108,7 +110,7 @@ def _first_pass(docs: DataFrame, length: int) -> DataFrame:
     nb = n_buckets(docs, _CHARS)
 
     def deal(batches):
-        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text"):
+        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", CHUNK):
             h, rec = sampled(ids, [t.encode("utf-8", "surrogatepass") for t in texts], length)
             if not len(rec):
                 continue
