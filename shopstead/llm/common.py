@@ -6,9 +6,12 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 #: Words as every operator here counts them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +51,17 @@ def documents(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
 
 
+@F.pandas_udf(BinaryType())
+def packed(text: pd.Series) -> pd.Series:
+    """UTF-8 bytes under zstandard: a text that is only passed on crosses the shuffle at about half the size."""
+    c = zstandard.ZstdCompressor(level=1)
+    return pd.Series([None if t is None else c.compress(t.encode("utf-8", "surrogatepass")) for t in text], dtype=object)
+
+
+def unpacked(z: bytes | None) -> bytes:
+    return b"" if z is None else zstandard.ZstdDecompressor().decompress(z)
+
+
 def n_buckets(docs: DataFrame, chars: int = CHARS_PER_BUCKET) -> int:
     """Buckets for a packed shuffle, in proportion to the corpus; it only sizes partitions, never drops rows."""
     if "n_chars" in docs.columns:

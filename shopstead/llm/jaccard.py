@@ -182,8 +182,12 @@ def _rivals(sets: DataFrame, num: int, den: int) -> DataFrame:
     return found
 
 
-def tree_links(sets: DataFrame, rivals: DataFrame, num: int, den: int = 100) -> DataFrame:
-    """(a, b) links that connect what the ratio connects. Each group of rivals is cut by hash into blocks of bounded
+def stored_set(items: bytes) -> np.ndarray:
+    return np.frombuffer(items, np.uint64)
+
+
+def tree_links(sets: DataFrame, rivals: DataFrame, num: int, den: int = 100, read=stored_set) -> DataFrame:
+    """(a, b) links that connect what the ratio connects; read turns a row's items into its sorted distinct elements. Each group of rivals is cut by hash into blocks of bounded
     size; each pair of blocks is one piece of work, wherever it runs."""
     sized = sets.select("doc_id", "n").join(rivals.withColumnRenamed("id", "doc_id"), "doc_id")
     groups = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count("*").alias("members")).where("members > 1").drop("members")
@@ -198,7 +202,7 @@ def tree_links(sets: DataFrame, rivals: DataFrame, num: int, den: int = 100) ->
             for block, i, items in rows:
                 ids, sets_ = sides.setdefault(block, ([], []))
                 ids.append(i)
-                sets_.append(np.frombuffer(items, np.uint64))
+                sets_.append(read(items))
             if key[1] == key[2]:
                 x = Block(*sides[key[1]])
                 return list(links(x, x, num, den))

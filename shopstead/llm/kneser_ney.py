@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, blob_batch, chunks_of, dealt, documents, mix64, n_buckets, shared_dir, split_by_bucket, stored
+from .common import BLOBS, blob_batch, chunks_of, dealt, documents, mix64, n_buckets, shared_dir, split_by_bucket
 from .rolling import Rolling, code_points, lower_ascii, words_of
 
 #: Stand-ins for the start of a text (only ever a context) and its end (a token like others).
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000001)
 #: Characters of text that one shard of the bigram table stands for, and one of the word table.
-PAIR_CHARS, WORD_CHARS = 53_000_000, 100_000_000
+PAIR_CHARS, WORD_CHARS = 32_000_000, 100_000_000
+#: Different bigrams that a task holds while it sums them before the shuffle.
+HELD = 3_000_000
 #: One document in SAMPLED is looked at to find contexts so common that their bigrams are spread over all shards. It
 #: decides only where a bigram is kept, never what is counted.
 SAMPLED = 64
@@ -116,18 +118,35 @@ def train(docs: DataFrame) -> dict:
     common = _common(docs, nb)
 
     def pairs(batches):
-        for (texts,) in chunks_of(batches, ("text",), "text", 20_000_000):
+        def summed(held):
+            keys, v, w, c = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(keys)
+            runs = _runs(keys[order])
+            first = order[runs]
+            return keys[first], v[first], w[first], np.add.reduceat(c[order], runs)
+
+        def out(keys, v, w, c):
+            shard = shard_of(v, keys, common, nb)
+            order = np.lexsort((v, shard))
+            shard, v, w, c = shard[order], v[order], w[order], c[order].astype(np.uint32)
+            cuts = np.r_[_runs(shard), len(shard)]
+            return blob_batch((int(shard[s]), np.int64(e - s).tobytes() + v[s:e].tobytes() + w[s:e].tobytes() + c[s:e].tobytes()) for s, e in zip(cuts[:-1], cuts[1:]))
+
+        held = []
+        for (texts,) in chunks_of(batches, ("text",), "text", 3_000_000):
             seq, at = tokens(texts)
             first = np.ones(len(seq), bool)
             first[at[1:] - 1] = False  # an END is not a context
             first = np.flatnonzero(first)
             keys, index, counts = np.unique(pair_hash(seq[first], seq[first + 1]), return_index=True, return_counts=True)
-            v, w = seq[first[index]], seq[first[index] + 1]
-            shard = shard_of(v, keys, common, nb)
-            order = np.lexsort((v, shard))
-            shard, v, w, c = shard[order], v[order], w[order], counts[order].astype(np.uint32)
-            cuts = np.r_[_runs(shard), len(shard)]
-            yield blob_batch((int(shard[s]), np.int64(e - s).tobytes() + v[s:e].tobytes() + w[s:e].tobytes() + c[s:e].tobytes()) for s, e in zip(cuts[:-1], cuts[1:]))
+            held.append((keys, seq[first[index]], seq[first[index] + 1], counts))
+            if sum(len(h[0]) for h in held) > HELD:
+                held = [summed(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield out(*held[0])
+                    held = []
+        if held:
+            yield out(*summed(held))
 
     def shard(batches):
         def finish(b, blobs):
@@ -153,7 +172,7 @@ def train(docs: DataFrame) -> dict:
             before = np.zeros(len(runs), BEFORE)
             before["k"] = w[by_w][runs]
             before["c"], before["a"] = np.add.reduceat(c[by_w], runs), np.diff(np.r_[runs, len(by_w)])
-            yield -1, np.array([(c == i).sum() for i in (1, 2, 3, 4)], np.int64).tobytes()
+            yield 2 * nw, np.array([(c == i).sum() for i in (1, 2, 3, 4)], np.int64).tobytes()
             yield from split_by_bucket(after["k"], nw, after)
             yield from ((nw + i, x) for i, x in split_by_bucket(before["k"], nw, before))
 
@@ -169,7 +188,7 @@ def train(docs: DataFrame) -> dict:
             yield blob_batch(finish(now, held))
 
     blobs = docs.select("text").mapInArrow(pairs, BLOBS)
-    words = stored(blobs.repartition(nb, "bucket").sortWithinPartitions("bucket").mapInArrow(shard, BLOBS), "words")
+    words = blobs.repartition(nb, "bucket").sortWithinPartitions("bucket").mapInArrow(shard, BLOBS)
 
     def table(batches):
         def finish(b, after, before):
@@ -189,19 +208,22 @@ def train(docs: DataFrame) -> dict:
         now, held, rows = None, ([], []), []
         for batch in batches:
             for word, b, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if b == 2 * nw:  # a shard's numbers of bigrams seen 1 to 4 times
+                    rows.append([0] * 8 + np.frombuffer(blob, np.int64).tolist())
+                    continue
                 if word != now and now is not None:
-                    rows.append(finish(now, *held))
+                    rows.append(finish(now, *held) + [0] * 4)
                     held = ([], [])
                 now = word
                 held[b >= nw].append(blob)
         if now is not None:
-            rows.append(finish(now, *held))
+            rows.append(finish(now, *held) + [0] * 4)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], names=["totals"])
 
-    by_word = words.where("bucket >= 0").select((F.col("bucket") % nw).alias("word"), "bucket", "blob").repartition(nw, "word").sortWithinPartitions("word", "bucket")
-    totals = np.array([r[0] for r in by_word.mapInArrow(table, "totals array<long>").collect()], np.int64).reshape(-1, 8).sum(axis=0)
-    seen = np.array([np.frombuffer(r[0], np.int64) for r in words.where("bucket = -1").select("blob").collect()], np.int64).reshape(-1, 4).sum(axis=0)
+    by_word = words.select((F.col("bucket") % nw).alias("word"), "bucket", "blob").repartition(nw, "word").sortWithinPartitions("word", "bucket")
+    sums = np.array([r[0] for r in by_word.mapInArrow(table, "totals array<long>").collect()], np.int64).reshape(-1, 12).sum(axis=0)
+    totals, seen = sums[:8], sums[8:]
     v, n, kinds, *a_counts, a3 = (int(x) for x in totals)
     low = _discounts(a_counts)
     spare = (low[0] * a_counts[0] + low[1] * a_counts[1] + low[2] * a3) / kinds if kinds else 1.0
@@ -275,7 +297,7 @@ def score(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text"):
+        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 3_000_000):
             seq, at = tokens(texts)
             logs, base, known = probabilities(seq, at, m)
             starts = at[:-1] - np.arange(len(texts))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, blob_batch, chunks_of, dealt, documents, dropped, mix64, n_buckets, split_by_bucket, stored
+from .common import BLOBS, blob_batch, chunks_of, dealt, documents, dropped, mix64, n_buckets, packed, split_by_bucket, stored, unpacked
 from .components import components
 from .jaccard import tree_links
 from .rolling import Rolling, code_points, is_space, lower_ascii
@@ -127,24 +127,30 @@ def survey(docs: DataFrame) -> DataFrame:
     return dealt(docs.where("doc_id is not null").mapInArrow(deal, BLOBS), 2 * nb).mapInArrow(meet, FOUND)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, n, items) as tree_links takes them, for the wanted (key, doc_id, line); here doc_id is the line's key."""
+def _shingles_of(items: bytes) -> np.ndarray:
+    return np.unique(Rolling(np.frombuffer(items.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)).grams(SHINGLE))
+
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, n, items) as tree_links takes them, for the wanted (key, doc_id, line): here doc_id is the line's key and
+    items its text, which is smaller than its shingles."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = Lines([text])
-                grams = shingles(lines)
+            for z, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lines = unpacked(z).decode("utf-8", "surrogatepass").split("\n")
                 for x in want:
-                    i = x["line"]
-                    items = np.unique(grams[lines.start[i] : lines.end[i] - SHINGLE + 1])
-                    out.append((x["key"], len(items), items.tobytes()))
+                    text = lines[x["line"]].translate(_LOWER)
+                    out.append((x["key"], len(text), text.encode("utf-8", "surrogatepass")))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n", "items"])
 
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "line")).alias("want"))
-    return docs.join(per_doc, "doc_id").select("text", "want").mapInArrow(run, "doc_id long, n long, items binary")
+    return docs.select("doc_id", packed("text").alias("z")).join(per_doc, "doc_id").select("z", "want").mapInArrow(run, "doc_id long, n long, items binary")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -157,8 +163,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     rivals = stored(components(shared.join(least, "band").select("key", "least").where("key != least").distinct(), "key", "least"), "rivals")
     firsts = places.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     wanted = rivals.select(F.col("id").alias("key")).join(firsts, "key").select("key", "first.*")
-    sets = stored(_sets_of(docs, wanted), "sets")
-    joined = stored(components(tree_links(sets, rivals, NUM)), "joined")
+    sets = stored(_wanted_lines(docs, wanted), "sets")
+    joined = stored(components(tree_links(sets, rivals, NUM, read=_shingles_of)), "joined")
     dropped(sets, rivals)
     # lines that occur once and link with nothing are done; the others find their class and the place it keeps
     counts = places.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
@@ -181,23 +187,26 @@ def dedup_lines(docs: DataFrame, digest=None, columns: str = "kept string") -> D
     new = [c.strip().split(" ")[0] for c in columns.split(",")]
     rest = [c for c in docs.columns if c not in (*new, "n_dropped", "lines")]
     drops = repeated_lines(documents(docs))
-    joined = docs.select(*rest).join(drops, "doc_id", "left").select(*rest, F.coalesce("text", F.lit("")).alias("_text"), F.col("lines").alias("_lines"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
+    passed = [c for c in rest if c != "text"]
+    joined = docs.select(*passed, packed("text").alias("_z")).join(drops, "doc_id", "left").select(*passed, "_z", F.col("lines").alias("_lines"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*passed).schema)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out, n = [], []
-            for text, lines in zip(batch.column(len(rest)).to_pylist(), batch.column(len(rest) + 1).to_pylist()):
+            out, n, whole = [], [], []
+            for z, lines in zip(batch.column(len(passed)).to_pylist(), batch.column(len(passed) + 1).to_pylist()):
+                text = unpacked(z).decode("utf-8", "surrogatepass")
+                whole.append(None if z is None else text)
                 if lines:
                     gone = set(lines)
                     text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
                 n.append(len(lines or ()))
                 out.append(digest(text) if digest else (text,))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(n, pa.int64()), *map(pa.array, zip(*out))], names=[*rest, "n_dropped", *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], pa.array(whole, pa.string()), pa.array(n, pa.int64()), *map(pa.array, zip(*out))], names=[*passed, "text", "n_dropped", *new])
 
-    return joined.mapInArrow(run, f"{schema}, n_dropped long, {columns}")
+    return joined.mapInArrow(run, f"{schema}, text string, n_dropped long, {columns}")
 
 
 def kept_sha256(text: str) -> tuple[str]:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, blob_batch, bucket_records, chunks_of, dealt, documents, dropped, n_buckets, split_by_bucket, stored
+from .common import BLOBS, blob_batch, bucket_records, chunks_of, dealt, documents, n_buckets, packed, split_by_bucket, stored, unpacked
 from .rolling import Rolling
 
 #: Bytes of the q-grams of the initial buckets.
@@ -175,13 +175,13 @@ def _refined(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             out = []
-            for i, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                data = text.encode("utf-8", "surrogatepass")
+            for i, z, spans in zip(*(c.to_pylist() for c in batch.columns)):
+                data = unpacked(z)
                 out += [(x["key"], i, x["start"], x["n"], data[x["start"] : x["end"]]) for x in spans]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "doc_id", "start", "n", "data"])
 
-    spans = docs.join(wanted, "doc_id").select("doc_id", "text", "spans").mapInArrow(cut, "key long, doc_id long, start long, n int, data binary")
+    spans = docs.select("doc_id", packed("text").alias("z")).join(wanted, "doc_id").select("doc_id", "z", "spans").mapInArrow(cut, "key long, doc_id long, start long, n int, data binary")
     spread = spans.join(counts, "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
 
     def solve(rows):
@@ -253,8 +253,8 @@ def cut_repeats(docs: DataFrame, length: int = 100, digest=None, columns: str =
             if not batch.num_rows:
                 continue
             out, ids = [], batch.column(0)
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
+            for z, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                data = unpacked(z)
                 start = np.fromiter((x["start"] for x in spans or ()), np.int64)
                 end = np.fromiter((x["end"] for x in spans or ()), np.int64)
                 _, s, e = merged(np.zeros(len(start), np.int64), start, end)
@@ -263,4 +263,4 @@ def cut_repeats(docs: DataFrame, length: int = 100, digest=None, columns: str =
                 out.append(digest(data, kept, gone) if digest else (kept, [{"start": a, "end": b} for a, b in gone]))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in zip(*out))] if digest else [ids, pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", *names])
 
-    return docs.join(repeats(docs, length), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id long, {columns}")
+    return docs.select("doc_id", packed("text").alias("z")).join(repeats(docs, length), "doc_id", "left").select("doc_id", "z", "spans").mapInArrow(run, f"doc_id long, {columns}")
