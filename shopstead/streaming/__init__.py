@@ -1 +1,58 @@
+"""Live forms of the windowed operators: fixed-window counters and duplicate suppression over streams of events."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+
+def rate_windows(events: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
+    """Requests (key, ts) counted in epoch-aligned windows; a window is final once the watermark passes its end."""
+    ts = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counts = ts.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "key").agg(F.count("*").alias("n"))
+    return counts.select("key", F.unix_seconds("w.start").alias("window_start"), "n")
+
+
+class _Suppressor(StatefulProcessor):
+    """Keeps the time of the last event let through for each key; rows of a batch are taken in time order."""
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "micros long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        every = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
+        kept = self.last.get()[0] if self.last.exists() else None
+        keep = []
+        for at in every["ts"].astype("datetime64[us]").astype("int64"):
+            ok = kept is None or at - kept > self.seconds * 1_000_000
+            kept = at if ok else kept
+            keep.append(ok)
+        self.last.update((int(kept),))
+        yield every[keep]
+
+    def close(self) -> None:
+        pass
+
+
+def suppress_duplicates(events: DataFrame, key: str, seconds: int) -> DataFrame:
+    """Events (id, key, ts) without those within `seconds` of the last one kept of their key; state is one timestamp a
+    key. Needs the RocksDB state store."""
+    return events.groupBy(key).transformWithStateInPandas(_Suppressor(seconds), outputStructType=events.schema, outputMode="Append", timeMode="None")
+
+
+def drain(df: DataFrame, name: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over all input there is (in one or several batches) and returns the result as a table."""
+    mode = "append"
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+__all__ = ["drain", "rate_windows", "suppress_duplicates"]
