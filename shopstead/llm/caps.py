@@ -15,6 +15,8 @@ from .components import components
 COSINE = 0.98
 #: Vectors a filter should hold and filters a vector should be in, on average; a filter's block of vectors at most.
 HELD, LISTED, BLOCK = 32, 16, 1024
+#: Filters that a vector is listed in at least, its best ones.
+FEWEST = 8
 #: A filter's number is (first code word << 20) | second code word.
 _WORDS = 1 << 20
 
@@ -38,8 +40,8 @@ class Code:
         self.least = NormalDist().inv_cdf(1 - share) * (2 / dim) ** 0.5
 
     def lists(self, unit: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector the filters whose cap holds it, best-first search over both sorted halves; a vector that
-        no cap holds is listed in its best one."""
+        """For each unit vector the filters whose cap holds it, a search down both sorted halves; a vector that fewer than
+        FEWEST caps hold is listed in its best ones."""
         turned = unit @ self.turn
         a = turned[:, : self.half] @ self.first.T
         b = (turned[:, self.half :] @ self.second.T) if turned.shape[1] > self.half else np.zeros((len(unit), len(self.second)))
@@ -49,8 +51,10 @@ class Code:
             x, y = a[i, oa[i]], b[i, ob[i]]
             reach = np.searchsorted(-y, -(self.least - x), side="right")  # how far down the second half goes
             n = int((reach > 0).sum())
-            if n == 0:
-                out.append(np.array([(int(oa[i, 0]) << 20) | int(ob[i, 0])], np.int64))
+            if reach[:n].sum() < FEWEST:
+                k = min(FEWEST, len(x)), min(FEWEST, len(y))
+                best = np.argsort(-(x[: k[0], None] + y[None, : k[1]]).ravel(), kind="stable")[:FEWEST]
+                out.append(np.unique((oa[i, best // k[1]].astype(np.int64) << 20) | ob[i, best % k[1]].astype(np.int64)))
                 continue
             reach = reach[:n]
             one = np.repeat(oa[i, :n], reach).astype(np.int64)
