@@ -46,8 +46,20 @@ def dropped(*dfs: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch at most: texts run to megabytes, and a batch is in memory on both sides at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches at BATCH_ROWS rows or fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id, text (null: empty) and the named extra columns; other columns are left behind."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
 
 

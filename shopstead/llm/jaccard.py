@@ -159,24 +159,71 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return docs.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, items binary")
 
 
-def _rivals(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, component): sets that share an element of their prefixes, directly or through others. A prefix is the
-    n - ceil(n * num / den) + 1 least elements; sets that reach the ratio share one, so links stay inside components.
-    Each element links its sets to the least of them, not to each other."""
+def _rivals(sets: DataFrame, num: int, den: int, nb: int) -> DataFrame:
+    """(id, component): sets that share an element of their prefixes, directly or through others.
+
+    Elements are ordered by the number of sets that have them, rarest first, then by hash. A set's prefix is its first
+    n - ceil(n * num / den) + 1 elements: two sets that reach the ratio share one, so links stay inside components.
+    Passages that many sets share come last in the order, so they chain few sets together. Sets of whose elements too
+    few occur elsewhere are out. Each element links its sets to the least of them, not to each other.
+    """
+
+    def frequencies(batches):
+        def out(b, blobs):
+            heads = [np.frombuffer(x, np.int64, 3) for x in blobs]
+            low = np.concatenate([np.frombuffer(x, np.uint32, n, 24 + 8 * m) for x, (m, n, _) in zip(blobs, heads)])
+            _, back, df = np.unique(low, return_inverse=True, return_counts=True)
+            df = np.minimum(df[back], 65535).astype(np.uint16)
+            ends = np.cumsum([0] + [int(h[1]) for h in heads])
+            pairs = [(int(h[2]), np.int64(b).tobytes() + x + df[s:e].tobytes()) for x, h, s, e in zip(blobs, heads, ends[:-1], ends[1:])]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.binary())], names=["bucket", "blob"])
+
+        now, held = None, []
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b != now and held:
+                    yield out(now, held)
+                    held = []
+                now = b
+                held.append(blob)
+        if held:
+            yield out(now, held)
 
     def prefixes(batches):
+        def out(blobs):
+            ids, elements, dfs = [], [], []
+            for x in blobs:
+                b, m, n, _ = (int(v) for v in np.frombuffer(x, np.int64, 4))
+                at = 32 + 8 * m
+                ids.append(np.frombuffer(x, np.int64, m, 32)[np.frombuffer(x, np.uint16, n, at + 4 * n)])
+                elements.append((np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32, n, at).astype(np.uint64))
+                dfs.append(np.frombuffer(x, np.uint16, n, at + 6 * n))
+            ids, elements, dfs = np.concatenate(ids), np.concatenate(elements), np.concatenate(dfs)
+            order = np.lexsort((elements, dfs, ids))
+            ids, elements, dfs = ids[order], elements[order], dfs[order]
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            n = np.diff(np.r_[first, len(ids)])
+            enough = np.add.reduceat((dfs > 1).astype(np.int64), first) * den >= n * num
+            length = np.where(enough, n + (-n * num) // den + 1, 0)
+            place = np.arange(len(ids)) - np.repeat(first, n)
+            take = (place < np.repeat(length, n)) & (dfs > 1)
+            return pa.RecordBatch.from_arrays([pa.array(elements[take].view(np.int64)), pa.array(ids[take])], names=["element", "id"])
+
+        now, held = None, []
         for batch in batches:
-            ids, items = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            parts = [np.frombuffer(x, np.uint64) for x in items]
-            parts = [s[: len(s) - -(-len(s) * num // den) + 1] for s in parts]
-            if parts:
-                element = np.concatenate(parts).view(np.int64)
-                owner = np.repeat(np.array(ids, np.int64), [len(p) for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(element), pa.array(owner)], names=["element", "id"])
-
-    rows = stored(sets.select("doc_id", "items").mapInArrow(prefixes, "element long, id long"), "prefixes")
+            for c, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if c != now and held:
+                    yield out(held)
+                    held = []
+                now = c
+                held.append(blob)
+        if held:
+            yield out(held)
+
+    counted = dealt(_dealt_sets(sets, nb), nb).mapInArrow(frequencies, _COUNTS)
+    rows = stored(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(prefixes, "element long, id long"), "prefixes")
     least = rows.groupBy("element").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = components(rows.join(least, "element").select("id", "least").distinct(), "id", "least")
+    found = components(rows.join(least, "element").select("id", "least").where("id != least").distinct(), "id", "least")
     found = stored(found, "rivals")
     dropped(rows)
     return found
@@ -234,8 +281,8 @@ def ngram_join(docs: DataFrame, width: int, num: int, den: int = 100) -> DataFra
     their sets of word n-grams (ASCII lower case; words are runs of no ASCII white space).
 
     1. Elements are dealt by hash; a document can link only if at least num/den of its elements occur elsewhere.
-    2. Of those, equal sets become one, and the same test is made again among what is left; sets that share a prefix
-       element form groups that no link leaves.
+    2. Of those, equal sets become one, and the same test is made again among what is left; sets that share an element
+       of their rarest ones form groups that no link leaves.
     3. In each group signature trees prune by greatest possible overlap, exact intersections decide, and found links
        are merged by distributed connected components.
     No link between different sets is lost; within a group, pairs already connected are not compared again.
@@ -250,12 +297,8 @@ def ngram_join(docs: DataFrame, width: int, num: int, den: int = 100) -> DataFra
     enough = F.col("shared") * den >= F.col("n") * num
     near = known.join(shared, "doc_id").where(enough)
     classes = stored(near.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), "classes")
-    every = stored(_sets_of(docs, classes, width), "sets")
-    # once more among classes: what only equal copies shared is out
-    again = _count_shared(_dealt_sets(every, nb), nb)
-    sets = stored(every.join(again, "doc_id").where(enough).select("doc_id", "n", "items"), "near")
-    dropped(every)
-    rivals = _rivals(sets, num, den)
+    sets = stored(_sets_of(docs, classes, width), "sets")
+    rivals = _rivals(sets, num, den, nb)
     joined = components(tree_links(sets, rivals, num, den))
     dropped(sets, rivals)
     roots = classes.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("component", "doc_id").alias("component_id"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .rolling import Rolling, code_points, words_of
 
 #: Hash buckets, vector length, character n-gram lengths.
@@ -17,7 +18,7 @@ BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 5)
 #: The documented bound of the training sample: so many labelled documents of each class, least digest first.
 PER_CLASS = 1500
 EPOCHS, RATE, THRESHOLD = 4, 0.5, 0.3
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 
 
 def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -148,5 +149,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     Repeated rows get equal scores; null doc_ids count as not held out and are never learned from. Columns of docs
     named score or predicted are replaced.
     """
+    small_batches(docs.sparkSession)
     score = scorer(docs.sparkSession, fit(docs, labels))
     return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -15,7 +15,7 @@ Q = 24
 #: Unresolved suffixes of one bucket that a task takes at once; larger buckets are split by window hash.
 SPLIT = 20_000
 #: Characters that a task samples at once: some 20 arrays of 8 bytes a character are in memory meanwhile.
-CHUNK = 1_500_000
+CHUNK = 750_000
 _CHARS = 16_000_000
 _PLACE = np.uint64((1 << 30) - 1)
 SUFFIX = np.dtype([("t", "<u4"), ("s", "<u8"), ("d", "<i8"), ("p", "<i4"), ("n", "u1"), ("o", "u1")])
