@@ -106,6 +106,22 @@ def chunks_of(batches, columns, text, chars: int = 8_000_000):
         yield held
 
 
+def unpacked_chunks(batches, chars: int):
+    """(ids, texts) from batches of doc_id and packed text, in pieces of some `chars` bytes; one text may be longer."""
+    ids, texts, size = [], [], 0
+    for cols in rows_of(batches, ("doc_id", "z")):
+        for i, z in zip(*cols):
+            data = unpacked(z)
+            ids.append(i)
+            texts.append(data.decode("utf-8", "surrogatepass"))
+            size += len(data) + 64
+            if size >= chars:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def split_by_bucket(h: np.ndarray, nb: int, rec: np.ndarray):
     """Deals records out by the upper half of their 64-bit hash: (bucket, bytes) for each bucket that gets any."""
     bucket = ((h >> np.uint64(32)) * np.uint64(nb)) >> np.uint64(32)

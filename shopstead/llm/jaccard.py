@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, blob_batch, bucket_records, chunks_of, dealt, documents, dropped, mix64, n_buckets, stored
+from .common import BLOBS, blob_batch, bucket_records, chunks_of, dealt, documents, dropped, mix64, n_buckets, packed, stored, unpacked_chunks
 from .components import components
 from .rolling import Rolling, code_points, lower_ascii, words_of
 from .sigtree import Block, links
@@ -149,14 +149,16 @@ def _dealt_sets(sets: DataFrame, nb: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, items): the sets of the wanted documents, each as the bytes of a sorted array."""
+    """(doc_id, n, items): the sets of the wanted documents, each as the bytes of a sorted array. Texts come to the
+    wanted ids compressed, by one shuffle at every size: the ids grow with the corpus, so they are not broadcast."""
 
     def run(batches):
-        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 2_000_000):
+        for ids, texts in unpacked_chunks(batches, 2_000_000):
             sets = shingle_sets(texts, width)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "items"])
 
-    return docs.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, items binary")
+    texts = docs.select("doc_id", packed("text").alias("z")).hint("merge")
+    return texts.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, items binary")
 
 
 def _rivals(sets: DataFrame, num: int, den: int, nb: int) -> DataFrame:
