@@ -231,13 +231,14 @@ def _rivals(sets: DataFrame, num: int, den: int, nb: int) -> DataFrame:
     return found
 
 
-def stored_set(items: bytes) -> np.ndarray:
-    return np.frombuffer(items, np.uint64)
+def stored_sets(items: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in items]
 
 
-def tree_links(sets: DataFrame, rivals: DataFrame, num: int, den: int = 100, read=stored_set) -> DataFrame:
-    """(a, b) links that connect what the ratio connects; read turns a row's items into its sorted distinct elements. Each group of rivals is cut by hash into blocks of bounded
-    size; each pair of blocks is one piece of work, wherever it runs."""
+def tree_links(sets: DataFrame, rivals: DataFrame, num: int, den: int = 100, read=stored_sets) -> DataFrame:
+    """(a, b) links that connect what the ratio connects; read turns the items of rows into sorted distinct elements.
+    Each group of rivals is cut by hash into blocks of bounded size; each pair of blocks is one piece of work, wherever
+    it runs."""
     sized = sets.select("doc_id", "n").join(rivals.withColumnRenamed("id", "doc_id"), "doc_id")
     groups = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count("*").alias("members")).where("members > 1").drop("members")
     mine = rivals.withColumnRenamed("id", "doc_id").join(groups, "component")
@@ -249,9 +250,10 @@ def tree_links(sets: DataFrame, rivals: DataFrame, num: int, den: int = 100, rea
         def solve(key, rows):
             sides = {}
             for block, i, items in rows:
-                ids, sets_ = sides.setdefault(block, ([], []))
+                ids, kept = sides.setdefault(block, ([], []))
                 ids.append(i)
-                sets_.append(read(items))
+                kept.append(items)
+            sides = {b: (ids, read(kept)) for b, (ids, kept) in sides.items()}
             if key[1] == key[2]:
                 x = Block(*sides[key[1]])
                 return list(links(x, x, num, den))

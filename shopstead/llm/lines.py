@@ -50,13 +50,24 @@ class Lines:
 
 
 def shingles(lines: Lines) -> np.ndarray:
-    return Rolling(lower_ascii(lines.codes)).grams(SHINGLE)
+    """A 32-bit hash of each run of SHINGLE characters (fixed constants of the murmur3 finaliser)."""
+    codes = lower_ascii(lines.codes)
+    n = max(0, len(codes) - SHINGLE + 1)
+    h = np.zeros(n, np.uint32)
+    for k in range(SHINGLE):
+        h *= np.uint32(0x9E3779B1)
+        h += codes[k : n + k]
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return h
 
 
 def band_keys(lines: Lines, which: np.ndarray) -> np.ndarray:
     """A key for each band of each of the chosen lines."""
-    grams = (shingles(lines) >> np.uint64(32)).astype(np.uint32)
-    grams = np.r_[grams, np.zeros(SHINGLE + 1, np.uint32)]
+    grams = np.r_[shingles(lines), np.zeros(SHINGLE + 1, np.uint32)]
     ranges = np.c_[lines.start[which], lines.end[which] - SHINGLE + 1].ravel()
     out = np.zeros((len(which), BANDS), np.uint64)
     spare = np.empty_like(grams)
@@ -127,8 +138,10 @@ def survey(docs: DataFrame) -> DataFrame:
     return dealt(docs.where("doc_id is not null").mapInArrow(deal, BLOBS), 2 * nb).mapInArrow(meet, FOUND)
 
 
-def _shingles_of(items: bytes) -> np.ndarray:
-    return np.unique(Rolling(np.frombuffer(items.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)).grams(SHINGLE))
+def _shingle_sets(items: list[bytes]) -> list[np.ndarray]:
+    codes, starts = code_points([x.decode("utf-8", "surrogatepass") for x in items])
+    grams = Rolling(codes).grams(SHINGLE)
+    return [np.unique(grams[a : b - SHINGLE + 1]) for a, b in zip(starts[:-1], starts[1:])]
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -164,7 +177,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     firsts = places.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     wanted = rivals.select(F.col("id").alias("key")).join(firsts, "key").select("key", "first.*")
     sets = stored(_wanted_lines(docs, wanted), "sets")
-    joined = stored(components(tree_links(sets, rivals, NUM, read=_shingles_of)), "joined")
+    joined = stored(components(tree_links(sets, rivals, NUM, read=_shingle_sets)), "joined")
     dropped(sets, rivals)
     # lines that occur once and link with nothing are done; the others find their class and the place it keeps
     counts = places.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
