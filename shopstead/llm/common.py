@@ -106,6 +106,19 @@ def chunks_of(batches, columns, text, chars: int = 8_000_000):
         yield held
 
 
+def pieces(texts, chars: int = 250_000):
+    """(start, end) of runs of texts with some `chars` characters each; one text may be longer. Arrays over a piece stay
+    in cache, and a worker's memory follows the piece."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > chars:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def unpacked_chunks(batches, chars: int):
     """(ids, texts) from batches of doc_id and packed text, in pieces of some `chars` bytes; one text may be longer."""
     ids, texts, size = [], [], 0

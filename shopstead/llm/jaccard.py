@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, blob_batch, bucket_records, chunks_of, dealt, documents, dropped, mix64, n_buckets, packed, stored, unpacked_chunks
+from .common import BLOBS, blob_batch, bucket_records, chunks_of, dealt, documents, dropped, mix64, n_buckets, packed, pieces, stored, unpacked_chunks
 from .components import components
 from .rolling import Rolling, code_points, lower_ascii, words_of
 from .sigtree import Block, links
@@ -121,7 +121,7 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n (set size), k1, k2 (set key), a row a doc_id."""
 
     def keys(batches):
-        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 2_000_000):
+        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 500_000):
             rows = np.array([(i, len(s), *set_key(s)) for i, s in zip(ids, shingle_sets(texts, width))], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], names=["doc_id", "n", "k1", "k2"])
 
@@ -131,9 +131,10 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
 
 def _dealt_texts(docs: DataFrame, width: int, nb: int) -> DataFrame:
     def deal(batches):
-        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 12_000_000):
+        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 8_000_000):
             for a in range(0, len(ids), 20_000):
-                sets = [s for b in range(a, min(a + 20_000, len(ids)), 400) for s in shingle_sets(texts[b : min(b + 400, a + 20_000)], width)]
+                part = texts[a : a + 20_000]
+                sets = [s for b, e in pieces(part) for s in shingle_sets(part[b:e], width)]
                 yield blob_batch(_deal(ids[a : a + 20_000], sets, nb))
 
     return docs.where("doc_id is not null").mapInArrow(deal, BLOBS)
@@ -153,7 +154,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     wanted ids compressed, by one shuffle at every size: the ids grow with the corpus, so they are not broadcast."""
 
     def run(batches):
-        for ids, texts in unpacked_chunks(batches, 2_000_000):
+        for ids, texts in unpacked_chunks(batches, 500_000):
             sets = shingle_sets(texts, width)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "items"])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, blob_batch, chunks_of, dealt, documents, dropped, mix64, n_buckets, packed, split_by_bucket, stored, unpacked
+from .common import BLOBS, blob_batch, chunks_of, dealt, documents, dropped, mix64, n_buckets, packed, pieces, split_by_bucket, stored, unpacked
 from .components import components
 from .jaccard import tree_links
 from .rolling import Rolling, code_points, is_space, lower_ascii
@@ -88,19 +88,26 @@ def survey(docs: DataFrame) -> DataFrame:
 
     def deal(batches):
         for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 1_000_000):
-            lines = Lines(texts)
-            use = np.flatnonzero(lines.counts)
-            if not len(use):
+            keys, bands, places = [], [], []
+            for a, b in pieces(texts):
+                lines = Lines(texts[a:b])
+                use = np.flatnonzero(lines.counts)
+                if not len(use):
+                    continue
+                rec = np.empty(len(use), PLACE)
+                rec["k"], rec["d"], rec["l"] = lines.keys[use], np.array(ids[a:b], np.int64)[lines.text[use]], lines.number[use]
+                places.append(rec)
+                at = np.sort(np.unique(lines.keys[use], return_index=True)[1])
+                keys.append(lines.keys[use[at]])
+                bands.append(band_keys(lines, use[at]))
+            if not keys:
                 continue
-            rec = np.empty(len(use), PLACE)
-            rec["k"], rec["d"], rec["l"] = lines.keys[use], np.array(ids, np.int64)[lines.text[use]], lines.number[use]
-            keys, at = np.unique(lines.keys[use], return_index=True)
-            order = np.argsort(at)
-            keys, which = keys[order], use[at[order]]
-            bands = np.empty(len(which) * BANDS, BAND)
-            bands["g"], bands["k"] = band_keys(lines, which).ravel(), np.repeat(keys, BANDS)
-            places = ((nb + b, x) for b, x in split_by_bucket(lines.keys[use], nb, rec))
-            yield blob_batch([*split_by_bucket(bands["g"], nb, bands), *places])
+            keys, at = np.unique(np.concatenate(keys), return_index=True)
+            rec = np.empty(len(keys) * BANDS, BAND)
+            rec["g"], rec["k"] = np.concatenate(bands)[at].ravel(), np.repeat(keys, BANDS)
+            places = np.concatenate(places)
+            found = ((nb + b, x) for b, x in split_by_bucket(np.ascontiguousarray(places["k"]), nb, places))
+            yield blob_batch([*split_by_bucket(np.ascontiguousarray(rec["g"]), nb, rec), *found])
 
     def batch_of(**cols):
         n = len(next(iter(cols.values())))
@@ -139,9 +146,12 @@ def survey(docs: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(items: list[bytes]) -> list[np.ndarray]:
-    codes, starts = code_points([x.decode("utf-8", "surrogatepass") for x in items])
-    grams = Rolling(codes).grams(SHINGLE)
-    return [np.unique(grams[a : b - SHINGLE + 1]) for a, b in zip(starts[:-1], starts[1:])]
+    out = []
+    for a, b in pieces(items):
+        codes, starts = code_points([x.decode("utf-8", "surrogatepass") for x in items[a:b]])
+        grams = Rolling(codes).grams(SHINGLE)
+        out += [np.unique(grams[s : e - SHINGLE + 1]) for s, e in zip(starts[:-1], starts[1:])]
+    return out
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}

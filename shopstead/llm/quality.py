@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import pieces, small_batches
 from .rolling import Rolling, code_points, words_of
 
 #: Hash buckets, vector length, character n-gram lengths.
@@ -18,7 +18,6 @@ BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 5)
 #: The documented bound of the training sample: so many labelled documents of each class, least digest first.
 PER_CLASS = 1500
 EPOCHS, RATE, THRESHOLD = 4, 0.5, 0.3
-_CHUNK = 1_000_000
 
 
 def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -39,17 +38,6 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids[inside], np.r_[0, np.cumsum(np.maximum(lengths - q + 1, 0))]
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > _CHUNK:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
     """Vectors E (BUCKETS x DIM) and softmax weights W by SGD; returns E @ (W[:, 1] - W[:, 0]) and the bias, all that
     scoring needs, since the output is linear in the average. No labels of both classes: zeros, so every score is .5."""
@@ -57,7 +45,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
     if len(set(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0
     rows = []
-    for a, b in chunks(texts):
+    for a, b in pieces(texts):
         kinds = list(features(texts[a:b]))
         for i in range(b - a):
             ids = np.concatenate([k[s[i] : s[i + 1]] for k, s in kinds])
@@ -90,7 +78,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
 def score_texts(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """Softmax probability of label 1 for each text; a text without features gets the bias alone."""
     out = np.zeros(len(texts))
-    for a, b in chunks(texts):
+    for a, b in pieces(texts):
         total, n = np.zeros(b - a), np.zeros(b - a)
         for ids, starts in features(texts[a:b]):
             got = np.diff(starts)
