@@ -46,15 +46,17 @@ def dropped(*dfs: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of an Arrow batch at most: texts run to megabytes, and a batch is in memory on both sides at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most: a batch is in memory on both sides at once, and texts run to megabytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the session's Arrow batches at BATCH_ROWS rows or fewer."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Keeps the session's Arrow batches at BATCH_ROWS rows and some BATCH_BYTES bytes or fewer."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        have = spark.conf.get(name).rstrip("bB")
+        if not (have.isdigit() and 0 < int(have) <= most):
+            spark.conf.set(name, str(most))
 
 
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
@@ -157,7 +159,7 @@ def blob_batch(items) -> pa.RecordBatch:
 
 def dealt(blobs: DataFrame, nb: int) -> DataFrame:
     """Brings the blobs of a bucket together, in order; several buckets share a partition."""
-    return blobs.repartition(max(8, nb // 4), "bucket").sortWithinPartitions("bucket")
+    return blobs.repartition(max(8, nb // 2), "bucket").sortWithinPartitions("bucket")
 
 
 def bucket_records(batches, dtype):
