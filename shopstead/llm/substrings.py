@@ -7,18 +7,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, blob_batch, bucket_records, chunks_of, dealt, documents, n_buckets, packed, split_by_bucket, stored, unpacked
+from .common import BLOBS, blob_batch, bucket_records, chunks_of, dealt, documents, mix64, n_buckets, packed, split_by_bucket, stored, unpacked
 from .rolling import Rolling
 
 #: Bytes of the q-grams of the initial buckets.
 Q = 24
-#: Unresolved suffixes of one bucket that a task takes at once; larger buckets are split by window hash.
+#: Unresolved suffixes of one bucket that a task takes whole; the windows of larger ones are dealt out by their hash.
 SPLIT = 20_000
+#: Records of a bucket that a task refines at once, and windows that it combines before, and takes after, they are dealt.
+HELD, WINDOWS = 1_500_000, 1_000_000
 #: Characters that a task samples at once: some 20 arrays of 8 bytes a character are in memory meanwhile.
 CHUNK = 750_000
 _CHARS = 16_000_000
 _PLACE = np.uint64((1 << 30) - 1)
 SUFFIX = np.dtype([("t", "<u4"), ("s", "<u8"), ("d", "<i8"), ("p", "<i4"), ("n", "u1"), ("o", "u1")])
+WINDOW = np.dtype([("w", "<u8"), ("d", "<i8"), ("p", "<i4")])
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -60,7 +63,7 @@ def sampled(ids: list[int], texts: list[bytes], length: int):
     last = ends[np.searchsorted(ends, first)]
     doc = np.searchsorted(starts, first, side="right") - 1
     rec = np.empty(len(first), SUFFIX)
-    h = grams[at[first]]
+    h = mix64(grams[at[first]])  # least hashes are small ones: unmixed, their upper bits fill few buckets
     rec["t"] = h & np.uint64(0xFFFFFFFF)
     rec["n"], rec["o"] = last - first + 1, at[first] - first
     rec["s"] = rolling.slices(first, last + length) + rec["o"].astype(np.uint64)
@@ -127,30 +130,36 @@ def _first_pass(docs: DataFrame, length: int) -> DataFrame:
 
     def refine(batches):
         def whole():
-            now, held = None, []
+            """(bucket, records, whether they are all it has); a bucket of more than HELD records comes in several parts."""
+            now, held, size, cut = None, [], 0, False
             for batch in batches:
                 for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     if b >= nb:
-                        yield b, blob
+                        yield b, blob, True
                         continue
-                    if b != now and held:
-                        yield now, b"".join(held)
-                        held = []
+                    full = size + len(blob) > HELD * SUFFIX.itemsize
+                    if held and (b != now or full):
+                        cut = cut or b == now
+                        yield now, b"".join(held), not cut
+                        held, size = [], 0
+                    cut = cut and b == now
                     now = b
                     held.append(blob)
+                    size += len(blob)
             if held:
-                yield now, b"".join(held)
+                yield now, b"".join(held), not cut
 
-        for b, blob in whole():
+        for b, blob, all_ in whole():
             if b >= nb:
                 r = np.frombuffer(blob, np.int64).reshape(-1, 3)
                 yield _ranges(r[:, 0], r[:, 1], r[:, 2])
                 continue
             rec = np.frombuffer(blob, SUFFIX)
-            t = np.sort(rec["t"])
-            rec = rec[np.isin(rec["t"], np.unique(t[1:][t[1:] == t[:-1]]))]
-            if not len(rec):
-                continue
+            if all_:
+                t = np.sort(rec["t"])
+                rec = rec[np.isin(rec["t"], np.unique(t[1:][t[1:] == t[:-1]]))]
+                if not len(rec):
+                    continue
             order, first = _firsts(rec, rec["t"], rec["s"])
             rec = rec[order]
             known = _later(rec, first)
@@ -159,7 +168,7 @@ def _first_pass(docs: DataFrame, length: int) -> DataFrame:
             heads = rec[~known]
             new = np.r_[True, heads["t"][1:] != heads["t"][:-1]]
             group = np.cumsum(new) - 1
-            open_ = (np.bincount(group) > 1)[group]
+            open_ = (np.bincount(group) > 1)[group] | (not all_)  # a lone one may have its like in another part
             r = heads[open_]
             key = (np.int64(b) << np.int64(32)) | r["t"].astype(np.int64)
             yield _ranges(r["d"], r["p"], r["p"].astype(np.int64) + r["n"] - 1 + length, key, r["n"])
@@ -167,56 +176,112 @@ def _first_pass(docs: DataFrame, length: int) -> DataFrame:
     return dealt(docs.where("doc_id is not null").mapInArrow(deal, BLOBS), 2 * nb).mapInArrow(refine, RANGES)
 
 
-def _refined(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """Ranges that repeat among the suffixes left open: their windows are compared within each bucket."""
-    counts = open_.groupBy("key").agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
-    wanted = open_.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "end", "n")).alias("spans"))
+#: What is dealt out for refinement: spans of a bucket (kind 0, key is the bucket), windows (1, key is their part), and
+#: ranges that are known by then (2).
+DEALT = "kind int, key long, doc_id long, start long, n int, data binary"
+
+
+def _windows(spans, length: int) -> np.ndarray:
+    """A record for each window of spans (doc_id, start, n, bytes)."""
+    doc, start, n, data = zip(*spans)
+    at = np.r_[0, np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))][:-1]
+    n = np.array(n, np.int64)
+    own = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(own)) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n)
+    begin = at[own] + step
+    rec = np.empty(len(own), WINDOW)
+    rec["w"] = Rolling(np.frombuffer(b"".join(data), np.uint8)).slices(begin, begin + length)
+    rec["d"], rec["p"] = np.array(doc, np.int64)[own], np.array(start, np.int64)[own] + step
+    return rec
+
+
+def _split(rec: np.ndarray, length: int):
+    """The ranges of windows that equal an earlier one, and the first window of each kind. Equal windows sample equal
+    suffixes, so their buckets need not be compared."""
+    order, first = _firsts(rec, rec["w"])
+    rec = rec[order]
+    known = _later(rec, first)
+    r = rec[known]
+    start = r["p"].astype(np.int64)
+    return merged(r["d"], start, start + length), rec[~known]
+
+
+def _spread(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
+    """DEALT: spans of buckets up to SPLIT as they are; of larger buckets every window once, in parts by its hash, after
+    each task has combined the equal ones it has seen."""
+    hot = open_.groupBy("key").agg(F.count("*").alias("spans"), F.sum("n").alias("windows")).where(F.col("spans") > SPLIT)
+    hot = stored(hot.select("key", "windows"), "hot")
+    parts = int((hot.agg(F.sum("windows")).first()[0] or 0) // WINDOWS) + 1
+    marked = open_.join(F.broadcast(hot.select("key", F.lit(True).alias("hot"))), "key", "left")
+    wanted = marked.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "end", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spans"))
+
+    def batch_of(kind, key, doc, start, n, data):
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((kind, key, doc, start, n, data), kinds)], names=["kind", "key", "doc_id", "start", "n", "data"])
+
+    def combined(spans):
+        (doc, start, end), rest = _split(_windows(spans, length), length)
+        if len(doc):
+            yield batch_of([2] * len(doc), doc, doc, start, (end - start).astype(np.int32), [None] * len(doc))
+        key, data = zip(*split_by_bucket(np.ascontiguousarray(rest["w"]), parts, rest))
+        none = [None] * len(key)
+        yield batch_of([1] * len(key), key, none, none, none, data)
 
     def cut(batches):
+        held, size = [], 0
         for batch in batches:
             out = []
             for i, z, spans in zip(*(c.to_pylist() for c in batch.columns)):
                 data = unpacked(z)
-                out += [(x["key"], i, x["start"], x["n"], data[x["start"] : x["end"]]) for x in spans]
+                for x in spans:
+                    span = (i, x["start"], x["n"], data[x["start"] : x["end"]])
+                    if x["hot"]:
+                        held.append(span)
+                        size += x["n"]
+                        if size >= WINDOWS:
+                            yield from combined(held)
+                            held, size = [], 0
+                    else:
+                        out.append((0, x["key"], *span))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "doc_id", "start", "n", "data"])
-
-    spans = docs.select("doc_id", packed("text").alias("z")).join(wanted, "doc_id").select("doc_id", "z", "spans").mapInArrow(cut, "key long, doc_id long, start long, n int, data binary")
-    spread = spans.join(counts, "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-
-    def solve(rows):
-        key, part, parts, doc, start, n, data = (list(c) for c in zip(*rows))
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
-        at = np.r_[0, np.cumsum(sizes)][:-1]
-        n = np.array(n, np.int64)
-        own = np.repeat(np.arange(len(n)), n)
-        step = np.arange(len(own)) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n)
-        begin = at[own] + step
-        windows = Rolling(np.frombuffer(b"".join(data), np.uint8)).slices(begin, begin + length)
-        parts_, part_ = np.array(parts, np.uint64)[own], np.array(part, np.uint64)[own]
-        mine = (windows % parts_) == part_
-        own, step, windows = own[mine], step[mine], windows[mine]
-        rec = np.empty(len(own), [("d", "<i8"), ("p", "<i8")])
-        rec["d"], rec["p"] = np.array(doc, np.int64)[own], np.array(start, np.int64)[own] + step
-        order, first = _firsts(rec, np.array(key, np.int64)[own], windows)
-        rec = rec[order]
-        r = rec[_later(rec, first)]
-        return _ranges(*merged(r["d"], r["p"], r["p"] + length))
+                yield batch_of(*zip(*out))
+        if held:
+            yield from combined(held)
+
+    return docs.select("doc_id", packed("text").alias("z")).join(wanted, "doc_id").select("doc_id", "z", "spans").mapInArrow(cut, DEALT)
+
+
+def _refined(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
+    """Ranges that repeat among the suffixes left open: their windows are compared, those of a bucket or part at once."""
 
     def run(batches):
-        held, last = [], None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:2] != last and len(held) >= SPLIT:
-                    yield solve(held)
-                    held = []
-                last = row[:2]
-                held.append(row)
-        if held:
-            yield solve(held)
+        held, blobs, last = [], [], None
 
-    ordered = spread.select("key", "part", "parts", "doc_id", "start", "n", "data").repartition("key", "part").sortWithinPartitions("key", "part")
-    return ordered.mapInArrow(run, RANGES)
+        def solved():
+            if held:
+                yield _ranges(*_split(_windows(held, length), length)[0])
+            if blobs:
+                yield _ranges(*_split(np.frombuffer(b"".join(blobs), WINDOW), length)[0])
+            held.clear()
+            blobs.clear()
+
+        for batch in batches:
+            known = []
+            for kind, key, doc, start, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (kind, key) != last and (blobs or len(held) >= SPLIT):
+                    yield from solved()
+                last = (kind, key)
+                if kind == 0:
+                    held.append((doc, start, n, data))
+                elif kind == 1:
+                    blobs.append(data)
+                else:
+                    known.append((doc, start, start + n))
+            if known:
+                yield _ranges(*zip(*known))
+        yield from solved()
+
+    return _spread(docs, open_, length).repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(run, RANGES)
 
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -227,7 +292,8 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     2. Buckets are refined by the whole span around the suffix, what precedes and what follows: equal spans but the
        first repeat outright, lone buckets are done. Chunks do so before the shuffle, so a passage that many documents
        share leaves each chunk once.
-    3. Buckets with several spans left are refined window by window, on the bytes of one suffix a span.
+    3. Buckets with several spans left are refined window by window, on the bytes of one suffix a span; the windows of
+       large buckets are dealt out by their hash, each once.
     """
     docs = documents(docs)
     found = stored(_first_pass(docs, length), "suffixes")

@@ -135,6 +135,32 @@ def test_repeats_equal_brute_force(docs, corpus, empty, monkeypatch, split):
     assert substrings.cut_repeats(empty, 100).count() == 0
 
 
+def test_hot_bucket_is_split(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SPLIT", 3)
+    monkeypatch.setattr(substrings, "HELD", 5)  # buckets are refined in several parts
+    monkeypatch.setattr(substrings, "WINDOWS", 500)
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage = say(60)
+    rows = [(i, say(80) + passage + say(80)) for i in range(40)]
+    rows += [(40 + i, say(20) + rows[i][1][10:190] + say(20)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (bytes(r.kept), [(x.start, x.end) for x in r.spans]) for r in substrings.cut_repeats(docs, 100).collect()}
+    assert got == brute_repeats(rows, 100)
+    found = substrings._first_pass(docs, 100).where("key is not null").cache()
+    dealt = substrings._spread(docs, found, 100).where("kind = 1").collect()
+    places = [(int(x["d"]), int(x["p"])) for r in dealt for x in np.frombuffer(r.data, substrings.WINDOW)]
+    assert len({r.key for r in dealt}) > 1
+    assert places and len(places) == len(set(places))  # no window goes to two parts
+
+
+def test_samples_fill_all_buckets():
+    text = bytes(random.Random(2).choices(range(97, 123), k=40_000))
+    h, rec = substrings.sampled([1], [text], 100)
+    sizes = {b: len(x) // rec.itemsize for b, x in substrings.split_by_bucket(h, 16, rec)}
+    assert len(sizes) == 16 and max(sizes.values()) < len(rec) / 4
+
+
 def test_repeated_rows_keep_their_text(spark):
     text = "".join(random.Random(5).choices("abcdefgh", k=500))
     rows = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
