@@ -18,8 +18,8 @@ from .rolling import Rolling, code_points, is_space, lower_ascii
 SHINGLE, NUM = 8, 80
 #: BANDS bands of ROWS hashes: a pair at similarity 0.8 meets with probability 1 - (1 - 0.8**4)**10 = 0.995.
 BANDS, ROWS = 10, 4
-#: Lines with fewer visible characters are left alone: they say too little to tell a copy from a coincidence.
-VISIBLE = 16
+#: Lines with fewer visible characters are left alone: blank ones. Those shorter than a shingle link only when equal.
+VISIBLE = 1
 _CHARS = 16_000_000
 _seeds = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _XOR, _MUL = (_seeds >> np.uint64(32)).astype(np.uint32), (_seeds & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -83,7 +83,7 @@ FOUND = "key long, doc_id long, line int, band long"
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Where each line with enough in it occurs (band null), and the lines that share a band (doc_id null)."""
+    """Where each line that is not blank occurs (band null), and the lines that share a band (doc_id null)."""
     nb = n_buckets(docs, _CHARS)
 
     def deal(batches):
@@ -97,14 +97,19 @@ def survey(docs: DataFrame) -> DataFrame:
                 rec = np.empty(len(use), PLACE)
                 rec["k"], rec["d"], rec["l"] = lines.keys[use], np.array(ids[a:b], np.int64)[lines.text[use]], lines.number[use]
                 places.append(rec)
+                use = use[lines.end[use] - lines.start[use] >= SHINGLE]
+                if not len(use):
+                    continue
                 at = np.sort(np.unique(lines.keys[use], return_index=True)[1])
                 keys.append(lines.keys[use[at]])
                 bands.append(band_keys(lines, use[at]))
-            if not keys:
+            if not places:
                 continue
-            keys, at = np.unique(np.concatenate(keys), return_index=True)
-            rec = np.empty(len(keys) * BANDS, BAND)
-            rec["g"], rec["k"] = np.concatenate(bands)[at].ravel(), np.repeat(keys, BANDS)
+            rec = np.empty(0, BAND)
+            if keys:
+                keys, at = np.unique(np.concatenate(keys), return_index=True)
+                rec = np.empty(len(keys) * BANDS, BAND)
+                rec["g"], rec["k"] = np.concatenate(bands)[at].ravel(), np.repeat(keys, BANDS)
             places = np.concatenate(places)
             found = ((nb + b, x) for b, x in split_by_bucket(np.ascontiguousarray(places["k"]), nb, places))
             yield blob_batch([*split_by_bucket(np.ascontiguousarray(rec["g"]), nb, rec), *found])
@@ -118,15 +123,21 @@ def survey(docs: DataFrame) -> DataFrame:
         now, held = None, []
 
         def shared():
-            rec = np.frombuffer(b"".join(held), BAND)
-            g, k = np.ascontiguousarray(rec["g"]), np.ascontiguousarray(rec["k"])
-            order = np.lexsort((k, g))
-            g, k = g[order], k[order]
-            new = np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])]  # a line once a band
-            g, k = g[new], k[new]
-            same = g[1:] == g[:-1]
-            both = np.r_[False, same] | np.r_[same, False]
-            return batch_of(key=k[both].view(np.int64), band=g[both].view(np.int64))
+            every = np.frombuffer(b"".join(held), BAND)
+            held.clear()
+            part = (every["g"] & np.uint64(7)).astype(np.uint8)  # an eighth of the bands at a time
+            for j in range(8):
+                rec = every[part == j]
+                if not len(rec):
+                    continue
+                g, k = np.ascontiguousarray(rec["g"]), np.ascontiguousarray(rec["k"])
+                order = np.lexsort((k, g))
+                g, k = g[order], k[order]
+                new = np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])]  # a line once a band
+                g, k = g[new], k[new]
+                same = g[1:] == g[:-1]
+                both = np.r_[False, same] | np.r_[same, False]
+                yield batch_of(key=k[both].view(np.int64), band=g[both].view(np.int64))
 
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -135,12 +146,11 @@ def survey(docs: DataFrame) -> DataFrame:
                     yield batch_of(key=np.ascontiguousarray(rec["k"]).view(np.int64), doc_id=rec["d"], line=rec["l"])
                     continue
                 if b != now and held:
-                    yield shared()
-                    held = []
+                    yield from shared()
                 now = b
                 held.append(blob)
         if held:
-            yield shared()
+            yield from shared()
 
     return dealt(docs.where("doc_id is not null").mapInArrow(deal, BLOBS), 2 * nb).mapInArrow(meet, FOUND)
 
@@ -202,7 +212,8 @@ def dedup_lines(docs: DataFrame, digest=None, columns: str = "kept string") -> D
     """Every row of docs (all its columns) with `kept`, its text without the lines that repeat_lines drops, and
     n_dropped, their number; with digest, a function of the kept text, the values of `columns` instead of kept.
 
-    Lines end at line feeds; those with fewer than VISIBLE visible characters always stay. Null and empty texts stay as
+    Lines end at line feeds; those without visible characters always stay, those shorter than SHINGLE characters are
+    compared by equality alone. Null and empty texts stay as
     they are (kept is empty). Rows without doc_id are left whole and not compared; rows that repeat a doc_id lose the
     same line numbers. Empty tables give empty results; extra columns pass through, columns of docs that have the names
     of new ones are replaced.

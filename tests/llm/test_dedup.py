@@ -104,6 +104,12 @@ def test_lines_equal_all_pairs(docs, corpus, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_short_lines_are_compared(spark):
+    rows = [(1, "Add to cart\nOK\n\n \nshort"), (2, "OK\nAdd to Cart\n\nok\n \nx"), (3, "x\n你好，欢迎来到我们的商店"), (4, "你好，欢迎来到我们的商店")]
+    got = {r.doc_id: r.kept for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "\nok\n \nx", 3: "你好，欢迎来到我们的商店", 4: ""}
+
+
 def test_line_starts():
     texts = ["", "a\n", "\n\nb", "", "c", "d\n"]
     got = lines.Lines(texts)
