@@ -327,7 +327,7 @@ def _checkpoint(spark, name):
 @query()
 def stream_rate_windows(spark, sf_dir):
     name = _name()
-    return streaming.drain(streaming.rate_windows(_stream(spark, sf_dir), 3600), name, _checkpoint(spark, name))
+    return streaming.drain(streaming.rate_windows(_stream(spark, sf_dir), 3600), name, _checkpoint(spark, name), ("key", "window_start"))
 
 
 @query(f"""WITH RECURSIVE a AS (SELECT id, key, ts FROM {as_sql("rate_events")}), k AS (SELECT key, min(ts) AS ts FROM a GROUP BY 1

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +20,50 @@ def rate_windows(events: DataFrame, seconds: int, late: str = "1 hour") -> DataF
     return counts.select("key", F.unix_seconds("w.start").alias("window_start"), "n")
 
 
+#: Rows of a key that are sorted at once, and rows of a sorted run that are in memory at once.
+RUN, PART = 500_000, 10_000
+
+
+def _sorted(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(frames).sort_values(["ts", "id"], kind="stable")
+
+
+def _in_time_order(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All rows in order of (ts, id), in frames of bounded size: runs of RUN rows wait in the task's temporary folder and
+    are merged part by part. Rows without a time are left out."""
+    with tempfile.TemporaryDirectory() as folder:
+        n_runs, held, n = 0, [], 0
+        for frame in rows:
+            held.append(frame[frame["ts"].notna()])
+            n += len(held[-1])
+            if n >= RUN:
+                table = pa.Table.from_pandas(_sorted(held), preserve_index=False)
+                with pa.ipc.new_file(f"{folder}/{n_runs}", table.schema) as out:
+                    out.write_table(table, max_chunksize=PART)
+                n_runs, held, n = n_runs + 1, [], 0
+        rest = _sorted(held) if n else None
+        if not n_runs:
+            if n:
+                yield rest
+            return
+
+        def parts(k: int) -> Iterator[pd.DataFrame]:
+            with pa.ipc.open_file(f"{folder}/{k}") as run:
+                for i in range(run.num_record_batches):
+                    part = run.get_batch(i).to_pandas()
+                    # the last row of a part that others follow names its run
+                    yield part.assign(_run=np.r_[np.full(len(part) - 1, -1), k if i + 1 < run.num_record_batches else -1])
+
+        runs = [parts(k) for k in range(n_runs)]
+        pending = _sorted([*map(next, runs), *([rest.assign(_run=-1)] if n else [])])
+        while len(pending):
+            ends = np.flatnonzero(pending["_run"].to_numpy() >= 0)
+            stop = ends[0] + 1 if len(ends) else len(pending)
+            yield pending[:stop].drop(columns="_run")
+            more = [next(runs[pending["_run"].iloc[ends[0]]])] if len(ends) else []
+            pending = _sorted([pending[stop:], *more])
+
+
 class _Suppressor(StatefulProcessor):
     """Keeps the time of the last event let through for each key; rows of a batch are taken in time order."""
 
@@ -27,15 +74,17 @@ class _Suppressor(StatefulProcessor):
         self.last = handle.getValueState("last", "micros long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
         kept = self.last.get()[0] if self.last.exists() else None
-        keep = []
-        for at in every["ts"].astype("datetime64[us]").astype("int64"):
-            ok = kept is None or at - kept > self.seconds * 1_000_000
-            kept = at if ok else kept
-            keep.append(ok)
-        self.last.update((int(kept),))
-        yield every[keep]
+        for part in _in_time_order(rows):
+            keep = []
+            for at in part["ts"].astype("datetime64[us]").astype("int64"):
+                ok = kept is None or at - kept > self.seconds * 1_000_000
+                kept = at if ok else kept
+                keep.append(ok)
+            if any(keep):
+                yield part[keep]
+        if kept is not None:
+            self.last.update((int(kept),))
 
     def close(self) -> None:
         pass
@@ -47,12 +96,24 @@ def suppress_duplicates(events: DataFrame, key: str, seconds: int) -> DataFrame:
     return events.groupBy(key).transformWithStateInPandas(_Suppressor(seconds), outputStructType=events.schema, outputMode="Append", timeMode="None")
 
 
-def drain(df: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all input there is (in one or several batches) and returns the result as a table."""
-    mode = "append"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(df: DataFrame, name: str, checkpoint: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over all input there is (in one or several batches) and returns the result as a table, which lies
+    beside the checkpoint. With the keys of an aggregation, windows that the watermark has not closed yet are in it, too:
+    every batch writes the rows it changes, and the last of each key counts."""
+    spark, path = df.sparkSession, f"{checkpoint}-rows"
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")  # where there is no input
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    mode = "update" if keys else "append"
+    q = df.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch long").parquet(path)
+    if not keys:
+        return rows.drop("batch")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "batch").alias("last"))
+    return last.select("last.*")
 
 
 __all__ = ["drain", "rate_windows", "suppress_duplicates"]

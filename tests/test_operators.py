@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from shopstead import streaming
@@ -71,6 +73,29 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     assert {g for g in batch if g[1] < last - 3600} <= got <= batch
 
 
+def test_open_windows_are_counted(spark, sf):
+    from shopstead.plans import catalogue
+
+    events = spark.read.parquet(f"{sf}/events.parquet").selectExpr("concat(event_type, ':', user_id) AS key", "ts")
+    batch = events.withColumn("window_start", limits.window_start(F.col("ts"), 3600)).groupBy("key", "window_start").agg(F.count("*").alias("n"))
+    got = catalogue.stream_rate_windows(spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+    assert got.inputFiles()  # a table in files, not one in the driver's memory
+
+
+def test_suppression_takes_keys_in_pieces(monkeypatch):
+    monkeypatch.setattr(streaming, "RUN", 40)
+    monkeypatch.setattr(streaming, "PART", 7)
+    rng = random.Random(4)
+    every = pd.DataFrame({"id": range(300), "key": "k", "ts": [dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(5000)) for _ in range(300)]})
+    sizes = []
+    for part in streaming._in_time_order(every[i : i + 11] for i in range(0, 300, 11)):
+        sizes.append(len(part))
+    assert sum(sizes) == 300 and max(sizes) < 150
+    got = pd.concat(streaming._in_time_order(every[i : i + 11] for i in range(0, 300, 11)))
+    assert got["id"].tolist() == every.sort_values(["ts", "id"])["id"].tolist()
+
+
 def test_versions(spark):
     s = "website_id int, product_url string, name string, description string, price_cents long, compare_price_cents long, currency string, availability string, sku string"
     old = spark.createDataFrame([(1, "/a", "A", None, 100, None, "USD", "IN_STOCK", None), (1, "/b", "B", None, 100, None, "USD", "IN_STOCK", None), (1, "/c", "C", None, 1, None, "USD", "IN_STOCK", None)], s)
