@@ -12,12 +12,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import documents, rows_of
+from .common import documents, mapped, rows_of
 
 #: Bytes that are merged directly; longer pieces are halved.
 LEAF = 24
 #: Pieces remembered by each worker; characters after which a long text is cut at a safe place.
-REMEMBERED, SEGMENT = 400_000, 200_000
+REMEMBERED, SEGMENT = 250_000, 200_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -65,7 +65,7 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.split = regex.compile(pattern).findall
-        self.fits = lru_cache(200_000)(self._fits)
+        self.fits = lru_cache(50_000)(self._fits)
         self.known = _Known(self)
         self.names = [str(i) for i in range(len(self.bytes_of))]
 
@@ -141,6 +141,10 @@ def codec(path: str, pattern: str) -> Codec:
         return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
 
+def _lists(ids: list[np.ndarray], sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(ids)))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) for every row of docs, by the rank file at path, without special tokens.
 
@@ -155,11 +159,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for a in range(0, len(texts), 500):
                 ids = [c.encode(t) for t in texts[a : a + 500]]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-                values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a : a + 500], pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a : a + 500], pa.int64()), pa.array(sizes), _lists(ids, sizes)], names=["doc_id", "n_tokens", "ids"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return mapped(documents(docs), run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, digest=None, columns: str = "decoded binary", keep_ids: bool = True) -> DataFrame:
@@ -184,4 +186,25 @@ def decode(encoded: DataFrame, path: str, pattern: str, digest=None, columns: st
             kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, zip(*out))], names=[*names, *new])
 
-    return encoded.mapInArrow(run, ", ".join([*schema, columns]))
+    return mapped(encoded, run, ", ".join([*schema, columns]))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, digest, columns: str, keep_ids: bool = True) -> DataFrame:
+    """What decode(encode(docs)) gives with digest, in one pass, so that ids need not leave the worker to be decoded."""
+    new = [c.strip().split(" ")[0] for c in columns.split(",")]
+
+    def run(batches):
+        c = codec(path, pattern)
+        for doc_ids, texts in rows_of(batches, ("doc_id", "text")):
+            for a in range(0, len(texts), 500):
+                ids, out = [], []
+                for text in texts[a : a + 500]:
+                    ids.append(c.encode(text))
+                    plain = ids[-1].tolist()
+                    out.append(digest(plain, c.decode(plain)))
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                kept = [("ids", _lists(ids, sizes))] if keep_ids else []
+                named = [("doc_id", pa.array(doc_ids[a : a + 500], pa.int64())), ("n_tokens", pa.array(sizes)), *kept, *zip(new, map(pa.array, zip(*out)))]
+                yield pa.RecordBatch.from_arrays([x for _, x in named], names=[n for n, _ in named])
+
+    return mapped(documents(docs), run, f"doc_id long, n_tokens long, {'ids array<int>, ' if keep_ids else ''}{columns}")

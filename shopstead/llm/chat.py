@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import rows_of
+from .common import mapped, rows_of
 
 #: The template: TURN role TEXT text END for each turn. All control strings open with "<|", which escaped content
 #: never holds, and stand for reserved ids past the vocabulary, which encoding never gives.
@@ -55,7 +55,7 @@ def format_turns(conversations: DataFrame, path: str, pattern: str) -> DataFrame
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(turn, pa.int64()), pa.array(role, pa.string()), pa.array(text, pa.string()), lists, pa.array(before, pa.int32()), pa.array(inside, pa.int32())], names=["conv_id", "turn", "role", "text", "ids", "before", "inside"])
 
-    encoded = conversations.select("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, turn long, role string, text string, ids array<int>, before int, inside int")
+    encoded = mapped(conversations.select("conv_id", "turn", "role", "text"), run, "conv_id long, turn long, role string, text string, ids array<int>, before int, inside int")
     so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.size("ids")).over(so_far), F.lit(0)).cast("long")
     return encoded.withColumn("start", start).select("conv_id", "turn", "ids", "start", (F.col("start") + F.col("before")).alias("loss_start"), (F.col("start") + F.col("before") + F.col("inside")).alias("loss_end"))
@@ -118,4 +118,4 @@ def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
             yield flush()
 
     ordered = formatted.select("conv_id", "start", "loss_start", "loss_end", "ids").repartition("conv_id").sortWithinPartitions("conv_id", "start")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return mapped(ordered, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,9 +22,11 @@ CHARS_PER_BUCKET = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none (tests)."""
+    """The folder that driver and executors share; one of our own only on a local master (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='shopstead-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -59,12 +63,57 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+@lru_cache(1)
+def _libc():
+    """The C library, told to give freed arrays of 8 MB or more back to the system (mallopt's fixed numbers: -3 is the
+    threshold for maps of their own, -1 that for trimming); None where it is another one."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 8 << 20)
+        libc.mallopt(-1, 16 << 20)
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def released() -> None:
+    """Gives free memory of this worker back: idle workers stay beside busy ones for a minute."""
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
+
+
+#: Bytes of a batch that goes back to the JVM, more or less; one row may be larger.
+OUT_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow, with results in small batches and memory given back at the end of each task."""
+
+    def lean(batches):
+        _libc()
+        for batch in run(batches):
+            n = batch.num_rows
+            step = -(-n // (batch.nbytes // OUT_BYTES + 1)) if n else 1
+            for a in range(0, n, step):
+                yield batch.slice(a, step)
+        del batches
+        released()
+
+    return df.mapInArrow(lean, schema)
+
+
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id, text (null: empty) and the named extra columns; other columns are left behind."""
     small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """documents() with mark, a hash of the text: rows that share a doc_id but not the text are rows of their own."""
+    return documents(docs).withColumn("mark", F.xxhash64("text"))
+
+
 @F.pandas_udf(BinaryType())
 def packed(text: pd.Series) -> pd.Series:
     """UTF-8 bytes under zstandard: a text that is only passed on crosses the shuffle at about half the size."""
@@ -176,6 +225,29 @@ def bucket_records(batches, dtype):
         yield np.frombuffer(b"".join(held), dtype)
 
 
+def bucket_runs(batches, columns):
+    """(bucket, arrays of the columns) for one bucket at a time, from batches sorted by their first column, the bucket."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, values = batch.column(0).to_numpy(), [batch.column(c).to_numpy() for c in columns]
+        for s, e in runs_of(key):
+            if key[s] != now and held:
+                yield now, [np.concatenate(c) for c in zip(*held)]
+                held = []
+            now = int(key[s])
+            held.append([v[s:e] for v in values])
+    if held:
+        yield now, [np.concatenate(c) for c in zip(*held)]
+
+
+def runs_of(key: np.ndarray):
+    """(start, end) of each run of equal values."""
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(0, np.int64)
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist())
+
+
 _BLOCK = 1 << 15
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches
+from .common import mapped, pieces, released, small_batches
 from .rolling import Rolling, code_points, words_of
 
 #: Hash buckets, vector length, character n-gram lengths.
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
         table, bias = train(held, y)
         yield pa.RecordBatch.from_arrays([pa.array([table.astype(np.float32).tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["table", "bias"])
 
-    got = texts.select("text", "quality").mapInArrow(learn, "table binary, bias double").collect()
+    got = mapped(texts.select("text", "quality"), learn, "table binary, bias double").collect()
     if not got:
         return np.zeros(BUCKETS, np.float32), 0.0
     return np.frombuffer(got[0]["table"], np.float32), got[0]["bias"]
@@ -126,6 +126,7 @@ def scorer(spark, model):
         table, bias = shared.value
         for text in parts:
             yield pd.Series(score_texts(text.fillna("").tolist(), table, bias))
+        released()
 
     return score
 

@@ -25,12 +25,12 @@ def table(spark, sf_dir, name):
 
 def encoded_and_decoded(docs, keep_ids=False):
     """Ids of each document and what they decode to, as digests; the ids themselves, too, where asked."""
-    names = [str(i) for i in range(1 << 17)]
+    names = [b"%d" % i for i in range(1 << 17)]
 
     def digest(ids, data):
-        return hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(data).hexdigest()
+        return hashlib.sha256(b" ".join(map(names.__getitem__, ids))).hexdigest(), hashlib.sha256(data).hexdigest()
 
-    return bpe.decode(bpe.encode(docs, *tokenizer()), *tokenizer(), digest, "ids_sha256 string, decoded_sha256 string", keep_ids)
+    return bpe.round_trip(docs, *tokenizer(), digest, "ids_sha256 string, decoded_sha256 string", keep_ids)
 
 
 def op1_bpe(spark, sf_dir):
