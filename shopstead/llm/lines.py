@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, blob_batch, chunks_of, dealt, documents, dropped, mix64, n_buckets, packed, pieces, split_by_bucket, stored, unpacked
-from .components import components
+from .common import BLOBS, blob_batch, chunks_of, dealt, dropped, mapped, marked, mix64, n_buckets, packed, pieces, split_by_bucket, stored, unpacked
+from .components import components, merged_roots
 from .jaccard import tree_links
 from .rolling import Rolling, code_points, is_space, lower_ascii
 
@@ -23,7 +23,7 @@ VISIBLE = 1
 _CHARS = 16_000_000
 _seeds = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _XOR, _MUL = (_seeds >> np.uint64(32)).astype(np.uint32), (_seeds & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
-BAND, PLACE = np.dtype([("g", "<u8"), ("k", "<u8")]), np.dtype([("k", "<u8"), ("d", "<i8"), ("l", "<i4")])
+BAND, PLACE = np.dtype([("g", "<u8"), ("k", "<u8")]), np.dtype([("k", "<u8"), ("d", "<i8"), ("m", "<i8"), ("l", "<i4")])
 
 
 class Lines:
@@ -79,15 +79,39 @@ def band_keys(lines: Lines, which: np.ndarray) -> np.ndarray:
     return out
 
 
-FOUND = "key long, doc_id long, line int, band long"
+#: What the survey finds. FIRST: the first place of a line (key, doc_id, mark, line). REPEAT: a place that an equal line
+#: precedes. RIVAL: a line (key) that shares a band with another (other).
+FIRST, REPEAT, RIVAL = range(3)
+FOUND = "kind int, key long, other long, doc_id long, mark long, line int"
+
+
+def _found(kind: int, **cols) -> pa.RecordBatch:
+    n = len(next(iter(cols.values())))
+    kinds = (("key", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("line", pa.int32()))
+    arrays = [pa.array(np.ascontiguousarray(cols[c]).view(np.int64) if t == pa.int64() else cols[c], t) if c in cols else pa.nulls(n, t) for c, t in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *arrays], names=["kind", *(c for c, _ in kinds)])
+
+
+def _first_places(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each line, and all others; a row that comes twice has each place once."""
+    rec = rec[np.lexsort((rec["l"], rec["m"], rec["d"], rec["k"]))]
+    if not len(rec):
+        return rec, rec
+    new = np.r_[True, rec["k"][1:] != rec["k"][:-1]]
+    later = ~new
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    for c in ("d", "m", "l"):
+        same = rec[c] == rec[c][first] if c == "d" else same & (rec[c] == rec[c][first])
+    return rec[new], rec[later & ~same]
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Where each line that is not blank occurs (band null), and the lines that share a band (doc_id null)."""
+    """FOUND rows for the lines of docs that are not blank. A chunk passes each line on once, with its first place in
+    it, so a line that most documents have is no more than a record a chunk for the task that collects it."""
     nb = n_buckets(docs, _CHARS)
 
     def deal(batches):
-        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 1_000_000):
+        for ids, texts, marks in chunks_of(batches, ("doc_id", "text", "mark"), "text", 1_000_000):
             keys, bands, places = [], [], []
             for a, b in pieces(texts):
                 lines = Lines(texts[a:b])
@@ -95,7 +119,8 @@ def survey(docs: DataFrame) -> DataFrame:
                 if not len(use):
                     continue
                 rec = np.empty(len(use), PLACE)
-                rec["k"], rec["d"], rec["l"] = lines.keys[use], np.array(ids[a:b], np.int64)[lines.text[use]], lines.number[use]
+                rec["k"], rec["l"] = lines.keys[use], lines.number[use]
+                rec["d"], rec["m"] = (np.array(x[a:b], np.int64)[lines.text[use]] for x in (ids, marks))
                 places.append(rec)
                 use = use[lines.end[use] - lines.start[use] >= SHINGLE]
                 if not len(use):
@@ -110,49 +135,52 @@ def survey(docs: DataFrame) -> DataFrame:
                 keys, at = np.unique(np.concatenate(keys), return_index=True)
                 rec = np.empty(len(keys) * BANDS, BAND)
                 rec["g"], rec["k"] = np.concatenate(bands)[at].ravel(), np.repeat(keys, BANDS)
-            places = np.concatenate(places)
-            found = ((nb + b, x) for b, x in split_by_bucket(np.ascontiguousarray(places["k"]), nb, places))
+            first, again = _first_places(np.concatenate(places))
+            found = [(nb + b, x) for b, x in split_by_bucket(np.ascontiguousarray(first["k"]), nb, first)]
+            if len(again):
+                found.append((2 * nb + int(again["k"][0] % np.uint64(nb)), again.tobytes()))
             yield blob_batch([*split_by_bucket(np.ascontiguousarray(rec["g"]), nb, rec), *found])
 
-    def batch_of(**cols):
-        n = len(next(iter(cols.values())))
-        kinds = (("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("band", pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cols[c]), t) if c in cols else pa.nulls(n, t) for c, t in kinds], names=[c for c, _ in kinds])
+    def rivals(blobs):
+        every = np.frombuffer(b"".join(blobs), BAND)
+        links = []
+        part = (every["g"] & np.uint64(7)).astype(np.uint8)  # an eighth of the bands at a time
+        for j in range(8):
+            rec = every[part == j]
+            g, k = np.ascontiguousarray(rec["g"]), np.ascontiguousarray(rec["k"]).view(np.int64)
+            order = np.lexsort((k, g))
+            g, k = g[order], k[order]
+            new = np.r_[True, g[1:] != g[:-1]] if len(g) else np.zeros(0, bool)
+            least = k[new][np.cumsum(new) - 1]
+            links.append((k[k != least], least[k != least]))
+        ids, roots = merged_roots(*map(np.concatenate, zip(*links)))
+        yield _found(RIVAL, key=ids[ids != roots], other=roots[ids != roots])
 
     def meet(batches):
-        now, held = None, []
-
-        def shared():
-            every = np.frombuffer(b"".join(held), BAND)
-            held.clear()
-            part = (every["g"] & np.uint64(7)).astype(np.uint8)  # an eighth of the bands at a time
-            for j in range(8):
-                rec = every[part == j]
-                if not len(rec):
-                    continue
-                g, k = np.ascontiguousarray(rec["g"]), np.ascontiguousarray(rec["k"])
-                order = np.lexsort((k, g))
-                g, k = g[order], k[order]
-                new = np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])]  # a line once a band
-                g, k = g[new], k[new]
-                same = g[1:] == g[:-1]
-                both = np.r_[False, same] | np.r_[same, False]
-                yield batch_of(key=k[both].view(np.int64), band=g[both].view(np.int64))
+        def solved():
+            if now < nb:
+                yield from rivals(held)
+                return
+            first, again = _first_places(np.frombuffer(b"".join(held), PLACE))
+            yield _found(FIRST, key=first["k"], doc_id=first["d"], mark=first["m"], line=first["l"])
+            yield _found(REPEAT, doc_id=again["d"], mark=again["m"], line=again["l"])
 
+        now, held = None, []
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if b >= nb:
+                if b >= 2 * nb:
                     rec = np.frombuffer(blob, PLACE)
-                    yield batch_of(key=np.ascontiguousarray(rec["k"]).view(np.int64), doc_id=rec["d"], line=rec["l"])
+                    yield _found(REPEAT, doc_id=rec["d"], mark=rec["m"], line=rec["l"])
                     continue
                 if b != now and held:
-                    yield from shared()
+                    yield from solved()
+                    held = []
                 now = b
                 held.append(blob)
         if held:
-            yield from shared()
+            yield from solved()
 
-    return dealt(docs.where("doc_id is not null").mapInArrow(deal, BLOBS), 2 * nb).mapInArrow(meet, FOUND)
+    return mapped(dealt(mapped(docs.where("doc_id is not null"), deal, BLOBS), 3 * nb), meet, FOUND)
 
 
 def _shingle_sets(items: list[bytes]) -> list[np.ndarray]:
@@ -168,8 +196,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, n, items) as tree_links takes them, for the wanted (key, doc_id, line): here doc_id is the line's key and
-    items its text, which is smaller than its shingles."""
+    """(doc_id, n, items) as tree_links takes them, for the wanted (key, doc_id, mark, line): here doc_id is the line's
+    key and items its text, which is smaller than its shingles."""
 
     def run(batches):
         for batch in batches:
@@ -182,30 +210,29 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n", "items"])
 
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "line")).alias("want"))
-    return docs.select("doc_id", packed("text").alias("z")).join(per_doc, "doc_id").select("z", "want").mapInArrow(run, "doc_id long, n long, items binary")
+    per_doc = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("key", "line")).alias("want"))
+    texts = docs.select("doc_id", "mark", packed("text").alias("z")).join(per_doc, ["doc_id", "mark"]).select("z", "want")
+    return mapped(texts, run, "doc_id long, n long, items binary")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, lines): numbers of the lines to drop in each document that has any. Lines are one when equal, or when
-    links of similarity >= 0.8 lead from one to the other; the occurrence with the least (doc_id, number) stays."""
+    """(doc_id, mark, lines): numbers of the lines to drop in each document of docs (see marked) that has any. Lines are
+    one when equal, or when links of similarity >= 0.8 lead from one to the other; the occurrence with the least
+    (doc_id, mark, number) stays."""
     found = stored(survey(docs), "lines")
-    places = found.where("band is null").select("key", "doc_id", "line")
-    shared = found.where("band is not null").select("key", "band")
-    least = shared.groupBy("band").agg(F.min("key").alias("least"))
-    rivals = stored(components(shared.join(least, "band").select("key", "least").where("key != least").distinct(), "key", "least"), "rivals")
-    firsts = places.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    wanted = rivals.select(F.col("id").alias("key")).join(firsts, "key").select("key", "first.*")
+    firsts = found.where(F.col("kind") == FIRST).select("key", "doc_id", "mark", "line")
+    rivals = components(found.where(F.col("kind") == RIVAL).select("key", "other"), "key", "other")
+    wanted = rivals.select(F.col("id").alias("key")).join(firsts, "key")
     sets = stored(_wanted_lines(docs, wanted), "sets")
-    joined = stored(components(tree_links(sets, rivals, NUM, read=_shingle_sets)), "joined")
+    joined = components(tree_links(sets, rivals, NUM, read=_shingle_sets))
     dropped(sets, rivals)
-    # lines that occur once and link with nothing are done; the others find their class and the place it keeps
-    counts = places.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
-    classes = counts.join(joined.withColumnRenamed("id", "key"), "key", "left").where("n > 1 or component is not null").select("key", "first", F.coalesce("component", "key").alias("class"))
-    classes = stored(classes, "classes")
-    keeps = classes.groupBy("class").agg(F.min("first").alias("keep"))
-    drops = places.join(classes.join(keeps, "class").select("key", "keep"), "key").where(F.struct("doc_id", "line") != F.col("keep"))
-    return drops.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    # a class keeps its least place; the anti-join goes by place, so a large class is spread over all tasks
+    members = stored(joined.select(F.col("id").alias("key"), "component").join(firsts, "key").select("component", "doc_id", "mark", "line"), "members")
+    dropped(joined)
+    place = ["doc_id", "mark", "line"]
+    keeps = members.groupBy("component").agg(F.min(F.struct(*place)).alias("keep")).select("keep.*")
+    drops = members.select(*place).join(keeps, place, "left_anti").unionByName(found.where(F.col("kind") == REPEAT).select(*place))
+    return drops.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, digest=None, columns: str = "kept string") -> DataFrame:
@@ -214,15 +241,16 @@ def dedup_lines(docs: DataFrame, digest=None, columns: str = "kept string") -> D
 
     Lines end at line feeds; those without visible characters always stay, those shorter than SHINGLE characters are
     compared by equality alone. Null and empty texts stay as
-    they are (kept is empty). Rows without doc_id are left whole and not compared; rows that repeat a doc_id lose the
-    same line numbers. Empty tables give empty results; extra columns pass through, columns of docs that have the names
+    they are (kept is empty). Rows without doc_id are left whole and not compared. Rows that repeat a doc_id and the
+    text lose the same lines, not each other's; those that repeat a doc_id with another text are documents of their own.
+    Empty tables give empty results; extra columns pass through, columns of docs that have the names
     of new ones are replaced.
     """
     new = [c.strip().split(" ")[0] for c in columns.split(",")]
-    rest = [c for c in docs.columns if c not in (*new, "n_dropped", "lines")]
-    drops = repeated_lines(documents(docs))
-    passed = [c for c in rest if c != "text"]
-    joined = docs.select(*passed, packed("text").alias("_z")).join(drops, "doc_id", "left").select(*passed, "_z", F.col("lines").alias("_lines"))
+    passed = [c for c in docs.columns if c not in (*new, "n_dropped", "text")]
+    drops = repeated_lines(marked(docs)).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("lines").alias("_lines"))
+    texts = docs.select(*passed, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_of"), packed("text").alias("_z"))
+    joined = texts.join(drops, (F.col("doc_id") == F.col("_doc")) & (F.col("_of") == F.col("_mark")), "left").select(*passed, "_z", "_lines")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*passed).schema)
 
     def run(batches):
@@ -240,7 +268,7 @@ def dedup_lines(docs: DataFrame, digest=None, columns: str = "kept string") -> D
                 out.append(digest(text) if digest else (text,))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], pa.array(whole, pa.string()), pa.array(n, pa.int64()), *map(pa.array, zip(*out))], names=[*passed, "text", "n_dropped", *new])
 
-    return joined.mapInArrow(run, f"{schema}, text string, n_dropped long, {columns}")
+    return mapped(joined, run, f"{schema}, text string, n_dropped long, {columns}")
 
 
 def kept_sha256(text: str) -> tuple[str]:
