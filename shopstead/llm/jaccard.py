@@ -7,13 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, blob_batch, bucket_records, chunks_of, dealt, documents, dropped, mix64, n_buckets, packed, pieces, stored, unpacked_chunks
+from .common import BLOBS, blob_batch, bucket_records, chunks_of, dealt, dropped, mapped, marked, mix64, n_buckets, packed, pieces, stored, unpacked_chunks
 from .components import components
 from .rolling import Rolling, code_points, lower_ascii, words_of
 from .sigtree import Block, links
 
 #: Set elements that one side of a block may hold (8 bytes each); larger groups are cut into blocks.
-BLOCK = 2_000_000
+BLOCK = 500_000
 _CHARS = 16_000_000
 
 
@@ -43,18 +43,40 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def _deal(ids: list[int], sets: list[np.ndarray], nb: int):
+#: Stands for the sets of a chunk that share an element.
+_SEVERAL = np.int64(-(1 << 63))
+
+
+def _deal(ids: list[int], sets: list[np.ndarray], nb: int, combine: bool = False):
     """Blobs of (element, set) by bucket of the element; each starts with the ids of the sets that occur in it and with
-    a number for the chunk, where its counts are to meet again."""
+    a number for the chunk, where its counts are to meet again.
+
+    combine: an element that several sets of the chunk have is counted for them here, in a blob past bucket nb, and
+    dealt once for all of them, so that a shingle of most documents is a record a chunk.
+    """
+    assert len(ids) < 65_535  # sets of a blob are numbered by 16 bits
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     h = np.concatenate(sets)
     if not len(h):
         return
     owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     bucket = (((h >> np.uint64(32)) * np.uint64(nb)) >> np.uint64(32)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
+    names = np.r_[np.array(ids, np.int64), _SEVERAL]
+    if combine:
+        order = np.argsort(h)
+        again = np.r_[False, h[order][1:] == h[order][:-1]]
+        several = again | np.r_[again[1:], False]
+        counts = np.bincount(owner[order[several]], minlength=len(sets))
+        some = np.flatnonzero(counts)
+        if len(some):
+            yield nb + int(ids[0]) % nb, np.int64(ids[0]).tobytes() + np.c_[names[some], counts[some]].astype(np.int64).tobytes()
+        owner[order[several]] = len(sets)
+        rest = order[~again]
+        h, owner, bucket = h[rest], owner[rest], bucket[rest]
+        order = np.lexsort((owner, bucket))
+    else:
+        order = np.argsort(bucket, kind="stable")
     bucket, owner, low = bucket[order], owner[order], (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    names = np.array(ids, np.int64)
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
     for s, e in zip(cuts[:-1], cuts[1:]):
         own = owner[s:e]
@@ -76,9 +98,10 @@ def _shared_counts(blobs: list[bytes]):
     shared = np.r_[False, same] | np.r_[same, False]
     counts = np.bincount(own[order][shared], minlength=base[-1])
     for x, (m, _, chunk), b in zip(blobs, heads, base):
-        c = counts[b : b + m]
-        if c.any():
-            yield int(chunk), np.c_[np.frombuffer(x, np.int64, m, 24)[c > 0], c[c > 0]].astype(np.int64).tobytes()
+        c, names = counts[b : b + m], np.frombuffer(x, np.int64, m, 24)
+        some = (c > 0) & (names != _SEVERAL)
+        if some.any():
+            yield int(chunk), np.c_[names[some], c[some]].astype(np.int64).tobytes()
 
 
 _COUNTS = "bucket long, blob binary"
@@ -96,6 +119,9 @@ def _count_shared(blobs: DataFrame, nb: int) -> DataFrame:
         now, held = None, []
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b >= nb:  # counted in its chunk
+                    yield out([(int(np.frombuffer(blob, np.int64, 1)[0]), blob[8:])])
+                    continue
                 if b != now and held:
                     yield out(_shared_counts(held))
                     held = []
@@ -112,21 +138,21 @@ def _count_shared(blobs: DataFrame, nb: int) -> DataFrame:
             np.add.at(sums, back, pairs[:, 1])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums)], names=["doc_id", "shared"])
 
-    met = dealt(blobs, nb).mapInArrow(count, _COUNTS)
-    back = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(total, "doc_id long, shared long")
+    met = mapped(dealt(blobs, 2 * nb), count, _COUNTS)
+    back = mapped(met.repartition("bucket").sortWithinPartitions("bucket"), total, "doc_id long, shared long")
     return back.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), k1, k2 (set key), a row a doc_id."""
+    """doc_id, n (set size), k1, k2 (set key), mark (of the text), a row a doc_id: that of its largest set."""
 
     def keys(batches):
-        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 500_000):
-            rows = np.array([(i, len(s), *set_key(s)) for i, s in zip(ids, shingle_sets(texts, width))], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], names=["doc_id", "n", "k1", "k2"])
+        for ids, texts, marks in chunks_of(batches, ("doc_id", "text", "mark"), "text", 500_000):
+            rows = np.array([(i, len(s), *set_key(s), m) for i, s, m in zip(ids, shingle_sets(texts, width), marks)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(5)], names=["doc_id", "n", "k1", "k2", "mark"])
 
-    rows = docs.where("doc_id is not null").mapInArrow(keys, "doc_id long, n long, k1 long, k2 long")
-    return rows.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("n", "k1", "k2")])
+    rows = mapped(docs.where("doc_id is not null"), keys, "doc_id long, n long, k1 long, k2 long, mark long")
+    return rows.groupBy("doc_id").agg(F.max(F.struct("n", "k1", "k2", "mark")).alias("set")).select("doc_id", "set.*")
 
 
 def _dealt_texts(docs: DataFrame, width: int, nb: int) -> DataFrame:
@@ -135,9 +161,9 @@ def _dealt_texts(docs: DataFrame, width: int, nb: int) -> DataFrame:
             for a in range(0, len(ids), 20_000):
                 part = texts[a : a + 20_000]
                 sets = [s for b, e in pieces(part) for s in shingle_sets(part[b:e], width)]
-                yield blob_batch(_deal(ids[a : a + 20_000], sets, nb))
+                yield blob_batch(_deal(ids[a : a + 20_000], sets, nb, combine=True))
 
-    return docs.where("doc_id is not null").mapInArrow(deal, BLOBS)
+    return mapped(docs.where("doc_id is not null"), deal, BLOBS)
 
 
 def _dealt_sets(sets: DataFrame, nb: int) -> DataFrame:
@@ -146,20 +172,21 @@ def _dealt_sets(sets: DataFrame, nb: int) -> DataFrame:
             if batch.num_rows:
                 yield blob_batch(_deal(batch.column(0).to_pylist(), [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()], nb))
 
-    return sets.select("doc_id", "items").mapInArrow(deal, BLOBS)
+    return mapped(sets.select("doc_id", "items"), deal, BLOBS)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, items): the sets of the wanted documents, each as the bytes of a sorted array. Texts come to the
-    wanted ids compressed, by one shuffle at every size: the ids grow with the corpus, so they are not broadcast."""
+    """(doc_id, n, items): the sets of the wanted (doc_id, mark), a row each, as the bytes of a sorted array. Texts come
+    to the wanted ids compressed, by one shuffle at every size: the ids grow with the corpus, so they are not broadcast."""
 
     def run(batches):
         for ids, texts in unpacked_chunks(batches, 500_000):
             sets = shingle_sets(texts, width)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "items"])
 
-    texts = docs.select("doc_id", packed("text").alias("z")).hint("merge")
-    return texts.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, items binary")
+    texts = docs.select("doc_id", "mark", packed("text").alias("z")).hint("merge").join(wanted, ["doc_id", "mark"])
+    once = texts.groupBy("doc_id", "mark").agg(F.first("z").alias("z"))  # a row that comes twice; no shuffle of its own
+    return mapped(once.select("doc_id", "z"), run, "doc_id long, n long, items binary")
 
 
 def _rivals(sets: DataFrame, num: int, den: int, nb: int) -> DataFrame:
@@ -223,8 +250,8 @@ def _rivals(sets: DataFrame, num: int, den: int, nb: int) -> DataFrame:
         if held:
             yield out(held)
 
-    counted = dealt(_dealt_sets(sets, nb), nb).mapInArrow(frequencies, _COUNTS)
-    rows = stored(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(prefixes, "element long, id long"), "prefixes")
+    counted = mapped(dealt(_dealt_sets(sets, nb), nb), frequencies, _COUNTS)
+    rows = stored(mapped(counted.repartition("bucket").sortWithinPartitions("bucket"), prefixes, "element long, id long"), "prefixes")
     least = rows.groupBy("element").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = components(rows.join(least, "element").select("id", "least").where("id != least").distinct(), "id", "least")
     found = stored(found, "rivals")
@@ -278,7 +305,7 @@ def tree_links(sets: DataFrame, rivals: DataFrame, num: int, den: int = 100, rea
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return placed.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two").mapInArrow(run, "a long, b long")
+    return mapped(placed.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two"), run, "a long, b long")
 
 
 def ngram_join(docs: DataFrame, width: int, num: int, den: int = 100) -> DataFrame:
@@ -292,17 +319,17 @@ def ngram_join(docs: DataFrame, width: int, num: int, den: int = 100) -> DataFra
        are merged by distributed connected components.
     No link between different sets is lost; within a group, pairs already connected are not compared again.
 
-    Null or empty texts have no elements, size 0 and component doc_id. Rows that repeat a doc_id count once; rows
-    without doc_id are left out, and so are extra columns. Empty tables give empty results.
+    Null or empty texts have no elements, size 0 and component doc_id. Rows that repeat a doc_id count once, as the one
+    with the largest set; rows without doc_id are left out, and so are extra columns. Empty tables give empty results.
     """
-    docs = documents(docs)
+    docs = marked(docs)
     nb = n_buckets(docs, _CHARS)
     known = stored(profile(docs, width), "profile")
     shared = _count_shared(_dealt_texts(docs, width, nb), nb)
     enough = F.col("shared") * den >= F.col("n") * num
     near = known.join(shared, "doc_id").where(enough)
-    classes = stored(near.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), "classes")
-    sets = stored(_sets_of(docs, classes, width), "sets")
+    classes = stored(near.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark")).alias("one")).select("k1", "k2", "one.*"), "classes")
+    sets = stored(_sets_of(docs, classes.select("doc_id", "mark"), width), "sets")
     rivals = _rivals(sets, num, den, nb)
     joined = components(tree_links(sets, rivals, num, den))
     dropped(sets, rivals)
