@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import shutil
+import tempfile
 import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, blob_batch, chunks_of, dealt, documents, mix64, n_buckets, shared_dir, split_by_bucket
+from .common import BLOBS, blob_batch, chunks_of, dealt, documents, mapped, mix64, n_buckets, pieces, shared_dir, split_by_bucket
 from .rolling import Rolling, code_points, lower_ascii, words_of
 
 #: Stand-ins for the start of a text (only ever a context) and its end (a token like others).
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000001)
 #: Characters of text that one shard of the bigram table stands for, and one of the word table.
-PAIR_CHARS, WORD_CHARS = 32_000_000, 100_000_000
+PAIR_CHARS, WORD_CHARS = 16_000_000, 100_000_000
 #: Different bigrams that a task holds while it sums them before the shuffle.
-HELD = 3_000_000
+HELD = 1_000_000
+#: Characters that a task works on at once.
+CHUNK = 1_500_000
+#: Contexts that may be spread over all shards, at most: a context left out is less than a millionth of all tokens, so
+#: the list stays below 8 MB and no shard gets more than that share on top of its own.
+MOST_COMMON = 1_000_000
 #: One document in SAMPLED is looked at to find contexts so common that their bigrams are spread over all shards. It
 #: decides only where a bigram is kept, never what is counted.
 SAMPLED = 64
@@ -37,8 +46,8 @@ def held_out(doc_id: Column) -> Column:
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """START, the words and END of each text in one array of hashes, and where each text's START is (end as last)."""
     parts, sizes = [], []
-    for a in range(0, len(texts), 400):
-        codes, starts = code_points(texts[a : a + 400])
+    for a, b in pieces(texts):
+        codes, starts = code_points(texts[a:b])
         ws, we = words_of(codes, starts)
         parts.append(Rolling(lower_ascii(codes)).slices(ws, we))
         sizes.append(np.diff(np.searchsorted(ws, starts)))
@@ -64,24 +73,28 @@ def _runs(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
 
 
-def _local(folder: str) -> str:
-    if "://" in folder and not folder.startswith("file://"):
-        raise ValueError(f"memory maps need a shared folder that is mounted on the workers; spark.checkpoint.dir is {folder}")
-    return "/" + folder.removeprefix("file:").lstrip("/")
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, mounted or not, and the folder's path in it."""
+    if "://" in folder and not folder.startswith("file:"):
+        return fs.FileSystem.from_uri(folder)
+    return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
 
 
 def _save(path: str, **arrays: np.ndarray) -> None:
     """Each array as path.name.npy, whole or not at all: a task that runs again writes the same file anew."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    store, path = _store(path)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     for name, x in arrays.items():
         part = f"{path}.{name}.{uuid.uuid4().hex}.part"
-        with open(part, "wb") as f:
-            np.save(f, x)
-        os.replace(part, f"{path}.{name}.npy")
+        with store.open_output_stream(part) as f:
+            np.lib.format.write_array_header_1_0(f, np.lib.format.header_data_from_array_1_0(x))
+            f.write(np.ascontiguousarray(x).data)
+        store.move(part, f"{path}.{name}.npy")
 
 
 def _common(docs: DataFrame, nb: int) -> np.ndarray:
-    """Contexts that make up more than 1 / (8 nb) of a sample; fewer than 8 nb by that."""
+    """Contexts that make up more than 1 / (8 nb) of a sample; fewer than 8 nb by that, and than MOST_COMMON."""
+    most = min(8 * nb, MOST_COMMON)
 
     def count(batches):
         for (texts,) in chunks_of(batches, ("text",), "text"):
@@ -90,9 +103,9 @@ def _common(docs: DataFrame, nb: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(k[often].view(np.int64)), pa.array(c[often])], names=["k", "c"])
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
-    rows = sample.mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k").limit(8 * nb).collect()
+    rows = mapped(sample, count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k").limit(most).collect()
     total = sum(r["c"] for r in rows)
-    return np.sort(np.array([r["k"] for r in rows if r["c"] * 8 * nb > total and r["c"] > 20], np.int64).view(np.uint64))
+    return np.sort(np.array([r["k"] for r in rows if r["c"] * most > total and r["c"] > 20], np.int64).view(np.uint64))
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -114,7 +127,7 @@ def train(docs: DataFrame) -> dict:
     """
     spark = docs.sparkSession
     nb, nw = max(6, n_buckets(docs, PAIR_CHARS)), max(6, n_buckets(docs, WORD_CHARS))
-    folder = f"{_local(shared_dir(spark))}/kneser-ney-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
     common = _common(docs, nb)
 
     def pairs(batches):
@@ -133,7 +146,7 @@ def train(docs: DataFrame) -> dict:
             return blob_batch((int(shard[s]), np.int64(e - s).tobytes() + v[s:e].tobytes() + w[s:e].tobytes() + c[s:e].tobytes()) for s, e in zip(cuts[:-1], cuts[1:]))
 
         held = []
-        for (texts,) in chunks_of(batches, ("text",), "text", 3_000_000):
+        for (texts,) in chunks_of(batches, ("text",), "text", CHUNK):
             seq, at = tokens(texts)
             first = np.ones(len(seq), bool)
             first[at[1:] - 1] = False  # an END is not a context
@@ -187,8 +200,8 @@ def train(docs: DataFrame) -> dict:
         if held:
             yield blob_batch(finish(now, held))
 
-    blobs = docs.select("text").mapInArrow(pairs, BLOBS)
-    words = blobs.repartition(nb, "bucket").sortWithinPartitions("bucket").mapInArrow(shard, BLOBS)
+    blobs = mapped(docs.select("text"), pairs, BLOBS)
+    words = mapped(blobs.repartition(nb, "bucket").sortWithinPartitions("bucket"), shard, BLOBS)
 
     def table(batches):
         def finish(b, after, before):
@@ -222,7 +235,7 @@ def train(docs: DataFrame) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], names=["totals"])
 
     by_word = words.select((F.col("bucket") % nw).alias("word"), "bucket", "blob").repartition(nw, "word").sortWithinPartitions("word", "bucket")
-    sums = np.array([r[0] for r in by_word.mapInArrow(table, "totals array<long>").collect()], np.int64).reshape(-1, 12).sum(axis=0)
+    sums = np.array([r[0] for r in mapped(by_word, table, "totals array<long>").collect()], np.int64).reshape(-1, 12).sum(axis=0)
     totals, seen = sums[:8], sums[8:]
     v, n, kinds, *a_counts, a3 = (int(x) for x in totals)
     low = _discounts(a_counts)
@@ -232,7 +245,20 @@ def train(docs: DataFrame) -> dict:
 
 @lru_cache(4096)
 def _mapped(path: str):
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+    """A memory map of a shard's array (None: no such shard): of the file itself where the shared folder is mounted, else
+    of this worker's copy in its own temporary folder, which a worker that starts anew makes again."""
+    store, place = _store(path)
+    if store.get_file_info(place).type != fs.FileType.File:
+        return None
+    if store.type_name != "local":
+        copy = f"{tempfile.gettempdir()}/{hashlib.sha256(path.encode()).hexdigest()}.npy"
+        if not os.path.exists(copy):
+            part = f"{copy}.{uuid.uuid4().hex}.part"
+            with store.open_input_stream(place) as source, open(part, "wb") as target:
+                shutil.copyfileobj(source, target, 1 << 20)
+            os.replace(part, copy)
+        place = copy
+    return np.load(place, mmap_mode="r")
 
 
 def _look_up(keys: np.ndarray, shards: np.ndarray, folder: str, key: str, values: tuple[str, ...]) -> list[np.ndarray]:
@@ -297,7 +323,7 @@ def score(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 3_000_000):
+        for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", CHUNK):
             seq, at = tokens(texts)
             logs, base, known = probabilities(seq, at, m)
             starts = at[:-1] - np.arange(len(texts))
@@ -305,4 +331,4 @@ def score(docs: DataFrame, train_on: Column | None = None) -> DataFrame:
             cols = [pa.array(ids, pa.int64()), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.full(len(n), m["N"], np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts))]
             yield pa.RecordBatch.from_arrays(cols, names=list(names))
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return mapped(docs, run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
