@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, stored
+from .common import Forest, dropped, mapped, stored
 from .components import components
 
 COSINE = 0.98
@@ -92,7 +92,7 @@ def _listed(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(filters, pa.list_(pa.int64()))], names=[*names, "filters"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
-    return classes.mapInArrow(run, f"{schema}, filters array<long>")
+    return mapped(classes, run, f"{schema}, filters array<long>")
 
 
 def _common_before(now: int, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -160,13 +160,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without label, link with nothing,
     as do vectors of different lengths. Rows that repeat a vec_id are vectors of their own. A null vec_id has no
-    component unless linked. Extra columns are left behind; empty tables give empty results.
+    component unless linked to a row that has one. Extra columns are left behind; empty tables give empty results.
     """
     rows = vectors.select("vec_id", "embedding", "label", F.xxhash64("label", "embedding").alias("mark"), _usable().alias("usable"))
     good = rows.where("usable")
-    classes = good.groupBy("label", "mark", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = stored(classes, "vectors")
-    listed = stored(_listed(classes.where("rep is not null").select("label", "rep", "copies", "embedding")), "caps")
+    classes = good.groupBy("label", "mark", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = stored(classes.withColumnRenamed("mark", "rep"), "vectors")  # the 64-bit hash of label and vector names a class
+    listed = stored(_listed(classes.select("label", "rep", "copies", "embedding")), "caps")
     flat = listed.withColumn("cap", F.explode("filters")).withColumn("dim", F.size("embedding"))
     sizes = listed.select("label", F.size("embedding").alias("dim"), F.explode("filters").alias("cap")).groupBy("label", "dim", "cap").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select("label", "dim", "cap", F.ceil(F.col("n") / BLOCK).alias("blocks"))
@@ -206,11 +206,14 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             yield out(found)
 
     ordered = met.repartition(*keys).sortWithinPartitions(*keys, "rep")
-    found = stored(ordered.mapInArrow(run, "kind string, a long, b long"), "links")
+    found = stored(mapped(ordered, run, "kind string, a long, b long"), "links")
     counts = found.where("kind = 'count'").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("others"))
     joined = components(found.where("kind = 'link'").select("a", "b")).withColumnRenamed("id", "rep")
-    done = classes.join(counts, "rep", "left").join(joined, "rep", "left")
-    done = done.select("label", "mark", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.join(done, ["label", "mark", "embedding"]).select("vec_id", "n_links", "component_id")
+    known = stored(classes.join(counts, "rep", "left").join(joined, "rep", "left"), "known")
+    dropped(classes, listed, found)
+    named = known.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
+    done = known.join(named, "component", "left")
+    done = done.select(F.col("rep").alias("mark"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    linked = good.select("vec_id", "mark").join(done, "mark").select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
