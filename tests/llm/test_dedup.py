@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from shopstead.llm import caps, components, imatch, jaccard, lines, sigtree, substrings
+from shopstead.llm import caps, common, components, imatch, jaccard, lines, sigtree, substrings
 
 LOW = {c: c + 32 for c in range(65, 91)}
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,16 +153,16 @@ def test_hot_bucket_is_split(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (bytes(r.kept), [(x.start, x.end) for x in r.spans]) for r in substrings.cut_repeats(docs, 100).collect()}
     assert got == brute_repeats(rows, 100)
-    found = substrings._first_pass(docs, 100).where("key is not null").cache()
-    dealt = substrings._spread(docs, found, 100).where("kind = 1").collect()
-    places = [(int(x["d"]), int(x["p"])) for r in dealt for x in np.frombuffer(r.data, substrings.WINDOW)]
+    found = substrings._first_pass(common.marked(docs), 100).where("key is not null").cache()
+    dealt = substrings._spread(common.marked(docs), found, 100).where("kind = 1").collect()
+    places = [(int(x["d"]), int(x["m"]), int(x["p"])) for r in dealt for x in np.frombuffer(r.data, substrings.WINDOW)]
     assert len({r.key for r in dealt}) > 1
     assert places and len(places) == len(set(places))  # no window goes to two parts
 
 
 def test_samples_fill_all_buckets():
     text = bytes(random.Random(2).choices(range(97, 123), k=40_000))
-    h, rec = substrings.sampled([1], [text], 100)
+    h, rec = substrings.sampled([1], [1], [text], 100)
     sizes = {b: len(x) // rec.itemsize for b, x in substrings.split_by_bucket(h, 16, rec)}
     assert len(sizes) == 16 and max(sizes.values()) < len(rec) / 4
 
