@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,20 +93,19 @@ def frontier(links: DataFrame) -> DataFrame:
     return links.withColumn("rank", F.row_number().over(order))
 
 
-def crawl(pages: DataFrame, starts: DataFrame, most_pages: int, depth: int = 20) -> DataFrame:
+def crawl(pages: DataFrame, starts: DataFrame, most_pages: int) -> DataFrame:
     """Breadth-first crawl of stored pages (url, links, status) from starts (site, url), `most_pages` a site.
 
-    Each round joins the frontier to the pages and leaves out what was seen; at most `depth` rounds run, whatever the
-    number of pages. Within a round pages are taken in frontier order. Returns (site, url, round, n).
+    Each round joins the frontier to the pages and leaves out what was seen; rounds run until no site has anything new
+    to read. Within a round pages are taken in frontier order. Returns (site, url, round, n). Rounds are cut by
+    checkpoint(), so the session needs a checkpoint folder, which the driver and all executors share.
     """
-    spark = pages.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    folder = pages.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        pages.sparkSession.sparkContext.setCheckpointDir(folder)
     todo = starts.select("site", "url").withColumn("seq", F.lit(0).cast("long"))
     seen = fetched = None
-    for step in range(depth):
+    for step in itertools.count():
         hits = todo.join(pages, "url").where("status = 200")
         if fetched is not None:
             have = fetched.groupBy("site").agg(F.count("*").alias("have"))
@@ -114,9 +115,9 @@ def crawl(pages: DataFrame, starts: DataFrame, most_pages: int, depth: int = 20)
         order = Window.partitionBy("site").orderBy(urls.frontier_class(F.col("url")), "seq", "url")
         got = hits.withColumn("k", F.row_number().over(order)).where(F.col("k") + F.coalesce("have", F.lit(0)) <= most_pages)
         got = got.select("site", "url", F.lit(step).alias("round"), (F.col("k") + F.coalesce("have", F.lit(0))).alias("n"), "links").checkpoint()
-        fetched = got.drop("links") if fetched is None else fetched.unionByName(got.drop("links"))
-        seen = todo.select("site", "url") if seen is None else seen.unionByName(todo.select("site", "url"))
-        nxt = got.select("site", "n", F.posexplode("links").alias("i", "url")).groupBy("site", "url").agg(F.min(F.col("n") * 1000 + F.col("i")).cast("long").alias("seq"))
+        fetched = got.drop("links") if fetched is None else fetched.unionByName(got.drop("links")).checkpoint()
+        seen = todo.select("site", "url") if seen is None else seen.unionByName(todo.select("site", "url")).checkpoint()
+        nxt = got.select("site", "n", F.posexplode("links").alias("i", "url")).groupBy("site", "url").agg(F.min(F.col("n").cast("long") * 1_000_000 + F.col("i")).cast("long").alias("seq"))
         todo = nxt.join(seen.distinct(), ["site", "url"], "left_anti").checkpoint()
         if todo.isEmpty():
             break

@@ -78,6 +78,48 @@ PROJECTIONS: dict[str, tuple[str, str]] = {
         CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_quantity AS INT) * 30 END AS width,
         CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE CAST(l_quantity AS INT) * 24 END AS height, l_orderkey * 8 + l_linenumber AS position""",
     ),
+    "providers": (
+        "nation",
+        """concat('p', n_nationkey) AS key, CAST(n_nationkey % 5 AS INT) AS capability, n_name AS label, CASE WHEN n_nationkey % 3 = 0 THEN 'LOCAL_FREE' ELSE 'EXTERNAL_PAID' END AS tier,
+        CAST(n_nationkey * 7 % 10 AS INT) AS priority, n_nationkey % 8 <> 5 AS implemented, n_nationkey % 4 <> 2 AS configured""",
+    ),
+    "provider_settings": (
+        "customer",
+        """c_custkey % 150 AS workspace_id, concat('p', CAST(floor(c_custkey / 150) AS INT)) AS key, c_custkey % 3 <> 0 AS enabled,
+        CAST(c_custkey % 7 * 5000 AS BIGINT) AS daily_cents, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 11 * 20000 AS BIGINT) END AS monthly_cents""",
+    ),
+    "provider_calls": (
+        "events",
+        """event_id AS id, user_id AS workspace_id, CAST(event_id % 5 AS INT) AS capability, event_id % 10 = 0 AS zero_cost,
+        CAST(round(value * 100) AS BIGINT) AS estimated_cents, event_id % 7 <> 0 AS succeeded""",
+    ),
+    "memberships": (
+        "customer",
+        """c_custkey % 150 AS user_id, c_custkey % 40 AS workspace_id, CASE c_custkey % 4 WHEN 0 THEN 'VIEWER' WHEN 1 THEN 'MEMBER' WHEN 2 THEN 'ADMIN' ELSE 'OWNER' END AS role""",
+    ),
+    "sessions": ("events", "event_id AS id, user_id, ts + INTERVAL 3 DAY AS expires_at"),
+    "access_requests": ("events", "event_id AS id, user_id, event_id % 40 AS workspace_id"),
+    "businesses": (
+        "supplier",
+        """s_suppkey AS id, s_suppkey % 40 AS workspace_id, s_name AS name, CAST(s_suppkey * 37 % 101 AS INT) AS created_at, CASE WHEN s_suppkey % 9 = 0 THEN 1 END AS archived_at,
+        CASE s_suppkey % 5 WHEN 0 THEN 'SALES' WHEN 1 THEN 'LEADS' WHEN 2 THEN 'CUSTOMERS' WHEN 3 THEN 'AWARENESS' END AS goal,
+        CASE WHEN s_suppkey % 3 <> 0 THEN 1000 END AS budget_amount_cents, CASE WHEN s_suppkey % 7 <> 0 THEN 'DAILY' END AS budget_period""",
+    ),
+    "scans": (
+        "part",
+        """p_size AS website_id, concat('shop', p_size, '.example') AS host, p_size % 6 = 0 AS is_first, CAST(p_size % 4 AS INT) AS pages, CAST(p_size % 12 AS INT) AS products""",
+    ),
+    "websites": ("customer", "c_custkey AS id, c_custkey % 60 AS business_id, CAST(c_custkey * 53 % 997 AS INT) AS created_at"),
+    "site_pages": (
+        "events",
+        """event_id AS id, user_id AS website_id, concat('/page/', event_id) AS url, CAST(event_id * 31 % 1009 AS INT) AS fetched_at,
+        CASE event_id % 12 WHEN 0 THEN 'HOME' WHEN 1 THEN 'PRODUCT' WHEN 2 THEN 'FAQ' WHEN 3 THEN 'SHIPPING' WHEN 4 THEN 'ABOUT' WHEN 5 THEN 'CONTACT' WHEN 6 THEN 'RETURNS' WHEN 7 THEN 'CATEGORY' ELSE 'OTHER' END AS page_type""",
+    ),
+    "inferences": (
+        "events",
+        """event_id AS id, user_id AS business_id, concat('said ', event_id) AS statement, CAST(event_id % 13 AS INT) AS created_at,
+        CASE event_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' ELSE 'MEDIUM' END AS uncertainty""",
+    ),
 }
 
 
