@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .money import parse_price
+from .money import let, parse_price
 
 
 #: A word boundary by ASCII letters, digits and underscore, whatever the engine's own \\b takes for letters.
@@ -13,7 +16,26 @@ _EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def ascii_edges(pattern: str) -> str:
-    return pattern.replace(r"\b", _EDGE)
+    """pattern with ASCII word boundaries; where a word must follow, a look behind is enough, and much cheaper."""
+    out, rest = "", pattern
+    while r"\b" in rest:
+        head, rest = rest.split(r"\b", 1)
+        out += head + (r"(?<!\w)" if _starts_word(rest) else _EDGE)
+    return out + rest
+
+
+def _starts_word(pattern: str) -> bool:
+    """Whether all that a pattern matches starts with an ASCII letter or digit."""
+    if not pattern.startswith("(?:"):
+        return pattern[:2] == r"\d" or pattern[:1].isascii() and pattern[:1].isalnum()
+    depth, heads, at = 0, [3], 0
+    for at, c in enumerate(pattern):
+        depth += (c in "([") - (c in ")]")
+        if depth == 0:
+            break
+        if depth == 1 and c == "|":
+            heads.append(at + 1)
+    return pattern[at + 1 : at + 2] not in ("?", "*") and all(_starts_word(pattern[h:]) for h in heads)
 
 
 def sanitise(text: Column) -> Column:
@@ -89,12 +111,28 @@ OFFER_PATTERNS = [
 ]
 
 
+#: Lower-case strings of which a match of the pattern at that place holds one: texts without skip the pattern.
+OFFER_HINTS = (("%",), ("%",), ("save",), ("buy",), ("bogo", "for"), ("free",))
+
+
+def holds_any(lowered: Column, hints: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(lowered, F.lit(h)) for h in hints])
+
+
 def stated_offers(text: Column) -> Column:
     """array<struct<kind, value, source_text>>: the first match of each pattern, each (kind, value) once."""
+    return let(F.struct(text.alias("text"), F.lower(text).alias("lowered")), lambda t: let(_offers(t["text"], t["lowered"]), _each_once))
+
+
+def _each_once(every: Column) -> Column:
+    return F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: (y["kind"] == x["kind"]) & y["value"].eqNullSafe(x["value"])))
+
+
+def _offers(text: Column, lowered: Column) -> Column:
     found = []
-    for kind, pattern, what in OFFER_PATTERNS:
+    for (kind, pattern, what), hints in zip(OFFER_PATTERNS, OFFER_HINTS):
         pattern = ascii_edges(pattern)
-        whole = F.regexp_extract(text, pattern, 0)
+        whole = F.when(holds_any(lowered, hints), F.regexp_extract(text, pattern, 0)).otherwise("")
         value = F.lit(None).cast("long")
         ok = whole != ""
         if what == "percent":
@@ -104,8 +142,7 @@ def stated_offers(text: Column) -> Column:
             value = parse_price(F.regexp_extract(text, pattern, 1), F.lit(None).cast("string"))["cents"]
             ok = ok & value.isNotNull()
         found.append(F.when(ok, F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.substring(F.trim(whole), 1, 120).alias("source_text"))))
-    every = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: (y["kind"] == x["kind"]) & y["value"].eqNullSafe(x["value"])))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 #: Wording that looks like an instruction to a model. A signal, never a filter.

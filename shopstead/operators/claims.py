@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import format_cents
-from ..functions.text import ascii_edges
+from ..functions.text import ascii_edges, holds_any
 
 #: What counts as an amount, a discount, and a claim of each kind.
 MONEY = r"[$£€¥]\s?\d(?:[\d.,]*\d)?"
@@ -17,6 +17,13 @@ CLAIMS = {
     "manufactured-urgency": r"(?i)\b(?:only\s+\d+\s+left|last chance|ends (?:today|tonight|soon)|hurry|while stocks last|limited time)\b",
     "regulated-promise": r"(?i)\b(?:cures?|heals?|treats?|clinically proven|doctor recommended|lose \d+|earn \$?\d+|risk[- ]free|money[- ]back)\b",
 }
+#: Lower-case strings of which every match holds one: texts without skip the pattern.
+HINTS = {
+    "unsubstantiated-superlative": ("best", "greatest", "finest", "#", "number one", "leading", "unbeatable", "guaranteed", "perfect", "miracle", "revolutionary"),
+    "unverifiable-statistic": ("%", "customers", "reviews", "sold", "users", "stars", "out of "),
+    "manufactured-urgency": ("left", "last", "ends ", "hurry", "limited time"),
+    "regulated-promise": ("cure", "heal", "treat", "proven", "recommended", "lose ", "earn ", "risk", "money"),
+}
 
 
 def _violations(rule: str, excerpts: Column) -> Column:
@@ -36,7 +43,10 @@ def check(copy: DataFrame) -> DataFrame:
     the site itself uses passes; restrictions always bite.
     """
     c = F.col
-    every = F.concat_ws("\n", *[F.coalesce(c(x), F.lit("")) for x in ("headline", "primary_text", "description", "cta")])
+    text = F.concat_ws("\n", *[F.coalesce(c(x), F.lit("")) for x in ("headline", "primary_text", "description", "cta")])
+    columns, every, low = copy.columns, c("_text"), c("_low")
+    copy = copy.withColumn("_text", text).withColumn("_low", F.lower("_text"))  # columns, so that each is worked out once
+    matches = lambda hints, pattern, group: F.when(holds_any(low, hints), F.regexp_extract_all(every, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
     prices = F.coalesce("stated_price_cents", F.array().cast("array<long>"))
     allowed = F.flatten(F.transform(prices, lambda p: F.array(format_cents(p), F.format_string("%.2f", p / 100), F.floor(p / 100 + 0.5).cast("long").cast("string"))))
     two = lambda n: F.format_string("%.2f", n.try_cast("double"))
@@ -47,18 +57,18 @@ def check(copy: DataFrame) -> DataFrame:
         has = lambda x: F.coalesce(F.array_contains(allowed, x), F.lit(False))
         return ~(has(tight) | has(number) | has(two(number)) | has(_whole(number)))
 
-    money_ = F.filter(F.regexp_extract_all(every, F.lit(MONEY), F.lit(0)), unsupported)
+    money_ = F.filter(matches(("$", "£", "€", "¥"), MONEY, 0), unsupported)
     percents = F.coalesce("allowed_percents", F.array().cast("array<int>"))
-    found = F.arrays_zip(F.regexp_extract_all(every, F.lit(PERCENT_OFF), F.lit(0)).alias("m"), F.regexp_extract_all(every, F.lit(PERCENT_OFF), F.lit(1)).alias("n"))
-    percent = F.transform(F.filter(found, lambda x: ~F.array_contains(percents, x["n"].cast("int"))), lambda x: x["m"])
+    number = lambda m: F.regexp_extract(m, r"^\d+", 0).cast("int")
+    percent = F.filter(matches(("%",), PERCENT_OFF, 0), lambda m: ~F.array_contains(percents, number(m)))
     verified = F.lower(F.coalesce("verified_text", F.lit("")))
     rules = [_violations("unstated-price", money_), _violations("unsupported-discount", percent)]
     for rule, pattern in CLAIMS.items():
-        rules.append(_violations(rule, F.filter(F.regexp_extract_all(every, F.lit(ascii_edges(pattern)), F.lit(0)), lambda m: ~F.contains(verified, F.lower(m)))))
-    banned = F.filter(F.coalesce("restrictions", F.array().cast("array<string>")), lambda r: (F.trim(r) != "") & F.contains(F.lower(every), F.lower(F.trim(r))))
+        rules.append(_violations(rule, F.filter(matches(HINTS[rule], ascii_edges(pattern), 0), lambda m: ~F.contains(verified, F.lower(m)))))
+    banned = F.filter(F.coalesce("restrictions", F.array().cast("array<string>")), lambda r: (F.trim(r) != "") & F.contains(low, F.lower(F.trim(r))))
     rules.append(_violations("merchant-restriction", banned))
     checked = copy.withColumn("violations", F.concat(*rules))
-    return checked.withColumn("ok", F.size("violations") == 0)
+    return checked.select(*columns, "violations", (F.size("violations") == 0).alias("ok"))
 
 
 def labelled(checked: DataFrame, group: list[str], order: str) -> DataFrame:

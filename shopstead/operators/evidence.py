@@ -38,11 +38,16 @@ def facts_text(facts: DataFrame, owner: str, most: int = FACTS, least: int = LEA
 
 
 def product_block(p: DataFrame) -> Column:
-    """Name, price, availability and description of a product, a line each; lines that nothing is known for are left out."""
-    from ..functions.money import format_cents
-
-    line = lambda label, value: F.when(value.isNotNull(), F.concat(F.lit(f"{label}: "), value))
-    return F.concat_ws("\n", line("Product", p["name"]), line("Price", format_cents(p["price_cents"])), line("Was", format_cents(p["compare_price_cents"])), line("Availability", p["availability"]))
+    """A product in lines: name, description and whose words it is, price, brand, category, reference, availability. A
+    description and a price that are not known are said to be so; other lines that nothing is known for are left out.
+    Columns that p lacks count as not known."""
+    c = lambda name: F.col(name) if name in p.columns else F.lit(None).cast("string")
+    says = description(c("owner_description"), c("description"))
+    line = lambda label, value: F.when(value != "", F.concat(F.lit(f"{label}: "), value))
+    told = F.when(says["source"] == "owner", F.concat(F.lit("Description (from the owner): "), says["text"]))
+    told = told.when(says["source"] == "page", F.concat(F.lit("Description (from the product page): "), says["text"])).otherwise("Description: none given — do not invent one.")
+    price = F.when(c("price_cents").isNull(), "Price: not stated").otherwise(F.rtrim(F.concat(F.lit("Price: "), F.format_string("%.2f", F.coalesce(c("price_cents").cast("long"), F.lit(0)) / 100), F.lit(" "), F.coalesce(c("currency"), F.lit("")))))
+    return F.concat_ws("\n", line("Product", c("name")), told, price, line("Brand", c("brand")), line("Category", c("category")), line("Reference", c("sku")), line("Availability", c("availability")))
 
 
 def image_lines(images: DataFrame, alts: DataFrame, owner: str, most: int = IMAGES) -> DataFrame:
@@ -54,8 +59,16 @@ def image_lines(images: DataFrame, alts: DataFrame, owner: str, most: int = IMAG
     return first.withColumn("n", F.row_number().over(order)).where(f"n <= {most}").withColumn("line", F.concat(F.lit("- "), "alt_text"))
 
 
+def pages_text(pages: DataFrame, owner: str, order: str, most: int = PAGES) -> DataFrame:
+    """Each owner's first pages (page_type, title, url, text) under the budget, as blocks in order."""
+    first = pages.withColumn("_n", F.row_number().over(Window.partitionBy(owner).orderBy(order))).where(f"_n <= {most}")
+    blocks = budgeted_pages(first, owner, "_n").withColumn("block", page_block(F.col("page_type"), F.col("title"), F.col("url"), F.col("slice")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "block"))), lambda x: x["block"]), "\n\n")
+    return blocks.groupBy(owner).agg(F.count("*").alias("n_pages"), text.alias("pages_text"))
+
+
 def dossier(facts: DataFrame, products: DataFrame, owner: str) -> DataFrame:
-    """Facts and product blocks of each owner in one row."""
+    """Facts and product blocks of each owner in one row; pages_text gives the pages beside them."""
     order = Window.partitionBy(owner).orderBy("id")
     blocks = products.withColumn("block", product_block(products)).withColumn("n", F.row_number().over(order)).where(f"n <= {PRODUCTS}")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), "\n\n")

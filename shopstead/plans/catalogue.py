@@ -217,7 +217,7 @@ _OFFER_SQL = " UNION ALL ".join(
   SELECT doc_id, kind, value, trim(m)[1:120] AS source_text FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, kind, value ORDER BY n) = 1""")
 def stated_offers(spark, sf_dir):
     offers = text.stated_offers(F.expr(_COPY))
-    return _docs(spark, sf_dir).select("doc_id", F.explode(offers).alias("o")).select("doc_id", "o.*")
+    return _docs(spark, sf_dir).select("doc_id", F.explode_outer(offers).alias("o")).where("o is not null").select("doc_id", "o.*")
 
 
 _SIGNALS = ", ".join(f"CASE WHEN regexp_matches(s, '{p}') THEN '{n}' END" for n, p in text.INJECTION.items())
@@ -243,7 +243,7 @@ def claim_violations(spark, sf_dir):
     empty = F.lit("")
     copy = _docs(spark, sf_dir).select("doc_id", empty.alias("headline"), F.expr(_COPY).alias("primary_text"), empty.alias("description"), empty.alias("cta"), F.array(F.lit(2000).cast("long")).alias("stated_price_cents"), F.array(F.lit(15)).alias("allowed_percents"), empty.alias("verified_text"), F.array(F.lit("")).alias("restrictions"))
     copy = copy.withColumns({"headline": F.lit(None).cast("string"), "primary_text": F.col("primary_text")})
-    found = claims.check(copy).select("doc_id", F.explode("violations").alias("v")).select("doc_id", "v.*")
+    found = claims.check(copy).select("doc_id", F.explode_outer("violations").alias("v")).where("v is not null").select("doc_id", "v.*")  # an inner explode works violations out twice
     return found.groupBy("doc_id", "rule", "excerpt").agg(F.count("*").alias("n"))
 
 
@@ -260,22 +260,34 @@ def price_parse(spark, sf_dir):
     return rows.select("id", money.parse_price(F.col("raw"), F.lit(None).cast("string")).alias("p")).select("id", "p.cents", "p.currency")
 
 
-@query("""WITH t AS (SELECT source, doc_id, lang, trim(text) AS t FROM documents WHERE trim(text) <> ''), w AS (SELECT *, least(length(t), 1200) AS want FROM t),
+@query("""WITH t AS (SELECT source, doc_id, lang, trim(text) AS t FROM documents WHERE trim(text) <> ''), w AS (SELECT *, least(length(t), 12000) AS want FROM t),
   b AS (SELECT *, coalesce(sum(want) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM w)
   SELECT source, doc_id, CAST(least(want, 30000 - used) AS BIGINT) AS take, md5(t[1:CAST(least(want, 30000 - used) AS BIGINT)]) AS slice_md5 FROM b WHERE least(want, 30000 - used) > 0""")
 def evidence_pages_budget(spark, sf_dir):
-    kept = evidence.budgeted_pages(_docs(spark, sf_dir), "source", "doc_id", 1200, 30_000)
+    kept = evidence.budgeted_pages(_docs(spark, sf_dir), "source", "doc_id")
     return kept.select("source", "doc_id", F.col("take").cast("long").alias("take"), F.md5("slice").alias("slice_md5"))
 
 
+_DOSSIER_PAGES = "SELECT doc_id % 50 + 1 AS business_id, doc_id AS id, 'ABOUT' AS page_type, lang AS title, '/p/' || doc_id AS url, text FROM documents"
+
+
 @query(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY id) AS n FROM {as_sql("products")}),
-  m AS (SELECT *, CASE WHEN price_cents IS NOT NULL THEN '$' || regexp_replace(format('{{:,.2f}}', price_cents / 100.0::DOUBLE), '\\.00$', '') END AS price, CASE WHEN compare_price_cents IS NOT NULL THEN '$' || regexp_replace(format('{{:,.2f}}', compare_price_cents / 100.0::DOUBLE), '\\.00$', '') END AS was FROM p WHERE n <= 40),
-  b AS (SELECT business_id, n, concat_ws(chr(10), 'Product: ' || name, 'Price: ' || price, 'Was: ' || was, 'Availability: ' || availability) AS block FROM m)
-  SELECT business_id, count(*) AS n_products, md5(string_agg(block, chr(10) || chr(10) ORDER BY n)) AS text_md5 FROM b GROUP BY 1""")
+  b AS (SELECT business_id, n, concat_ws(chr(10), 'Product: ' || name, CASE WHEN id % 3 = 0 THEN 'Description (from the owner): made by us' WHEN id % 3 = 1 THEN 'Description (from the product page): as seen' ELSE 'Description: none given — do not invent one.' END,
+    CASE WHEN price_cents IS NULL THEN 'Price: not stated' ELSE 'Price: ' || format('{{:.2f}}', price_cents / 100.0::DOUBLE) || ' USD' END, 'Brand: ' || brand, 'Availability: ' || availability) AS block FROM p WHERE n <= 40),
+  f AS (SELECT owner_id AS business_id, key || ': ' || value AS line, row_number() OVER (PARTITION BY owner_id ORDER BY confidence DESC, key, value, seq) AS n FROM {as_sql("facts")}),
+  h AS (SELECT business_id, count(*) AS n_facts, md5(string_agg(line, chr(10) ORDER BY n)) AS facts_md5 FROM f WHERE n <= 120 GROUP BY 1 HAVING count(*) >= 3),
+  w AS (SELECT *, trim(text) AS t, row_number() OVER (PARTITION BY business_id ORDER BY id) AS n FROM ({_DOSSIER_PAGES})),
+  v AS (SELECT *, least(length(t), 12000) AS want FROM w WHERE n <= 8 AND t <> ''), u AS (SELECT *, least(want, 30000 - coalesce(sum(want) OVER (PARTITION BY business_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS take FROM v),
+  g AS (SELECT business_id, count(*) AS n_pages, md5(string_agg('--- ABOUT page: ' || coalesce(title, url) || chr(10) || '(' || url || ')' || chr(10) || t[1:CAST(take AS BIGINT)], chr(10) || chr(10) ORDER BY n)) AS pages_md5 FROM u WHERE take > 0 GROUP BY 1),
+  k AS (SELECT business_id, count(*) AS n_products, md5(string_agg(block, chr(10) || chr(10) ORDER BY n)) AS products_md5 FROM b GROUP BY 1)
+  SELECT business_id, n_facts, facts_md5, n_products, products_md5, n_pages, pages_md5 FROM h LEFT JOIN k USING (business_id) LEFT JOIN g USING (business_id)""")
 def evidence_dossier(spark, sf_dir):
-    p = project(spark, sf_dir, "products")
-    some = spark.range(3).crossJoin(p.select("business_id").distinct()).select("business_id", F.col("id").alias("seq"), F.lit("k").alias("key"), F.lit("v").alias("value"), F.lit(1.0).alias("confidence"))
-    return evidence.dossier(some, p, "business_id").select("business_id", "n_products", F.md5("products_text").alias("text_md5"))
+    own, page = F.when(F.col("id") % 3 == 0, " made by us "), F.when(F.col("id") % 3 <= 1, "as seen")
+    p = project(spark, sf_dir, "products").withColumns({"owner_description": own, "description": page})
+    said = project(spark, sf_dir, "facts").withColumnRenamed("owner_id", "business_id")
+    read = _docs(spark, sf_dir).selectExpr("doc_id % 50 + 1 AS business_id", "doc_id AS id", "'ABOUT' AS page_type", "lang AS title", "concat('/p/', doc_id) AS url", "text")
+    found = evidence.dossier(said, p, "business_id").join(evidence.pages_text(read, "business_id", "id"), "business_id", "left")
+    return found.select("business_id", "n_facts", F.md5("facts_text").alias("facts_md5"), "n_products", F.md5("products_text").alias("products_md5"), "n_pages", F.md5("pages_text").alias("pages_md5"))
 
 
 _UNIT = "(('0x' || substr(sha256(campaign_id || ':{}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
