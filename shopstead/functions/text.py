@@ -193,3 +193,36 @@ def shape(width: Column, height: Column) -> Column:
 def content_hash(*parts: Column) -> Column:
     """sha256 over the parts joined by U+0000; NULL counts as empty."""
     return F.sha2(F.concat_ws("\u0000", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def wrapped(text: Column, most_chars: int, most_lines: int) -> Column:
+    """array<string>: the words of a text in lines of up to most_chars (a longer word has a line of its own), at most
+    most_lines of them; where words are left over, the last line is cut and ends in an ellipsis."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("now"))
+
+    def add(have, word):
+        longer = F.when(have["now"] == "", word).otherwise(F.concat(have["now"], F.lit(" "), word))
+        full = F.when(have["now"] == "", have["lines"]).otherwise(F.array_append(have["lines"], have["now"]))
+        fits = F.struct(have["lines"].alias("lines"), longer.alias("now"))
+        breaks = F.struct(full.alias("lines"), word.alias("now"))
+        return F.when(F.size(have["lines"]) >= most_lines, have).when(F.length(longer) <= most_chars, fits).otherwise(breaks)
+
+    def finish(have):
+        return F.when((have["now"] != "") & (F.size(have["lines"]) < most_lines), F.array_append(have["lines"], have["now"])).otherwise(have["lines"])
+
+    def cut(lines):
+        short = F.length(F.array_join(words, " ")) > F.length(F.array_join(lines, " "))
+        last = F.concat(F.substring(F.element_at(lines, -1), 1, most_chars - 1), F.lit("…"))
+        return F.when((F.size(lines) == most_lines) & short, F.array_append(F.slice(lines, 1, most_lines - 1), last)).otherwise(lines)
+
+    return let(F.aggregate(words, start, add, finish), cut)
+
+
+def contained(label: Column, content: Column, token: Column | None = None) -> Column:
+    """Untrusted text between marks that nobody can guess, for a prompt: a random token a row unless one is given; should
+    the content hold it, it is taken out. Not deterministic, so the result must not be a key."""
+    token = F.concat(F.lit("UNTRUSTED_"), F.substring(F.expr("replace(uuid(), '-', '')"), 1, 12)) if token is None else token
+    name = F.substring(F.regexp_replace(label, "[^a-zA-Z0-9_.-]", "_"), 1, 64)
+    body = sanitise(content)
+    return let(token, lambda t: F.concat(F.lit("<<<"), t, F.lit(' label="'), name, F.lit('">>>\n'), F.replace(body, t, F.lit("[removed]")), F.lit("\n<<<END_"), t, F.lit(">>>")))

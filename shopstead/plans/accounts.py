@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import accounts, facts, ledger, providers, scans, versions
+from ..functions import text
+from ..operators import accounts, facts, ledger, providers, scans, schemas, versions
 from ..sources.projections import as_sql, project
 
 NOW = "2024-01-20 12:00:00"
@@ -348,3 +349,32 @@ def offer_product_names(spark, sf_dir):
     rows = project(spark, sf_dir, "offers").selectExpr("id", "CASE WHEN id % 9 <> 0 THEN id % 2500 END AS product_id")
     names = project(spark, sf_dir, "products").select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
     return rows.join(names, "product_id", "left").select("id", "product_name")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'BENEFIT' WHEN 1 THEN 'benefit' WHEN 2 THEN 'GIFT' END AS angle, CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE p_name END AS hypothesis, repeat('h', CAST(p_partkey % 7 * 51 AS INT)) AS hook, repeat('c', CAST(p_partkey % 9 * 6 AS INT)) AS cta FROM part)
+  SELECT id, concat_ws(',', CASE WHEN coalesce(angle NOT IN ('BENEFIT', 'GIFT'), true) THEN 'angle' END, CASE WHEN trim(hypothesis) = '' THEN 'hypothesis' END, CASE WHEN length(hook) NOT BETWEEN 1 AND 300 THEN 'hook' END,
+    CASE WHEN length(cta) NOT BETWEEN 1 AND 40 THEN 'suggested_cta' END, CASE WHEN id % 6 = 0 OR id % 11 > 9 THEN 'assumptions' END) AS wrong FROM p""")
+def strategy_violations(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "p_partkey AS id", "CASE p_partkey % 4 WHEN 0 THEN 'BENEFIT' WHEN 1 THEN 'benefit' WHEN 2 THEN 'GIFT' END AS angle", "CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE p_name END AS hypothesis",
+        "repeat('h', CAST(p_partkey % 7 * 51 AS INT)) AS hook", "repeat('c', CAST(p_partkey % 9 * 6 AS INT)) AS suggested_cta",
+        "CASE WHEN p_partkey % 6 = 0 THEN array('fine', ' ') ELSE array_repeat('said', CAST(p_partkey % 11 + 1 AS INT)) END AS assumptions", "CAST(NULL AS ARRAY<STRING>) AS testing_variables",
+    )
+    return rows.select("id", F.array_join(schemas.violations("strategy"), ",").alias("wrong"))
+
+
+@query("""WITH e AS (SELECT event_id AS id, md5('' || event_id) AS h FROM events), u AS (SELECT id, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS u FROM e)
+  SELECT id, CASE WHEN id % 3 <> 0 AND id % 4 <> 0 THEN u END AS scan_id, CASE WHEN id % 3 <> 0 AND id % 4 <> 0 THEN id % 5 = 0 END AS is_rescan FROM u""")
+def scan_payloads(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS id", "md5(CAST(event_id AS STRING)) AS h")
+    uuid = F.concat_ws("-", *[F.substring("h", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    scan = F.when(F.col("id") % 3 == 0, "no uuid").otherwise(uuid).alias("scanRunId")
+    url = F.when(F.col("id") % 4 == 0, "/no/url").otherwise("https://shop.example/").alias("requestedUrl")
+    payload = F.to_json(F.struct(scan, uuid.alias("businessId"), url, F.when(F.col("id") % 5 == 0, True).alias("isRescan")))
+    return rows.select("id", schemas.scan_payload(payload).alias("p")).select("id", F.col("p.scanRunId").alias("scan_id"), F.col("p.isRescan").alias("is_rescan"))
+
+
+@query()
+def card_lines(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS id", "concat_ws(' ', p_name, p_type, p_brand, p_name) AS name")
+    return rows.select("id", F.array_join(text.wrapped(F.col("name"), 14, 3), "|").alias("lines"))

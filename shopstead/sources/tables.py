@@ -44,3 +44,26 @@ def redact(fields: Column) -> Column:
     """A map of log fields with secrets masked and long values cut, the cut noted."""
     cut = lambda v: F.concat(F.substring(v, 1, LONGEST), F.lit("…[truncated "), (F.length(v) - LONGEST).cast("string"), F.lit(" chars]"))
     return F.transform_values(fields, lambda k, v: F.when(k.rlike(SECRET_KEYS), F.lit(MASK)).when(F.length(v) > LONGEST, cut(v)).otherwise(v))
+
+
+def safe_key(key: Column) -> Column:
+    """Whether an object's key stays below the store's root: relative, no empty part, no dots for a part, no backslash."""
+    return key.isNotNull() & ~key.rlike(r"(^|/)(\.{0,2})(/|$)") & ~key.contains("\\") & ~key.contains("\u0000")
+
+
+def put_objects(objects: DataFrame, root: str) -> None:
+    """Appends (key, content, at); keys that would leave the root raise an error. A put of the same key replaces it."""
+    checked = objects.select(F.when(safe_key(F.col("key")), F.col("key")).otherwise(F.raise_error(F.lit("unsafe key"))).alias("key"), "content", "at")
+    append_table(checked.withColumn("gone", F.lit(False)), root, "objects", None)
+
+
+def delete_objects(keys: DataFrame, root: str) -> None:
+    """Appends a mark (key, at) for each object that is no more; keys that are not there do no harm."""
+    append_table(keys.select("key", F.lit(None).cast("binary").alias("content"), "at", F.lit(True).alias("gone")), root, "objects", None)
+
+
+def get_objects(spark: SparkSession, root: str) -> DataFrame:
+    """(key, content) of the objects that are there now: the latest row of each key, unless it deletes it."""
+    rows = spark.read.parquet(f"{root}/objects.parquet")
+    last = rows.groupBy("key").agg(F.max_by(F.struct("content", "gone"), "at").alias("last"))
+    return last.where("not last.gone").select("key", "last.content")

@@ -162,9 +162,10 @@ def test_extraction(spark):
 def test_evidence_and_writer(spark):
     pages = spark.createDataFrame([("o", 1, "x" * 50), ("o", 2, " "), ("o", 3, "y" * 50), ("o", 4, "z" * 50)], "owner string, n int, text string")
     assert [(r.n, len(r.slice)) for r in evidence.budgeted_pages(pages, "owner", "n", 40, 70).orderBy("n").collect()] == [(1, 40), (3, 30)]
-    copy = generate.copy_variants(spark.createDataFrame([("Full Case", None), ("Jar", "Made by hand.")], "name string, detail string")).orderBy("name", "n").collect()
-    assert [r.primary_text for r in copy] == ["Full Case. See the details and decide for yourself.", "Looking at Full Case? Here is what it is.", "Jar. Made by hand.", "Made by hand. Read more about Jar."]
-    assert generate.copy_errors is not None
+    copy = generate.copy_variants(spark.createDataFrame([("Blue Lamp", None), ("Jar", "Made by hand.")], "name string, detail string")).orderBy("name", "n").collect()
+    assert [r.primary_text for r in copy] == ["Blue Lamp. See the details and decide for yourself.", "Looking at Blue Lamp? Here is what it is.", "Jar. Made by hand.", "Made by hand. Read more about Jar."]
+    long = spark.createDataFrame([("x" * 501, "h", "d", " ")], "primary_text string, headline string, description string, cta string")
+    assert long.select(generate.copy_errors(long)).first()[0] == ["primary_text", "cta"]
     sim = generate.insights(spark.createDataFrame([(f"c{i}", 1000, 7) for i in range(50)], "campaign_id string, daily_budget_cents long, days int")).collect()
     assert all(5250 <= r.spend_cents <= 7000 and r.clicks <= r.impressions for r in sim)
 
@@ -177,3 +178,67 @@ def test_tenants_keys_and_logs(spark, tmp_path):
     assert [r.v for r in tables.for_tenant(back, 1).collect()] == ["a", "a"] and tables.find_by_key(back, v="b").count() == 1
     log = spark.createDataFrame([({"apiKey": "x", "note": "n" * 2005},)], "m map<string,string>").select(tables.redact(F.col("m")).alias("m")).first().m
     assert log["apiKey"] == "[REDACTED]" and log["note"].endswith("…[truncated 5 chars]")
+
+
+def wrap(words, chars, lines):
+    """The same by a loop."""
+    words, out, now = words.split(), [], ""
+    for w in words:
+        if len((now + " " + w).strip()) <= chars:
+            now = (now + " " + w).strip()
+            continue
+        out += [now] if now else []
+        now = w
+        if len(out) == lines:
+            break
+    if now and len(out) < lines:
+        out.append(now)
+    if len(out) == lines and len(" ".join(words)) > len(" ".join(out)):
+        out[-1] = out[-1][: chars - 1] + "…"
+    return out
+
+
+def test_wrapped_and_contained(spark):
+    from pyspark.sql import functions as F
+
+    from shopstead.functions import text
+
+    rows = ["", "one", "a b c d e f g", "verylongwordindeed and more words here", " spaced   out  text ", "x " * 40]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r[0] for r in df.select(text.wrapped(F.col("t"), 10, 2)).collect()] == [wrap(r, 10, 2) for r in rows]
+    block = spark.createDataFrame([("a b", "says T1 loudly")], "l string, t string").select(text.contained(F.col("l"), F.col("t"), F.lit("T1"))).first()[0]
+    assert block == '<<<T1 label="a_b">>>\nsays [removed] loudly\n<<<END_T1>>>'
+    two = df.select(text.contained(F.lit("x"), F.col("t"))).collect()
+    assert len({r[0] for r in two}) == len(rows)
+
+
+def test_objects(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from shopstead.sources import tables
+
+    rows = spark.createDataFrame([("a/b.png", b"1", 1), ("c.txt", b"2", 1)], "key string, content binary, at int")
+    tables.put_objects(rows, str(tmp_path))
+    tables.put_objects(spark.createDataFrame([("c.txt", b"3", 2)], rows.schema), str(tmp_path))
+    tables.delete_objects(spark.createDataFrame([("a/b.png", 3), ("none", 3)], "key string, at int"), str(tmp_path))
+    assert [(r.key, bytes(r.content)) for r in tables.get_objects(spark, str(tmp_path)).collect()] == [("c.txt", b"3")]
+    keys = ["a/b", "/a", "a//b", "../a", "a/../b", "a/.", "a\\b", "a..b/c", "", None]
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select(tables.safe_key(F.col("k"))).collect()
+    assert [bool(r[0]) for r in got] == [True] + [False] * 6 + [True, False, False]
+
+
+def test_schemas():
+    from shopstead.operators import schemas
+
+    shape = schemas.json_schema("strategy")
+    assert shape["required"] == ["angle", "hypothesis", "hook", "suggested_cta"] and shape["properties"]["hook"]["maxLength"] == 300
+    assert schemas.config_errors([("a", None), (None, None)], 5, 4, 1, 1) == ["pair 0 is set in part", "the daily ceiling is above the campaign's"]
+
+
+def test_model_price_fallback(spark):
+    from shopstead.operators import providers
+
+    prices = spark.createDataFrame([("m", 1, 5, 1), ("m-large", 3, 4, 2)], "family string, input_cents int, output_cents int, seq int")
+    models = spark.createDataFrame([("m",), ("m-large",), ("m-large-1",), ("other",), ("mx",)], "model string")
+    got = {r.model: (r.input_cents, r.output_cents) for r in providers.priced(models, prices, fallback=True).collect()}
+    assert got == {"m": (1, 5), "m-large": (3, 4), "m-large-1": (1, 5), "other": (3, 5), "mx": (3, 5)}
