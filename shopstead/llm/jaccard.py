@@ -13,7 +13,7 @@ from .rolling import Rolling, code_points, lower_ascii, words_of
 from .sigtree import Block, links
 
 #: Set elements that one side of a block may hold (8 bytes each); larger groups are cut into blocks.
-BLOCK = 500_000
+BLOCK = 200_000
 _CHARS = 16_000_000
 
 
@@ -263,49 +263,83 @@ def stored_sets(items: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in items]
 
 
-def tree_links(sets: DataFrame, rivals: DataFrame, num: int, den: int = 100, read=stored_sets) -> DataFrame:
-    """(a, b) links that connect what the ratio connects; read turns the items of rows into sorted distinct elements.
-    Each group of rivals is cut by hash into blocks of bounded size; each pair of blocks is one piece of work, wherever
-    it runs."""
-    sized = sets.select("doc_id", "n").join(rivals.withColumnRenamed("id", "doc_id"), "doc_id")
-    groups = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count("*").alias("members")).where("members > 1").drop("members")
-    mine = rivals.withColumnRenamed("id", "doc_id").join(groups, "component")
-    mine = mine.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = sets.join(mine, "doc_id").select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "doc_id", "items")
+def _solved(placed: DataFrame, num: int, den: int, read) -> DataFrame:
+    """(a, b, large) links of pieces of work: rows (component, one, two, side, doc_id, items) of one key are compared
+    with each other where they are of one side, else those of side 0 with those of side 1."""
 
     def run(batches):
-        def solve(key, rows):
+        def solve(rows):
             sides = {}
-            for block, i, items in rows:
-                ids, kept = sides.setdefault(block, ([], []))
+            for side, i, items in rows:
+                ids, kept = sides.setdefault(side, ([], []))
                 ids.append(i)
                 kept.append(items)
-            sides = {b: (ids, read(kept)) for b, (ids, kept) in sides.items()}
-            if key[1] == key[2]:
-                x = Block(*sides[key[1]])
-                return list(links(x, x, num, den))
-            if len(sides) < 2:
-                return []
-            return list(links(Block(*sides[key[1]]), Block(*sides[key[2]]), num, den))
+            blocks = [Block(ids, read(kept)) for ids, kept in sides.values()]
+            return links(blocks[0], blocks[-1], num, den)
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "large"])
 
         now, held, out = None, [], []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != now:
-                    if len(held) > 1:
-                        out += solve(now, held)
+                    if len(held) > 1 and (now[1] < LARGER or len({r[0] for r in held}) > 1):
+                        out += [(a, b, now[1] >= 0) for a, b in solve(held)]
                     now, held = row[:3], []
                 held.append(row[3:])
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+                yield batch_of(out)
                 out = []
-        if len(held) > 1:
-            out += solve(now, held)
+        if len(held) > 1 and (now[1] < LARGER or len({r[0] for r in held}) > 1):
+            out += [(a, b, now[1] >= 0) for a, b in solve(held)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+            yield batch_of(out)
+
+    keys = ["component", "one", "two"]
+    dealt_out = placed.select(*keys, "side", "doc_id", "items").repartition(*keys).sortWithinPartitions(*keys)
+    return mapped(dealt_out, run, "a long, b long, large boolean")
+
+
+#: Pieces of work are numbered (one, two): -1 for a group of one block, the way of cutting and the block in the first
+#: pass over a larger group, LARGER and the block, and a block of what is left over, in the second.
+LARGER = 1 << 40
 
-    return mapped(placed.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two"), run, "a long, b long")
+
+def tree_links(sets: DataFrame, rivals: DataFrame, num: int, den: int = 100, read=stored_sets) -> DataFrame:
+    """(a, b) links that connect what the ratio connects; read turns the items of rows into sorted distinct elements.
+
+    A group of rivals of up to BLOCK elements is one piece of work. A larger group is cut into blocks by hash, in two ways
+    that mix each other's blocks, and each block is compared with itself; that connects most of what is alike. What is
+    not in the group's largest component by then is compared with every block. A link between two components has an end
+    outside the largest, so none is lost, and the pieces number blocks times blocks of what is left over, not blocks
+    squared.
+    """
+    c = F.col
+    none = F.lit(0).cast("long")
+    sized = sets.select("doc_id", "n").join(rivals.withColumnRenamed("id", "doc_id"), "doc_id")
+    groups = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count("*").alias("members")).where("members > 1").drop("members")
+    mine = stored(sized.join(groups, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), c("blocks"))), "groups")
+    large = mine.where("blocks > 1")
+    small = mine.where("blocks = 1").select("doc_id", "component", F.lit(-1).cast("long").alias("one"), none.alias("two"))
+    ways = F.explode(F.array(c("block"), F.pmod(F.xxhash64("doc_id", F.lit(1)), c("blocks")) + (LARGER >> 1)))
+    first = small.unionByName(large.select("doc_id", "component", ways.alias("one"), none.alias("two"))).withColumn("side", none)
+    found = stored(_solved(sets.join(first, "doc_id"), num, den, read), "links")
+    if large.isEmpty():
+        dropped(mine)
+        return found.select("a", "b")
+    label = F.coalesce("label", "doc_id")
+    by_now = components(found.where("large").select("a", "b")).select(c("id").alias("doc_id"), c("component").alias("label"))
+    named = stored(large.join(by_now, "doc_id", "left").withColumn("label", label), "labels")
+    dropped(by_now, mine)
+    count = named.groupBy("component", "label").agg(F.count("*").alias("k"))
+    most = count.groupBy("component").agg(F.max_by("label", F.struct("k", "label")).alias("most"))
+    rest = stored(named.join(most, "component").where("label != most"), "rest")
+    cut = rest.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    left = named.join(cut, "component").withColumn("part", F.explode(F.sequence(none, c("parts") - 1)))
+    right = rest.join(cut, "component").withColumn("part", F.pmod(F.xxhash64("doc_id"), c("parts"))).withColumn("block", F.explode(F.sequence(none, c("blocks") - 1)))
+    pairs = [x.select("doc_id", "component", (c("block") + LARGER).alias("one"), c("part").alias("two"), F.lit(k).cast("long").alias("side")) for k, x in enumerate((left, right))]
+    return found.unionByName(_solved(sets.join(pairs[0].unionByName(pairs[1]), "doc_id"), num, den, read)).where("a != b").select("a", "b")
 
 
 def ngram_join(docs: DataFrame, width: int, num: int, den: int = 100) -> DataFrame:

@@ -62,6 +62,24 @@ def test_groups_larger_than_a_block(spark, monkeypatch):
     assert got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("block", [200, 1500])
+def test_large_groups_keep_every_link(spark, monkeypatch, block):
+    """A group of many chains that share a common start: most of it is left over after the first pass."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(4)
+    rows = []
+    for k in range(12):
+        words = [f"w{i}" for i in range(40)] + [f"c{k}x{i}" for i in range(rng.choice([2, 6, 30]))]
+        for _ in range(10):
+            words[rng.randrange(len(words))] = f"r{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [shingles(t, 2) for _, t in rows]
+    want = roots(len(rows), similar(sets, 80))
+    assert 1 < len(set(want)) < len(rows)
+    got = {r.doc_id: r.component_id for r in jaccard.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_tree_finds_every_component():
     rng = np.random.default_rng(1)
     sets = []
@@ -230,3 +248,79 @@ def test_caps_equal_all_pairs(spark, monkeypatch, block):
     exact = [got[k].component_id == want_root[k] and got[k].kept == (want_root[k] == k) for k in got]
     assert np.mean(exact) >= 0.99
     assert caps.near_vectors(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_and_other_texts(spark):
+    """Rows that repeat a doc_id with another text are documents of their own."""
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    long, other = say(400), say(30)
+    rows = [(1, long), (1, "short"), (2, long[:150] + "yy" + long[200:350]), (3, "x"), (3, "x")]
+    got = sorted((r.doc_id, bytes(r.kept).decode()) for r in substrings.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 100).collect())
+    assert got == sorted([(1, long), (1, "short"), (2, "yy"), (3, "x"), (3, "x")])
+    rows = [(1, f"{long}\n{other}"), (1, say(50)), (2, other + "."), (2, other + ".")]
+    got = sorted((r.doc_id, r.kept, r.n_dropped) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, rows[0][1], 0), (1, rows[1][1], 0), (2, "", 1), (2, "", 1)])
+    words = [" ".join(say(5) for _ in range(30)) for _ in range(2)]
+    rows = [(1, words[0]), (1, "few words"), (2, words[0]), (3, words[1])]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect())
+    assert got == [(1, 27, 1), (2, 27, 1), (3, 27, 3)]
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 1.0], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def plain_fingerprint(terms, lexicon):
+    """Level and kept terms of each subset at the three rates, by a loop over terms; equal kept terms, equal hashes."""
+    band = sorted(t for t in terms if t in lexicon)
+    band = band if len(band) >= 8 else sorted(terms)
+    level = max(0, len(band).bit_length() - 2) if band else 0
+    ids = [int(x) for x in common.mix64(np.array(band, np.uint64))]
+    odd = [int(x) for x in imatch._ODD[0]]
+    kept = [[tuple(t for t in ids if (t * o % (1 << 64)) >> (64 - level - k) == 0 or level + k == 0) for o in odd] for k in range(3)]
+    return level, kept
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    level = min(a[0], b[0]) + 2
+    if level < max(a[0], b[0]):
+        return 0.0
+    x, y = a[1][level - a[0]], b[1][level - b[0]]
+    either = sum(bool(p or q) for p, q in zip(x, y))
+    return sum(bool(p) and p == q for p, q in zip(x, y)) / either if either else 0.0
+
+
+def test_fingerprints_equal_a_plain_count(docs, corpus):
+    ids = {}
+    for _, t in corpus:
+        for w in WORDS.findall((t or "").translate(LOW)):
+            ids[w] = int(imatch.term_ids([w])[0][0])
+    terms = {i: {ids[w] for w in WORDS.findall((t or "").translate(LOW))} for i, t in corpus}
+    df = collections.Counter(x for s in terms.values() for x in s)
+    n = len(corpus)
+    lexicon = {x for x, c in df.items() if max(2, 0.0005 * n) <= c <= max(2, 0.2 * n)}
+    order, text = sorted(terms, reverse=True), dict(corpus)
+    plain = {i: plain_fingerprint(s, lexicon) for i, s in terms.items()}
+    got = {r.doc_id: r for r in imatch.near_edits(docs).collect()}
+    for k, i in enumerate(order):
+        nxt = order[(k + 1) % n]
+        a, b = text[i] or "", text[nxt] or ""
+        edit = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+        edited = plain_fingerprint({int(x) for x in imatch.term_ids([edit])[0]}, lexicon)
+        assert got[i].near_next == pytest.approx(plain_likeness(plain[i], plain[nxt])) and got[i].near_edited == pytest.approx(plain_likeness(plain[i], edited))
+    for i in order:
+        for j in order:
+            assert (got[i].fingerprint == got[j].fingerprint) == (plain[i] == plain[j])
+
+
+def test_lexicon_in_shards(docs, spark):
+    base = common.documents(docs)
+    whole, cut = imatch.lexicon(base), imatch.lexicon(base, shard=3)
+    terms = np.unique(np.concatenate(imatch.term_ids([r.text for r in base.collect()])))
+    assert len(cut.shards) > 3 and (whole.inside(terms) == cut.inside(terms)).all() and len(whole.inside(terms))
+    again = imatch.lexicon(common.documents(docs.repartition(7)))
+    assert (again.inside(terms) == whole.inside(terms)).all()
+    got = spark.range(1).select("id").mapInArrow(lambda it: (b for b in it), "id long").count()  # workers map shards, too
+    assert got == 1 and imatch._mapped_shard(cut.shards[0]).tolist() == sorted(cut.shards[0].value.tolist())
