@@ -16,8 +16,8 @@ from .common import documents, mapped, rows_of
 
 #: Bytes that are merged directly; longer pieces are halved.
 LEAF = 24
-#: Pieces remembered by each worker; characters after which a long text is cut at a safe place.
-REMEMBERED, SEGMENT = 250_000, 200_000
+#: Pieces that a worker remembers before it forgets those it has not met since as many others; characters after which a long text is cut at a safe place.
+REMEMBERED, SEGMENT = 300_000, 200_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -65,7 +65,7 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.split = regex.compile(pattern).findall
-        self.fits = lru_cache(50_000)(self._fits)
+        self.fits = lru_cache(100_000)(self._fits)
         self.known = _Known(self)
         self.names = [str(i) for i in range(len(self.bytes_of))]
 
@@ -101,7 +101,7 @@ class Codec:
         for part in segments(text):
             parts.append(np.fromiter(chain.from_iterable(map(known.__getitem__, self.split(part))), np.int32))
             if len(known) > REMEMBERED:
-                known.clear()
+                known.turn()
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
     def decode(self, ids) -> bytes:
@@ -110,15 +110,24 @@ class Codec:
 
 
 class _Known(dict):
+    """Ids of pieces in two generations: those met since the last turn, and those of the turn before, which come back
+    when they are met again. Frequent pieces so are never worked out anew, and memory is bounded by both."""
+
     def __init__(self, codec: Codec):
-        self.codec = codec
+        self.codec, self.before = codec, {}
 
     def __missing__(self, piece: str):
-        ids = self.codec.piece(piece)
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.codec.piece(piece)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
+    def turn(self):
+        self.before = dict(self)
+        self.clear()
+
 
 _BORDER = regex.compile(r"(?<=\S)(?=\s)")
 

@@ -35,6 +35,14 @@ def test_join_is_a_monoid(left, right):
     assert c.join(c.tree(left) if left else [], c.tree(right) if right else []) == bpe.merge(left + right, c.ranks) if left or right else True
 
 
+def test_forgotten_pieces_come_back(oracle, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    c = bpe.codec(*PLACE)
+    for text in ["one two three four five", "one six", "seven eight nine ten one", "one two"]:
+        assert c.encode(text).tolist() == oracle.encode_ordinary(text)
+    assert len(c.known) <= 8 and len(c.known.before) <= 8
+
+
 def test_long_texts_are_cut_safely(oracle):
     text = ("word  \n\n next,  line's end\t" * 30_000)[:500_000]
     assert bpe.codec(*PLACE).encode(text).tolist() == oracle.encode_ordinary(text)
