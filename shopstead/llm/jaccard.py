@@ -13,7 +13,7 @@ from .rolling import Rolling, code_points, lower_ascii, words_of
 from .sigtree import Block, links
 
 #: Set elements that one side of a block may hold (8 bytes each); larger groups are cut into blocks.
-BLOCK = 200_000
+BLOCK = 500_000
 _CHARS = 16_000_000
 
 
