@@ -265,17 +265,19 @@ def stored_sets(items: list[bytes]) -> list[np.ndarray]:
 
 def _solved(placed: DataFrame, num: int, den: int, read) -> DataFrame:
     """(a, b, large) links of pieces of work: rows (component, one, two, side, doc_id, items) of one key are compared
-    with each other where they are of one side, else those of side 0 with those of side 1."""
+    with each other where one is two, else those of one side with those of the other."""
 
     def run(batches):
-        def solve(rows):
+        def solve(key, rows):
             sides = {}
             for side, i, items in rows:
                 ids, kept = sides.setdefault(side, ([], []))
                 ids.append(i)
                 kept.append(items)
+            if len(sides) != (1 if key[1] == key[2] else 2):
+                return []
             blocks = [Block(ids, read(kept)) for ids, kept in sides.values()]
-            return links(blocks[0], blocks[-1], num, den)
+            return [(a, b, LARGE <= key[1] < REST) for a, b in links(blocks[0], blocks[-1], num, den)]
 
         def batch_of(found):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "large"])
@@ -284,15 +286,15 @@ def _solved(placed: DataFrame, num: int, den: int, read) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != now:
-                    if len(held) > 1 and (now[1] < LARGER or len({r[0] for r in held}) > 1):
-                        out += [(a, b, now[1] >= 0) for a, b in solve(held)]
+                    if len(held) > 1:
+                        out += solve(now, held)
                     now, held = row[:3], []
                 held.append(row[3:])
             if len(out) > 10_000:
                 yield batch_of(out)
                 out = []
-        if len(held) > 1 and (now[1] < LARGER or len({r[0] for r in held}) > 1):
-            out += [(a, b, now[1] >= 0) for a, b in solve(held)]
+        if len(held) > 1:
+            out += solve(now, held)
         if out:
             yield batch_of(out)
 
@@ -301,29 +303,37 @@ def _solved(placed: DataFrame, num: int, den: int, read) -> DataFrame:
     return mapped(dealt_out, run, "a long, b long, large boolean")
 
 
-#: Pieces of work are numbered (one, two): -1 for a group of one block, the way of cutting and the block in the first
-#: pass over a larger group, LARGER and the block, and a block of what is left over, in the second.
-LARGER = 1 << 40
+#: Groups of up to FEW blocks are compared block by block; larger ones in two passes.
+FEW = 4
+#: Pieces of work are numbered (one, two): two blocks of a group of few; from LARGE on, a block of a large group and the
+#: same again; from REST on, a block of the largest component and a part of what is left over, or, from 2 * REST on, two
+#: such parts.
+LARGE, REST = 1 << 40, 1 << 41
 
 
 def tree_links(sets: DataFrame, rivals: DataFrame, num: int, den: int = 100, read=stored_sets) -> DataFrame:
     """(a, b) links that connect what the ratio connects; read turns the items of rows into sorted distinct elements.
 
-    A group of rivals of up to BLOCK elements is one piece of work. A larger group is cut into blocks by hash, in two ways
-    that mix each other's blocks, and each block is compared with itself; that connects most of what is alike. What is
-    not in the group's largest component by then is compared with every block. A link between two components has an end
-    outside the largest, so none is lost, and the pieces number blocks times blocks of what is left over, not blocks
-    squared.
+    A group of rivals is cut by hash into blocks of some BLOCK elements. Of a group of few blocks each pair is one piece
+    of work. A large group is cut in two ways that mix each other's blocks, and each block is compared with itself; that
+    connects most of what is alike. What is not in the group's largest component by then is compared with that and
+    with itself. A link between two components has an end outside the largest, so none is lost, and in a group of near
+    copies the pieces number blocks times parts of what is left over, not blocks squared.
     """
     c = F.col
     none = F.lit(0).cast("long")
     sized = sets.select("doc_id", "n").join(rivals.withColumnRenamed("id", "doc_id"), "doc_id")
     groups = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count("*").alias("members")).where("members > 1").drop("members")
     mine = stored(sized.join(groups, "component").withColumn("block", F.pmod(F.xxhash64("doc_id"), c("blocks"))), "groups")
-    large = mine.where("blocks > 1")
-    small = mine.where("blocks = 1").select("doc_id", "component", F.lit(-1).cast("long").alias("one"), none.alias("two"))
-    ways = F.explode(F.array(c("block"), F.pmod(F.xxhash64("doc_id", F.lit(1)), c("blocks")) + (LARGER >> 1)))
-    first = small.unionByName(large.select("doc_id", "component", ways.alias("one"), none.alias("two"))).withColumn("side", none)
+    large = mine.where(c("blocks") > FEW)
+
+    def pairs_of(rows, block, blocks, base):
+        other = rows.withColumn("other", F.explode(F.sequence(none, blocks - 1)))
+        return other.select("doc_id", "component", (F.least(block, "other") + base).alias("one"), (F.greatest(block, "other") + base).alias("two"), block.alias("side"))
+
+    ways = F.array(c("block") + LARGE, F.pmod(F.xxhash64("doc_id", F.lit(1)), c("blocks")) + (LARGE + (LARGE >> 1)))
+    twice = large.withColumn("one", F.explode(ways)).select("doc_id", "component", "one", c("one").alias("two"), none.alias("side"))
+    first = pairs_of(mine.where(c("blocks") <= FEW), c("block"), c("blocks"), none).unionByName(twice)
     found = stored(_solved(sets.join(first, "doc_id"), num, den, read), "links")
     if large.isEmpty():
         dropped(mine)
@@ -334,12 +344,16 @@ def tree_links(sets: DataFrame, rivals: DataFrame, num: int, den: int = 100, rea
     dropped(by_now, mine)
     count = named.groupBy("component", "label").agg(F.count("*").alias("k"))
     most = count.groupBy("component").agg(F.max_by("label", F.struct("k", "label")).alias("most"))
-    rest = stored(named.join(most, "component").where("label != most"), "rest")
-    cut = rest.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
-    left = named.join(cut, "component").withColumn("part", F.explode(F.sequence(none, c("parts") - 1)))
-    right = rest.join(cut, "component").withColumn("part", F.pmod(F.xxhash64("doc_id"), c("parts"))).withColumn("block", F.explode(F.sequence(none, c("blocks") - 1)))
-    pairs = [x.select("doc_id", "component", (c("block") + LARGER).alias("one"), c("part").alias("two"), F.lit(k).cast("long").alias("side")) for k, x in enumerate((left, right))]
-    return found.unionByName(_solved(sets.join(pairs[0].unionByName(pairs[1]), "doc_id"), num, den, read)).where("a != b").select("a", "b")
+    sides = stored(named.join(most, "component").withColumn("rest", c("label") != c("most")), "sides")
+    cut = sides.where("rest").groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    sides = sides.join(cut, "component").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(2)), c("parts")))
+    rest = sides.where("rest")
+    left = sides.where("not rest").withColumn("part", F.explode(F.sequence(none, c("parts") - 1)))
+    right = rest.withColumn("block", F.explode(F.sequence(none, c("blocks") - 1)))
+    again = pairs_of(rest, c("part"), c("parts"), F.lit(2 * REST))
+    for k, x in enumerate((left, right)):
+        again = again.unionByName(x.select("doc_id", "component", (c("block") + REST).alias("one"), c("part").alias("two"), F.lit(k).cast("long").alias("side")))
+    return found.unionByName(_solved(sets.join(again, "doc_id"), num, den, read)).select("a", "b")
 
 
 def ngram_join(docs: DataFrame, width: int, num: int, den: int = 100) -> DataFrame:
