@@ -105,3 +105,29 @@ def test_mixing(docs, corpus, empty):
     for k, s in enumerate(order):
         assert math.isclose(by[s][2], want[k], rel_tol=1e-9) and abs(by[s][1] - want[k]) <= 1
     assert mixing.mix(empty).count() == 0
+
+
+def test_scores_equal_a_plain_sum(spark, sf):
+    """op9's scores from the model it learns, by a loop over the words and character n-grams of each whole text."""
+    import numpy as np
+
+    from shopstead.llm.rolling import Rolling, code_points
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    table, bias = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+
+    def bucket(piece):
+        return int(Rolling(code_points([piece])[0]).slices(np.array([0]), np.array([len(piece)]))[0] % np.uint64(quality.BUCKETS))
+
+    def gram(piece):
+        return int(Rolling(code_points([piece])[0]).grams(len(piece))[0] % np.uint64(quality.BUCKETS))
+
+    def plain(text):
+        found = [bucket(w) for w in WORDS.findall(text)] + [gram(text[k : k + q]) for q in quality.GRAMS for k in range(len(text) - q + 1)]
+        return 1 / (1 + math.exp(-(sum(float(table[f]) for f in found) / max(1, len(found)) + bias)))
+
+    some = {r.doc_id: r.text or "" for r in docs.where("n_chars < 1500").collect()}
+    got = {r.doc_id: r for r in op9_quality_classifier(spark, sf).collect()}
+    assert len(got) == docs.count() and len(some) > 5
+    for i, text in some.items():
+        assert got[i].score == pytest.approx(plain(text), abs=1e-6) and got[i].predicted == int(got[i].score >= 0.3)
