@@ -336,7 +336,7 @@ def _checkpoint(spark, name):
     return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{name}"
 
 
-@query()
+@query(f"""SELECT key, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, count(*) AS n FROM {as_sql("rate_events")} GROUP BY 1, 2""")
 def stream_rate_windows(spark, sf_dir):
     name = _name()
     return streaming.drain(streaming.rate_windows(_stream(spark, sf_dir), 3600), name, _checkpoint(spark, name), ("key", "window_start"))

@@ -159,6 +159,23 @@ def test_extraction(spark):
     assert said["name"] == ("Bakehouse", "JSON_LD") and said["email"] == ("hi@b.example", "JSON_LD")
 
 
+def test_repeated_cards(spark):
+    """Cards of one shape, all but one with a name and a price; links elsewhere, carts and other amounts are no products."""
+    card = lambda n, css="", more="": f'<li class="tile {css}"><h3>Mug {n}</h3><em>$1{n}.00</em><small class=note>+ $4.99 shipping</small>{more}</li>'
+    lazy = '<img src="data:image/gif;base64,x" data-src="/m.jpg" alt="a mug"><button data-sku="M-3">Buy</button>'
+    pages = {
+        "/grid": f"<ul>{card(1)}{card(2, 'wide', '<b id=x></b>')}{card(3, '', lazy)}{card(1)}<li class=tile>More soon</li></ul><p>Call us: (02) 5550 1234</p>",
+        "/list": f"<ul>{card(1, '', '<a href=/p/1>see</a>')}{card(2, '', '<a href=/p/2>see</a>')}</ul>", "/cart": f"<div id=basket><ul>{card(1)}{card(2)}</ul></div>",
+        "/ids": "".join(f'<div class=t id=pot-{n}><b>Pot {n}</b><i>$0.00</i><i>${n}.50</i></div>' for n in (1, 2)),
+    }
+    got = extract.extract(spark.createDataFrame([(i, f"https://c.example{u}", h) for i, (u, h) in enumerate(pages.items())], "page_id long, url string, html string"))
+    found = sorted((r.url.removeprefix("https://c.example"), r.name, r.price_cents, r.sku, r.anchor) for r in extract.products(got).collect())
+    assert found == [("/grid", "Mug 1", 1100, None, "mug-1"), ("/grid", "Mug 2", 1200, None, "mug-2"), ("/grid", "Mug 3", 1300, "M-3", "m-3"), ("/ids", "Pot 1", 150, None, "pot-1"), ("/ids", "Pot 2", 250, None, "pot-2")]
+    grid = got.where("page_id = 0").first().page.candidates
+    assert [(c.value, c.hint) for c in grid if c.field == "image"] == [("https://c.example/m.jpg", "a mug")]
+    assert {(r.value, r.method) for r in extract.business_facts(got).where("field = 'phone'").collect()} == {("(02) 5550 1234", "TEXT_PATTERN")}
+
+
 def test_evidence_and_writer(spark):
     pages = spark.createDataFrame([("o", 1, "x" * 50), ("o", 2, " "), ("o", 3, "y" * 50), ("o", 4, "z" * 50)], "owner string, n int, text string")
     assert [(r.n, len(r.slice)) for r in evidence.budgeted_pages(pages, "owner", "n", 40, 70).orderBy("n").collect()] == [(1, 40), (3, 30)]
