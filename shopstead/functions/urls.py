@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -75,6 +76,8 @@ def sitemap_class(url: Column) -> Column:
 
 #: Networks that no crawl may reach, wider than the registry's where the contract is; host names and ends.
 PRIVATE = [ipaddress.ip_network(n) for n in ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/16", "192.168.0.0/16", "198.18.0.0/15", "198.51.0.0/16", "203.0.0.0/16", "224.0.0.0/3")]
+#: NAT64, Teredo, 6to4 and documentation: addresses that carry another or lead nowhere.
+PRIVATE_6 = [ipaddress.ip_network(n) for n in ("64:ff9b::/32", "2001::/32", "2001:db8::/32", "2002::/16")]
 LOCAL_NAMES, LOCAL_ENDS = ("localhost", "metadata"), (".localhost", ".local", ".internal", ".intranet", ".home.arpa", ".lan")
 
 
@@ -97,10 +100,11 @@ def ipv4(text: str) -> int | None:
 
 def unsafe_reason(url: str | None) -> str | None:
     """Why a URL must not be fetched, None if it may be."""
+    url = (url or "").strip()
     if not url or len(url) > 2048:
         return "too-long" if url else "invalid"
     try:
-        u = urlsplit(url.strip())
+        u = urlsplit(url)
         name, port = (u.hostname or "").rstrip("."), u.port
     except ValueError:
         return "invalid"
@@ -120,10 +124,11 @@ def unsafe_reason(url: str | None) -> str | None:
             six = ipaddress.IPv6Address(name.split("%")[0])
         except ValueError:
             return "invalid"
-        inner = six.ipv4_mapped or six.sixtofour
-        if inner is None:
-            return None if six.is_global else "private-host"
-        address = int(inner)
+        if six.ipv4_mapped is None:
+            return None if six.is_global and not any(six in n for n in PRIVATE_6) else "private-host"
+        address = int(six.ipv4_mapped)
+    if address is None and re.fullmatch(r"(?i)[0-9]+|0x[0-9a-f]*", name.rpartition(".")[2]):
+        return "invalid"  # a name that ends in a number has to be an address
     if address is not None:
         return "private-host" if any(ipaddress.ip_address(address) in n for n in PRIVATE) else None
     return None

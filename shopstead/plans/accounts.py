@@ -374,7 +374,12 @@ def scan_payloads(spark, sf_dir):
     return rows.select("id", schemas.scan_payload(payload).alias("p")).select("id", F.col("p.scanRunId").alias("scan_id"), F.col("p.isRescan").alias("is_rescan"))
 
 
-@query()
+@query(r"""WITH RECURSIVE w AS (SELECT p_partkey AS id, list_filter(regexp_split_to_array(concat_ws(' ', p_name, p_type, p_brand, p_name), '\s+'), lambda x: x <> '') AS words FROM part),
+  r AS (SELECT id, words, 0 AS i, []::VARCHAR[] AS lines, '' AS now FROM w
+    UNION ALL SELECT id, words, i + 1, CASE WHEN len(lines) < 3 AND now <> '' AND length(now || ' ' || words[i + 1]) > 14 THEN list_append(lines, now) ELSE lines END,
+      CASE WHEN len(lines) >= 3 THEN now WHEN now <> '' AND length(now || ' ' || words[i + 1]) <= 14 THEN now || ' ' || words[i + 1] ELSE words[i + 1] END FROM r WHERE i < len(words)),
+  f AS (SELECT id, words, CASE WHEN now <> '' AND len(lines) < 3 THEN list_append(lines, now) ELSE lines END AS lines FROM r WHERE i = len(words))
+  SELECT id, CASE WHEN len(lines) = 3 AND length(array_to_string(words, ' ')) > length(array_to_string(lines, ' ')) THEN lines[1] || '|' || lines[2] || '|' || lines[3][1:13] || '…' ELSE array_to_string(lines, '|') END AS lines FROM f""")
 def card_lines(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS id", "concat_ws(' ', p_name, p_type, p_brand, p_name) AS name")
     return rows.select("id", F.array_join(text.wrapped(F.col("name"), 14, 3), "|").alias("lines"))

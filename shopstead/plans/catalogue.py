@@ -148,11 +148,19 @@ def _types_sql(path: str, heading: str) -> str:
     return f"CASE {rules} WHEN {path} IN ('/', '') THEN 'HOME' {words} ELSE 'OTHER' END"
 
 
-@query(f"SELECT page_type, count(*) AS n FROM (SELECT {_types_sql('path', 'lower(title)')} AS page_type FROM (SELECT n.path, {_TITLE} || ' ' AS title FROM {_NORM} n JOIN pages USING (page_id))) GROUP BY 1")
+#: Paths and the page types that the contract gives them, in words of its own.
+_KINDS = [("/products/red-cup", "PRODUCT"), ("/p/9", "PRODUCT"), ("/products", "OTHER"), ("/collections/mugs", "COLLECTION"), ("/Shop", "COLLECTION"), ("/shopping", "OTHER"), ("/our-story", "ABOUT"), ("/help/orders", "FAQ"),
+  ("/delivery", "SHIPPING"), ("/refund-policy", "RETURNS"), ("/policies/refunds", "RETURNS"), ("/privacy", "POLICY"), ("/contact-us", "CONTACT"), ("/news/today", "BLOG"), ("/newsletter", "OTHER"), ("/", "HOME")]
+
+
+@query(f"""SELECT page_type, {[k for _, k in _KINDS]}[CAST(page_id % {len(_KINDS)} AS INT) + 1] AS path_type, count(*) AS n
+  FROM (SELECT page_id, {_types_sql('path', 'lower(title)')} AS page_type FROM (SELECT page_id, n.path, {_TITLE} || ' ' AS title FROM {_NORM} n JOIN pages USING (page_id))) GROUP BY ALL""")
 def page_type_counts(spark, sf_dir):
     no = F.lit(False)
     kind = text.page_type(urls.path(F.col("url")), F.regexp_extract("html", "(?i)<title>([^<]*)</title>", 1), F.lit(""), no, no)
-    return _pages(spark, sf_dir).groupBy(kind.alias("page_type")).agg(F.count("*").alias("n"))
+    path = F.element_at(F.array(*[F.lit(p) for p, _ in _KINDS]), (F.col("page_id") % len(_KINDS) + 1).cast("int"))
+    by_path = text.page_type(path, F.lit(""), F.lit(""), no, no)
+    return _pages(spark, sf_dir).groupBy(kind.alias("page_type"), by_path.alias("path_type")).agg(F.count("*").alias("n"))
 
 
 _RULES = [("/fr/", True), ("/", False), ("/en/*5$", True), ("/de", False), ("/es/9*", True)]
@@ -191,9 +199,22 @@ def page_business_facts(spark, sf_dir):
     return extract.business_facts(extract.extract(_pages(spark, sf_dir)))
 
 
-@query()
+#: Starts of addresses and why they must not be fetched.
+_SPELLED = [("http://2130706433/", "private-host"), ("http://0x7f.1/", "private-host"), ("http://017700000001/", "private-host"), ("http://172.16.0.1/", "private-host"), ("http://172.15.0.1/", None),
+  ("http://8.8.8.8/", None), ("http://256.1.1.1/", "invalid"), ("https://u:p@a.example/", "credentials"), ("https://a.example:8080/", "port"), ("https://a.example:443/", None), ("ftp://a.example/", "scheme"),
+  ("http://[::1]/", "private-host"), ("http://[::ffff:10.0.0.1]/", "private-host"), ("http://[::ffff:8.8.8.8]/", None), ("http://[2002:808:808::1]/", "private-host"), ("http://printer.local/", "private-host"),
+  ("http://metadata/", "private-host"), ("http://metadata.example/", None), ("HTTPS://A.EXAMPLE/", None)]
+_REASONS = ", ".join("NULL" if r is None else f"'{r}'" for _, r in _SPELLED)
+
+
+@query(rf"""SELECT page_id, CASE WHEN url IS NULL OR trim(url) = '' THEN 'invalid' WHEN length(trim(url)) > 2048 THEN 'too-long' WHEN NOT regexp_matches(url, '(?i)^https?:') THEN 'scheme' WHEN NOT regexp_matches(url, '^[^:]*://[^/?#]') THEN 'invalid'
+    WHEN regexp_matches(url, '^[^/]*//[^/?#]*@') THEN 'credentials' WHEN regexp_matches(url, '^[^/]*//[^/?#]*:\d') AND NOT regexp_matches(url, '^[^/]*//[^/?#]*:(80|443)([/?#]|$)') THEN 'port'
+    WHEN regexp_matches(url, '(?i)^[^/]*//(metadata|([^/?#]*\.)?localhost|[^/?#]*\.(local|internal|intranet|home\.arpa|lan))\.?([:/?#]|$)') THEN 'private-host' END AS reason,
+  [{_REASONS}][CAST(page_id % {len(_SPELLED)} AS INT) + 1] AS spelled_reason FROM pages""")
 def unsafe_urls(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", urls.unsafe_url("url").alias("reason"))
+    start = F.element_at(F.array(*[F.lit(u) for u, _ in _SPELLED]), (F.col("page_id") % len(_SPELLED) + 1).cast("int"))
+    spelled = F.concat(start, F.substring(urls.path(F.col("url")), 2, 2048))
+    return _pages(spark, sf_dir).select("page_id", urls.unsafe_url("url").alias("reason"), urls.unsafe_url(spelled).alias("spelled_reason"))
 
 
 def _docs(spark, sf_dir):

@@ -53,6 +53,8 @@ def test_urls(spark):
     ("https://shop.example.com/", None), ("http://2130706433/", "private-host"), ("http://0x7f.1/", "private-host"), ("http://017700000001/", "private-host"), ("https://a.example:8080/", "port"),
     ("ftp://a.example/", "scheme"), ("https://u:p@a.example/", "credentials"), ("http://[::1]/", "private-host"), ("http://[::ffff:10.0.0.1]/", "private-host"), ("http://localhost/", "private-host"),
     ("https://x.internal/", "private-host"), ("http://169.254.169.254/", "private-host"), ("http://8.8.8.8/", None), ("", "invalid"), (None, "invalid"), ("https://a.example/" + "x" * 3000, "too-long"),
+    ("http://256.1.1.1/", "invalid"), ("http://shop.example.9/", "invalid"), ("http://[2002:808:808::1]/", "private-host"), ("http://[64:ff9b::808:808]/", "private-host"), ("http://[2606:4700::1111]/", None),
+    (" https://a.example/ ", None), ("   ", "invalid"),
 ])
 def test_safety(url, reason):
     assert urls.unsafe_reason(url) == reason
