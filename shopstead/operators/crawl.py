@@ -93,34 +93,58 @@ def frontier(links: DataFrame) -> DataFrame:
     return links.withColumn("rank", F.row_number().over(order))
 
 
-def crawl(pages: DataFrame, starts: DataFrame, most_pages: int) -> DataFrame:
+def crawl(pages: DataFrame, starts: DataFrame, most_pages: int, most_bytes: int | None = None) -> DataFrame:
     """Breadth-first crawl of stored pages (url, links, status) from starts (site, url), `most_pages` a site.
 
-    Each round joins the frontier to the pages and leaves out what was seen; rounds run until no site has anything new
-    to read. Within a round pages are taken in frontier order. Returns (site, url, round, n). Rounds are cut by
-    checkpoint(), so the session needs a checkpoint folder, which the driver and all executors share.
+    Pages may also have final_url (where a redirect led), canonical and bytes. A page that was led to, or declares itself
+    a view of, an address its site has seen is a duplicate: it is read but not taken. A site stops after most_pages pages
+    or once most_bytes are read, and gets to see six times most_pages addresses at most. Each round joins the frontier to
+    the pages and leaves out what was seen; rounds run until no site has anything new to read. Within a round pages are
+    taken in frontier order. Returns (site, url, round, n). Rounds are cut by checkpoint(), so the session needs a
+    checkpoint folder, which the driver and all executors share.
     """
     folder = pages.sparkSession.conf.get("spark.checkpoint.dir", None)
     if folder:
         pages.sparkSession.sparkContext.setCheckpointDir(folder)
-    todo = starts.select("site", "url").withColumn("seq", F.lit(0).cast("long"))
-    seen = fetched = None
+    given = lambda c, other: F.coalesce(c, other) if c in pages.columns else other
+    stored = pages.where("status = 200").select("url", "links", given("final_url", F.col("url")).alias("final_url"), given("canonical", F.lit(None).cast("string")).alias("canonical"), given("bytes", F.lit(0)).cast("long").alias("bytes"))
+    own = F.when(urls.same_site(F.col("canonical"), F.col("final_url")), urls.normalise(F.col("canonical")))
+    stored = stored.withColumn("same", F.coalesce(own, "final_url")).drop("canonical")
+    todo = starts.select("site", "url").distinct().withColumn("seq", F.lit(0).cast("long")).checkpoint()
+    seen, fetched, spent = todo.select("site", "url"), None, None
     for step in itertools.count():
-        hits = todo.join(pages, "url").where("status = 200")
-        if fetched is not None:
-            have = fetched.groupBy("site").agg(F.count("*").alias("have"))
-            hits = hits.join(have, "site", "left")
+        hits = todo.join(stored, "url")
+        for name in ("final_url", "same"):
+            known = seen.select("site", F.col("url").alias(name), F.lit(True).alias(f"{name}_seen"))
+            hits = hits.join(known, ["site", name], "left")
+        if spent is not None:
+            hits = hits.join(spent, "site", "left")
         else:
-            hits = hits.withColumn("have", F.lit(0))
+            hits = hits.withColumns({"have": F.lit(0).cast("long"), "used": F.lit(0).cast("long")})
         order = Window.partitionBy("site").orderBy(urls.frontier_class(F.col("url")), "seq", "url")
-        got = hits.withColumn("k", F.row_number().over(order)).where(F.col("k") + F.coalesce("have", F.lit(0)) <= most_pages)
-        got = got.select("site", "url", F.lit(step).alias("round"), (F.col("k") + F.coalesce("have", F.lit(0))).alias("n"), "links").checkpoint()
-        fetched = got.drop("links") if fetched is None else fetched.unionByName(got.drop("links")).checkpoint()
-        seen = todo.select("site", "url") if seen is None else seen.unionByName(todo.select("site", "url")).checkpoint()
-        nxt = got.select("site", "n", F.posexplode("links").alias("i", "url")).groupBy("site", "url").agg(F.min(F.col("n").cast("long") * 1_000_000 + F.col("i")).cast("long").alias("seq"))
-        todo = nxt.join(seen.distinct(), ["site", "url"], "left_anti").checkpoint()
+        again = F.row_number().over(Window.partitionBy("site", "same").orderBy(urls.frontier_class(F.col("url")), "seq", "url")) > 1
+        elsewhere = lambda c, own: (F.col(c) != own) & F.col(f"{c}_seen").isNotNull()
+        twin = (elsewhere("final_url", F.col("url")) & F.lit(step > 0)) | elsewhere("same", F.col("final_url")) | again
+        ranked = hits.withColumn("twin", twin).withColumns({
+            "n": F.coalesce("have", F.lit(0)) + F.sum((~F.col("twin")).cast("long")).over(order),
+            "read": F.coalesce("used", F.lit(0)) + F.sum("bytes").over(order),
+        })
+        before = F.col("n") - (~F.col("twin")).cast("long")
+        room = before < most_pages if most_bytes is None else (before < most_pages) & (F.col("read") - F.col("bytes") < most_bytes)
+        read = ranked.where(room).select("site", "url", F.lit(step).alias("round"), "n", "links", "final_url", "same", "bytes", "twin").checkpoint()
+        got = read.where("not twin")
+        rows = got.select("site", "url", "round", "n")
+        fetched = rows if fetched is None else fetched.unionByName(rows).checkpoint()
+        now = read.groupBy("site").agg(F.count_if(~F.col("twin")).alias("have"), F.sum("bytes").alias("used"))
+        spent = (now if spent is None else spent.unionByName(now)).groupBy("site").agg(F.sum("have").alias("have"), F.sum("used").alias("used")).checkpoint()
+        seen = seen.unionByName(got.select("site", F.explode(F.array("final_url", "same")).alias("url"))).distinct().checkpoint()
+        nxt = got.select("site", "n", F.posexplode("links").alias("i", "url")).groupBy("site", "url").agg(F.min(F.struct("n", "i")).alias("at"))
+        new = nxt.join(seen, ["site", "url"], "left_anti").withColumn("seq", F.row_number().over(Window.partitionBy("site").orderBy("at")).cast("long"))
+        new = new.join(seen.groupBy("site").agg(F.count("*").alias("held")), "site", "left").where(F.col("seq") + F.col("held") <= 6 * most_pages)
+        todo = new.select("site", "url", (F.lit(step + 1).cast("long") * (6 * most_pages + 1) + F.col("seq")).alias("seq")).checkpoint()
         if todo.isEmpty():
             break
+        seen = seen.unionByName(todo.select("site", "url"))
     return fetched
 
 

@@ -131,6 +131,20 @@ def test_robots_sitemap_and_crawl(spark):
     assert [(r.url.removeprefix("https://s.example"), r.round) for r in got] == [("/", 0), ("/products/x", 1), ("/p/1", 1), ("/blog/a/", 1)]
 
 
+def test_crawl_skips_duplicates_and_stops(spark):
+    full = lambda u: u and f"https://s.example{u}"
+    web = [("/", ["/a", "/b", "/old", "/view", "/twin1", "/twin2", "/gone"], None, None), ("/a", ["/c"], None, None), ("/b", [], None, "/b"), ("/old", ["/lost"], "/a", None), ("/view", ["/lost"], None, "/b"),
+           ("/twin1", [], None, "/twin"), ("/twin2", ["/lost"], None, "/twin"), ("/c", ["/twin"], None, "https://else.example/"), ("/twin", [], None, None), ("/lost", [], None, None)]
+    rows = [(full(u), [full(x) for x in links], 200, full(final), canon if canon and canon.startswith("http") else full(canon), 100) for u, links, final, canon in web]
+    pages = spark.createDataFrame(rows, "url string, links array<string>, status int, final_url string, canonical string, bytes long")
+    starts = spark.createDataFrame([("s", full("/"))], "site string, url string")
+    taken = lambda *limits: [r.url.removeprefix("https://s.example") for r in crawl.crawl(pages, starts, *limits).orderBy("n").collect()]
+    assert taken(50) == ["/", "/a", "/b", "/twin1", "/c"]
+    assert taken(3) == ["/", "/a", "/b"]
+    assert taken(50, 250) == ["/", "/a", "/b"] and taken(50, 450) == ["/", "/a", "/b"] and taken(50, 501) == ["/", "/a", "/b", "/twin1"]
+    assert taken(1) == ["/"] and crawl.crawl(pages, starts.limit(0), 5).count() == 0
+
+
 LD = json.dumps({"@graph": [{"@type": "Organization", "name": "Bakehouse", "email": "mailto:hi@b.example", "sameAs": ["https://instagram.com/b"]}, {"@type": "Product", "name": "Starter", "sku": "S1", "offers": {"price": "19.99", "priceCurrency": "USD", "availability": "https://schema.org/InStock"}}]})
 SHOP = {
     "https://b.example/products/starter": f'<title>Starter</title><link rel=canonical href="/products/starter"><script type="application/ld+json">{LD}</script><h1>Our starter</h1><s>$24.00</s><img src=/a.jpg alt="a jar of starter"><a href="/about?utm_source=x">Shop now</a><nav>menu</nav>',
