@@ -145,6 +145,15 @@ def test_crawl_skips_duplicates_and_stops(spark):
     assert taken(1) == ["/"] and crawl.crawl(pages, starts.limit(0), 5).count() == 0
 
 
+def test_crawl_sees_six_addresses_a_page(spark):
+    links = [f"https://s.example/{n}" for n in range(20)]
+    pages = spark.createDataFrame([("https://s.example/", links, 200), (links[10], [], 200), (links[11], [], 200)], "url string, links array<string>, status int")
+    got = crawl.crawl(pages, spark.createDataFrame([("s", "https://s.example/")], "site string, url string"), 2)
+    assert [r.url for r in got.orderBy("n").collect()] == ["https://s.example/", links[10]]
+    got = crawl.crawl(pages.where(f"url <> '{links[10]}'"), spark.createDataFrame([("s", "https://s.example/")], "site string, url string"), 2)
+    assert [r.url for r in got.collect()] == ["https://s.example/"]  # the twelfth link is the thirteenth address
+
+
 LD = json.dumps({"@graph": [{"@type": "Organization", "name": "Bakehouse", "email": "mailto:hi@b.example", "sameAs": ["https://instagram.com/b"]}, {"@type": "Product", "name": "Starter", "sku": "S1", "offers": {"price": "19.99", "priceCurrency": "USD", "availability": "https://schema.org/InStock"}}]})
 SHOP = {
     "https://b.example/products/starter": f'<title>Starter</title><link rel=canonical href="/products/starter"><script type="application/ld+json">{LD}</script><h1>Our starter</h1><s>$24.00</s><img src=/a.jpg alt="a jar of starter"><a href="/about?utm_source=x">Shop now</a><nav>menu</nav>',
