@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from . import bpe, caps, chat, imatch, jaccard, kneser_ney, lines, mixing, quality, substrings
+from . import bpe, caps, chat, imatch, jaccard, kneser_ney, lines, mixing, quality, substrings, variants
 
 #: The rank file of the queries; a parameter of the operators.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -84,9 +84,16 @@ def op10_suffix_dedup(spark, sf_dir):
     return substrings.cut_repeats(table(spark, sf_dir, "documents"), 100, digest, columns)
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_document_fingerprints, op4_embedding_dedup, op5_mixing, op6_ngram_jaccard_join, op7_chat_formatting, op8_lm_scoring, op9_quality_classifier, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_document_fingerprints, op4_embedding_dedup, op5_mixing, op6_ngram_jaccard_join, op7_chat_formatting, op8_lm_scoring, op9_quality_classifier, op10_suffix_dedup, op11_spelling_variants)}
 
 
 def oracle_sql():
-    return {"op5_mixing": mixing.MIX_SQL.replace("{docs}", "documents")}
+    return {
+        "op5_mixing": mixing.MIX_SQL.replace("{docs}", "documents"),
+        "op11_spelling_variants": variants.VARIANTS_SQL.replace("{docs}", "documents"),
+    }
