@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from . import bpe, caps, chat, imatch, jaccard, kneser_ney, lines, mixing, quality, substrings, trie, variants
+from . import bpe, caps, chat, imatch, jaccard, kneser_ney, lines, mixing, phrases, quality, substrings, trie, variants
 
 #: The rank file of the queries; a parameter of the operators.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -88,17 +88,23 @@ def op11_spelling_variants(spark, sf_dir):
     return variants.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark, sf_dir):
+    indexed = phrases.index(table(spark, sf_dir, "documents"))
+    return phrases.contamination(indexed, table(spark, sf_dir, "benchmark"))
+
+
 def op13_prefix_trie(spark, sf_dir):
     return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_document_fingerprints, op4_embedding_dedup, op5_mixing, op6_ngram_jaccard_join, op7_chat_formatting, op8_lm_scoring, op9_quality_classifier, op10_suffix_dedup, op11_spelling_variants, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_document_fingerprints, op4_embedding_dedup, op5_mixing, op6_ngram_jaccard_join, op7_chat_formatting, op8_lm_scoring, op9_quality_classifier, op10_suffix_dedup, op11_spelling_variants, op12_decontamination, op13_prefix_trie)}
 
 
 def oracle_sql():
     return {
         "op5_mixing": mixing.MIX_SQL.replace("{docs}", "documents"),
         "op11_spelling_variants": variants.VARIANTS_SQL.replace("{docs}", "documents"),
+        "op12_decontamination": phrases.CONTAMINATION_SQL,
         "op13_prefix_trie": trie.TRIE_SQL.replace("{crc}", variants.CRC_SQL).replace("{h}", variants.crc_sql("conv_id::VARCHAR")),
     }
