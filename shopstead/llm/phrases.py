@@ -173,6 +173,8 @@ def _shards(spark, items: DataFrame, width: int) -> list:
     shards = []
     for k in range(n):
         rows = pieces_.where(F.col("shard") == k).toArrow()
+        if not rows.num_rows:
+            continue
         grams, sizes, names = [], [], []
         for name, data in zip(rows["item"].to_pylist(), rows["terms"].to_pylist()):
             terms = np.frombuffer(data, np.uint64)
