@@ -20,6 +20,12 @@ PROJECTIONS: dict[str, tuple[str, str]] = {
         CASE WHEN p_partkey % 5 = 0 THEN 'OUT_OF_STOCK' WHEN p_partkey % 5 = 1 THEN 'UNKNOWN' ELSE 'IN_STOCK' END AS availability,
         p_size AS business_id""",
     ),
+    "shop_parts": (
+        "part",
+        """CAST(floor(p_partkey / 6) AS BIGINT) AS page_id, p_partkey AS id, p_partkey % 6 AS nth, CAST(floor(p_partkey / 6) AS BIGINT) % 8 AS kind,
+        concat(upper(substr(p_name, 1, 1)), substr(p_name, 2)) AS name, p_brand AS brand, p_type AS type,
+        CASE WHEN p_partkey % 13 = 0 THEN '' ELSE concat(CAST(floor(p_retailprice) AS BIGINT), '.', lpad(CAST(CAST(round(p_retailprice * 100) AS BIGINT) % 100 AS STRING), 2, '0')) END AS price""",
+    ),
     "scan_before": (
         "part",
         f"""p_size AS website_id, concat('/p/', p_partkey) AS product_url, p_name AS name, p_type AS description, {_PRICE} AS price_cents,

@@ -160,7 +160,8 @@ SHOP = {
     "https://b.example/products/rye": '<meta property="og:type" content="product"><meta property="og:title" content="Rye"><meta property="product:price:amount" content="8,50"><meta property="product:price:currency" content="EUR">Save 20%',
     "https://b.example/products/basket": '<div itemscope itemtype="https://schema.org/Product"><a itemprop="name" href="/x">Basket</a><meta itemprop="price" content="32.00"><meta itemprop="priceCurrency" content="USD"><link itemprop="availability" href="https://schema.org/OutOfStock"></div>',
     "https://b.example/collections/all": "<h1>All</h1>" + "".join(f"<p class=price>${n}.00</p>" for n in range(5, 10)),
-    "https://b.example/packs": '<div class=grid>' + "".join(f"<div class=pack><h3>Pack {n}</h3><span>${n}0.00</span></div>" for n in (1, 2, 3)) + "</div>",
+    "https://b.example/packs": '<div class=grid>' + "".join(f"<div class=pack><h3>Pack {n}</h3><span>${n}0.00</span><button>Add to bag</button></div>" for n in (1, 2, 3)) + "</div>",
+    "https://b.example/posts/prices": '<div class=grid>' + "".join(f"<div class=pack><h3>Pack {n}</h3><span>${n}0.00</span><button>Choose</button></div>" for n in (1, 2, 3)) + "</div>",
     "https://b.example/shop/couche": "<h1>Couche</h1><p class=price_color>£18.50</p>",
     "https://b.example/": "<h1>Home</h1><p class=price>$9.00</p>",
 }
@@ -183,22 +184,50 @@ def test_extraction(spark):
 
 
 def test_repeated_cards(spark):
-    """Cards of one shape, all but one with a name and a price; links elsewhere, carts and other amounts are no products."""
-    card = lambda n, css="", more="": f'<li class="tile {css}"><h3>Mug {n}</h3><em>$1{n}.00</em><small class=note>+ $4.99 shipping</small>{more}</li>'
-    lazy = '<img src="data:image/gif;base64,x" data-src="/m.jpg" alt="a mug"><button data-sku="M-3">Buy</button>'
+    """Cards of one shape, all but one with a name, a price and a control; links elsewhere, carts, other amounts and pages
+    that sell nothing are no products."""
+    buy = "<button>Add to cart</button>\n"
+    card = lambda n, css="", more=buy: f'<li class="tile {css}"><h3>Mug {n}</h3><em>$1{n}.00</em><small class=note>+ $4.99 shipping</small>{more}</li>'
+    lazy = '<img src="data:image/gif;base64,x" data-src="/m.jpg" alt="a  mug" width=40 height="auto"><img src=/m.jpg><img src="mailto:x"><button data-sku="M-3">Go</button>'
     pages = {
-        "/grid": f"<ul>{card(1)}{card(2, 'wide', '<b id=x></b>')}{card(3, '', lazy)}{card(1)}<li class=tile>More soon</li></ul><p>Call us: (02) 5550 1234</p>",
-        "/list": f"<ul>{card(1, '', '<a href=/p/1>see</a>')}{card(2, '', '<a href=/p/2>see</a>')}</ul>", "/cart": f"<div id=basket><ul>{card(1)}{card(2)}</ul></div>",
-        "/ids": "".join(f'<div class=t id=pot-{n}><b>Pot {n}</b><i>$0.00</i><i>${n}.50</i></div>' for n in (1, 2)),
+        "/grid": f"<ul>{card(1)}{card(2, 'wide', '<b id=x></b><input type=submit value=Choose>')}{card(3, '', lazy)}{card(1)}<li class=tile>More soon</li></ul><p>Call us: (02) 5550 1234</p>",
+        "/list": f"<ul>{card(1, '', buy + '<a href=/p/1>see</a>')}{card(2, '', buy + '<a href=/p/2>see</a>')}</ul>", "/cart": f"<div id=basket><ul>{card(1)}{card(2)}</ul></div>",
+        "/deep": f"<div id=basket>{'<div>' * 12}<ul>{card(1)}{card(2)}</ul></div>", "/silent": f"<ul>{card(1, '', '<button>More</button>')}{card(2, '', '')}</ul>{buy}",
+        "/ids": "".join(f'<div class=t id=pot-{n} data-add=p><b>Pot {n}</b><i>$0.00</i><i>${n}.50</i></div>' for n in (1, 2)).join(["<main>", " checkout</main>"]),
+        "/two": f"<dl><dt>Jug</dt><dt>$1.00{buy}</dt></dl><ul>{card(4)}{card(5)}</ul><ol>{card(6)}{card(7)}</ol>", "/partly": f"<ul>{card(1)}{card(2)}{card(3, '', '')}{card(4, '', '')}</ul>",
+        "/nest": "<p>" * 3000 + f"<ul>{card(8)}{card(9)}</ul>", "/table": f"<ul>{card(1, '', '<button>Choose</button>')}{card(2, '', '<button>Choose</button>')}</ul>",
     }
     got = extract.extract(spark.createDataFrame([(i, f"https://c.example{u}", h) for i, (u, h) in enumerate(pages.items())], "page_id long, url string, html string"))
-    found = sorted((r.url.removeprefix("https://c.example"), r.name, r.price_cents, r.sku, r.anchor) for r in extract.products(got).collect())
-    assert found == [("/grid", "Mug 1", 1100, None, "mug-1"), ("/grid", "Mug 2", 1200, None, "mug-2"), ("/grid", "Mug 3", 1300, "M-3", "m-3"), ("/ids", "Pot 1", 150, None, "pot-1"), ("/ids", "Pot 2", 250, None, "pot-2")]
-    grid = got.where("page_id = 0").first().page.candidates
-    assert [(c.value, c.hint) for c in grid if c.field == "image"] == [("https://c.example/m.jpg", "a mug")]
+    rows = extract.products(got).collect()
+    found = sorted((r.url.removeprefix("https://c.example"), r.owner, r.name, r.price_cents, r.sku, r.anchor) for r in rows)
+    assert found == [
+        ("/deep", 0, "Mug 1", 1100, None, "mug-1"), ("/deep", 1, "Mug 2", 1200, None, "mug-2"), ("/grid", 0, "Mug 1", 1100, None, "mug-1"), ("/grid", 1, "Mug 2", 1200, None, "mug-2"), ("/grid", 2, "Mug 3", 1300, "M-3", "m-3"),
+        ("/ids", 0, "Pot 1", 150, "p", "pot-1"), ("/ids", 1, "Pot 2", 250, "p", "pot-2"), ("/nest", 0, "Mug 8", 1800, None, "mug-8"), ("/nest", 1, "Mug 9", 1900, None, "mug-9"), ("/two", 0, "Mug 4", 1400, None, "mug-4"), ("/two", 1, "Mug 5", 1500, None, "mug-5"),
+    ]
+    assert [tuple(i) for r in rows if r.name == "Mug 3" for i in r.images] == [("https://c.example/m.jpg", "a mug", 40, None)]
     assert {(r.value, r.method) for r in extract.business_facts(got).where("field = 'phone'").collect()} == {("(02) 5550 1234", "TEXT_PATTERN")}
 
 
+def test_declared_products(spark):
+    """Several declared products, each for itself; one merges all sources; images of all kinds once each."""
+    ld = lambda *nodes: f'<script type="application/ld+json">{json.dumps(list(nodes))}</script>'
+    offer = lambda p, **k: {"price": p, "priceCurrency": "eur", **k}
+    scope = lambda n, more="": f'<div itemscope itemtype="https://schema.org/Product" {more}><b itemprop=name>{n}</b><i itemprop=price>{n[-1]}.50</i><meta itemprop=priceCurrency content=GBP></div>'
+    pages = {
+        "/several": ld({"@type": "Product", "name": "A", "sku": "S 1", "offers": [offer("1"), offer("2.50", availability="OutOfStock")]}, {"@type": ["x", "PRODUCT"], "name": "A"}, {"@type": "Product"}),
+        "/scopes": scope("Cup 1", 'id="one"') + scope("Cup 2"),
+        "/one": ld({"@type": "Product", "name": "B", "image": ["/b1.jpg", {"url": "b2.jpg"}, "ftp://x/y"]}) + '<meta property="og:image" content="/b1.jpg"><meta property="og:price:amount" content="3"><img src="/c.jpg" width="640" height=99999 alt=" "><img data-src="/d.jpg" width="1e3">',
+        "/label": "<h1>Tin</h1><p class=price>call</p><b>£7.00</b>", "/id": "<h1>Tin</h1><p id=price>£7.00</p>",
+    }
+    got = extract.products(extract.extract(spark.createDataFrame([(i, f"https://d.example{u}", h) for i, (u, h) in enumerate(pages.items())], "page_id long, url string, html string")))
+    rows = {(r.url.removeprefix("https://d.example"), r.owner): r for r in got.collect()}
+    assert {k: (r.name, r.price_cents, r.currency, r.availability, r.anchor) for k, r in rows.items()} == {
+        ("/several", 0): ("A", 250, "EUR", "OUT_OF_STOCK", "s-1"), ("/several", 1): ("A", None, None, None, "a"), ("/scopes", 0): ("Cup 1", 150, None, None, "one"), ("/scopes", 1): ("Cup 2", 250, None, None, "cup-2"),
+        ("/one", 0): ("B", 300, None, None, None), ("/label", 0): ("Tin", 700, "GBP", None, None),
+    }
+    assert [tuple(i) for i in rows["/one", 0].images] == [("https://d.example/b1.jpg", None, None, None), ("https://d.example/b2.jpg", None, None, None), ("https://d.example/c.jpg", None, 640, None), ("https://d.example/d.jpg", None, 1, None)]
+
+
 def test_evidence_and_writer(spark):
     pages = spark.createDataFrame([("o", 1, "x" * 50), ("o", 2, " "), ("o", 3, "y" * 50), ("o", 4, "z" * 50)], "owner string, n int, text string")
     assert [(r.n, len(r.slice)) for r in evidence.budgeted_pages(pages, "owner", "n", 40, 70).orderBy("n").collect()] == [(1, 40), (3, 30)]

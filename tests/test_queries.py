@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from shopstead.plans import accounts, catalogue, commerce
+from shopstead.plans import accounts, catalogue, commerce, site
 
-QUERIES, SQL = ({k: v for m in (commerce, catalogue, accounts) for k, v in getattr(m, kind).items()} for kind in ("QUERIES", "SQL"))
+QUERIES, SQL = ({k: v for m in (commerce, catalogue, accounts, site) for k, v in getattr(m, kind).items()} for kind in ("QUERIES", "SQL"))
 
 
 @pytest.fixture(scope="module")
