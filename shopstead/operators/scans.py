@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Page types and uncertainties in the order of their enums, statuses that mean a firewall refused us,
-#: rows of a class that a scan tells the feed, rows that a knowledge bundle lists.
-PAGE_TYPES = ("HOME", "PRODUCT", "CATEGORY", "ABOUT", "CONTACT", "SHIPPING", "RETURNS", "FAQ", "POLICY", "BLOG", "OTHER")
+from ..functions.text import PAGE_TYPES
+
+#: Uncertainties in the order of their enum, statuses that mean a firewall refused us, rows of a class that a
+#: scan tells the feed, rows that a knowledge bundle lists.
 UNCERTAINTIES = ("LOW", "MEDIUM", "HIGH")
 BLOCKED = (401, 403, 429)
 TOLD, PAGES, PRODUCTS, FACTS, INFERENCES = 5, 200, 100, 100, 20
@@ -114,18 +115,27 @@ def facts_of_businesses(product_facts: DataFrame, products: DataFrame, businesse
     return product_facts.join(own, "product_id", "left_semi")
 
 
-def knowledge(websites: DataFrame, pages: DataFrame, products: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row a business: its latest website, the pages, products still sold and facts that a screen lists, each an
-    array in order and bounded, with the number of pages by type."""
+def knowledge(websites: DataFrame, pages: DataFrame, products: DataFrame, facts: DataFrame, images: DataFrame, versions: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row a business: its latest website; the pages, products still sold (each with its first image and the number of its
+    versions) and facts that a screen lists, as arrays in order and bounded; the number of pages by type, and of all facts.
+
+    images (product_id, source_url, position) and versions (product_id) are met by the listed products only; totals are
+    fact_totals(), since the list of facts stops at its limit.
+    """
     c = F.col
     site = latest_website(websites).select("business_id", c("id").alias("website_id"))
     gather = lambda *cols: F.transform(F.array_sort(F.collect_list(F.struct("n", *cols))), lambda x: F.struct(*[x[k].alias(k) for k in cols]))
     own = pages.join(site, "website_id")
     types = own.groupBy("website_id", "page_type").agg(F.count("*").alias("k")).groupBy("website_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("page_type", "k")))).alias("page_types"))
     listed = known_pages(own).groupBy("website_id").agg(gather("url", "page_type").alias("pages"))
-    sold = _first(products.where("removed_at is null").join(site, "business_id"), "website_id", [F.desc("last_seen_at"), "id"], PRODUCTS).groupBy("website_id").agg(gather("name").alias("products"))
+    sold = _first(products.where("removed_at is null").join(site, "business_id"), "website_id", [F.desc("last_seen_at"), "id"], PRODUCTS).select("website_id", "n", "name", c("id").alias("product_id"))
+    main = images.groupBy("product_id").agg(F.min_by("source_url", F.struct("position", "source_url")).alias("image"))
+    counts = versions.groupBy("product_id").agg(F.count("*").alias("n_versions"))
+    seen = sold.join(main, "product_id", "left").join(counts, "product_id", "left").fillna(0, ["n_versions"])
+    shown = seen.groupBy("website_id").agg(gather("name", "image", "n_versions").alias("products"))
     top = _first(facts, "business_id", [F.desc("confidence"), "key", "seq"], FACTS).groupBy("business_id").agg(gather("key", "value").alias("facts"))
-    return site.join(listed, "website_id", "left").join(types, "website_id", "left").join(sold, "website_id", "left").join(top, "business_id", "left")
+    joined = site.join(listed, "website_id", "left").join(types, "website_id", "left").join(shown, "website_id", "left").join(top, "business_id", "left")
+    return joined.join(totals.withColumnRenamed("facts", "n_facts"), "business_id", "left").fillna(0, ["n_facts"])
 
 
 def current_analysis(profiles: DataFrame, inferences: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -265,23 +265,30 @@ def facts_of_businesses(spark, sf_dir):
     return scans.facts_of_businesses(_product_facts(spark, sf_dir), project(spark, sf_dir, "products"), own)
 
 
-_TYPE = "list_position(['HOME', 'PRODUCT', 'CATEGORY', 'ABOUT', 'CONTACT', 'SHIPPING', 'RETURNS', 'FAQ', 'POLICY', 'BLOG', 'OTHER'], page_type)"
+_TYPE = "list_position(['HOME', 'PRODUCT', 'COLLECTION', 'ABOUT', 'FAQ', 'SHIPPING', 'RETURNS', 'CONTACT', 'POLICY', 'BLOG', 'OTHER'], page_type)"
 
 
 @query(f"""WITH w AS (SELECT business_id, id AS website_id FROM {as_sql("websites")} QUALIFY row_number() OVER (PARTITION BY business_id ORDER BY created_at DESC, id) = 1),
   p AS (SELECT website_id, url, row_number() OVER (PARTITION BY website_id ORDER BY {_TYPE}, fetched_at DESC, id) AS n FROM {as_sql("site_pages")}),
   g AS (SELECT website_id, page_type, count(*) AS k FROM {as_sql("site_pages")} GROUP BY ALL), t AS (SELECT website_id, string_agg(page_type || '=' || k, ',' ORDER BY page_type) AS types FROM g GROUP BY 1),
   l AS (SELECT website_id, md5(string_agg(url, ' ' ORDER BY n)) AS pages_md5 FROM p WHERE n <= 200 GROUP BY 1),
-  s AS (SELECT business_id, name, row_number() OVER (PARTITION BY business_id ORDER BY id DESC) AS n FROM {as_sql("products")} WHERE availability <> 'OUT_OF_STOCK'),
-  r AS (SELECT business_id, md5(string_agg(name, ' ' ORDER BY n)) AS products_md5 FROM s WHERE n <= 100 GROUP BY 1),
-  f AS (SELECT owner_id AS business_id, key || '=' || value AS v, row_number() OVER (PARTITION BY owner_id ORDER BY confidence DESC, key, seq) AS n FROM {as_sql("facts")}), h AS (SELECT business_id, md5(string_agg(v, ' ' ORDER BY n)) AS facts_md5 FROM f WHERE n <= 100 GROUP BY 1)
-  SELECT business_id, website_id, types, pages_md5, products_md5, facts_md5 FROM w LEFT JOIN l USING (website_id) LEFT JOIN t USING (website_id) LEFT JOIN r USING (business_id) LEFT JOIN h USING (business_id)""")
+  s AS (SELECT id, business_id, name, row_number() OVER (PARTITION BY business_id ORDER BY id * 37 % 1013 DESC, id) AS n FROM {as_sql("products")} WHERE availability <> 'OUT_OF_STOCK'),
+  i AS (SELECT product_id, source_url FROM {as_sql("product_images")} QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY position, source_url) = 1),
+  v AS (SELECT l_partkey AS id, count(*) AS k FROM lineitem WHERE l_linenumber < 3 GROUP BY 1),
+  r AS (SELECT business_id, md5(string_agg(name || '|' || coalesce(source_url, '') || '|' || coalesce(k, 0), ' ' ORDER BY n)) AS products_md5 FROM s LEFT JOIN i ON i.product_id = s.id LEFT JOIN v USING (id) WHERE n <= 100 GROUP BY 1),
+  f AS (SELECT owner_id AS business_id, key || '=' || value AS v, row_number() OVER (PARTITION BY owner_id ORDER BY confidence DESC, key, seq) AS n FROM {as_sql("facts")}), h AS (SELECT business_id, md5(string_agg(v, ' ' ORDER BY n)) AS facts_md5 FROM f WHERE n <= 100 GROUP BY 1),
+  a AS (SELECT business_id, count(*) AS n_facts FROM (SELECT owner_id AS business_id FROM {as_sql("facts")} UNION ALL SELECT q.business_id FROM {_PRODUCT_FACTS} x JOIN {as_sql("products")} q ON q.id = x.product_id) GROUP BY 1)
+  SELECT business_id, website_id, types, pages_md5, products_md5, facts_md5, coalesce(n_facts, 0) AS n_facts FROM w LEFT JOIN a USING (business_id) LEFT JOIN l USING (website_id) LEFT JOIN t USING (website_id) LEFT JOIN r USING (business_id) LEFT JOIN h USING (business_id)""")
 def website_knowledge(spark, sf_dir):
-    sold = project(spark, sf_dir, "products").select("id", "name", "business_id", F.col("id").alias("last_seen_at"), F.when(F.col("availability") == "OUT_OF_STOCK", 1).alias("removed_at"))
-    known = scans.knowledge(project(spark, sf_dir, "websites"), project(spark, sf_dir, "site_pages"), sold, project(spark, sf_dir, "facts").withColumnRenamed("owner_id", "business_id"))
+    products = project(spark, sf_dir, "products")
+    sold = products.select("id", "name", "business_id", F.expr("id * 37 % 1013").alias("last_seen_at"), F.when(F.col("availability") == "OUT_OF_STOCK", 1).alias("removed_at"))
+    said = project(spark, sf_dir, "facts").withColumnRenamed("owner_id", "business_id")
+    versions = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber < 3").select(F.col("l_partkey").alias("product_id"))
+    totals = scans.fact_totals(said, _product_facts(spark, sf_dir), products)
+    known = scans.knowledge(project(spark, sf_dir, "websites"), project(spark, sf_dir, "site_pages"), sold, said, project(spark, sf_dir, "product_images"), versions, totals)
     words = lambda rows, f: F.md5(F.array_join(F.transform(rows, f), " "))
     types = F.array_join(F.transform(F.map_entries("page_types"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
-    return known.select("business_id", "website_id", types.alias("types"), words("pages", lambda x: x["url"]).alias("pages_md5"), words("products", lambda x: x["name"]).alias("products_md5"), words("facts", lambda x: F.concat_ws("=", x["key"], x["value"])).alias("facts_md5"))
+    return known.select("business_id", "website_id", types.alias("types"), words("pages", lambda x: x["url"]).alias("pages_md5"), words("products", lambda x: F.concat_ws("|", x["name"], F.coalesce(x["image"], F.lit("")), x["n_versions"].cast("string"))).alias("products_md5"), words("facts", lambda x: F.concat_ws("=", x["key"], x["value"])).alias("facts_md5"), "n_facts")
 
 
 @query(f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY list_position(['LOW', 'MEDIUM', 'HIGH'], uncertainty), created_at DESC, id) AS n FROM {as_sql("inferences")}),

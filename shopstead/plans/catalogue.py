@@ -289,26 +289,34 @@ def evidence_pages_budget(spark, sf_dir):
     return kept.select("source", "doc_id", F.col("take").cast("long").alias("take"), F.md5("slice").alias("slice_md5"))
 
 
-_DOSSIER_PAGES = "SELECT doc_id % 50 + 1 AS business_id, doc_id AS id, 'ABOUT' AS page_type, lang AS title, '/p/' || doc_id AS url, text FROM documents"
-
-
-@query(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY id) AS n FROM {as_sql("products")}),
+@query(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY id * 37 % 1013 DESC, id) AS n FROM {as_sql("products")} WHERE id % 10 <> 0),
   b AS (SELECT business_id, n, concat_ws(chr(10), 'Product: ' || name, CASE WHEN id % 3 = 0 THEN 'Description (from the owner): made by us' WHEN id % 3 = 1 THEN 'Description (from the product page): as seen' ELSE 'Description: none given — do not invent one.' END,
     CASE WHEN price_cents IS NULL THEN 'Price: not stated' ELSE 'Price: ' || format('{{:.2f}}', price_cents / 100.0::DOUBLE) || ' USD' END, 'Brand: ' || brand, 'Availability: ' || availability) AS block FROM p WHERE n <= 40),
   f AS (SELECT owner_id AS business_id, key || ': ' || value AS line, row_number() OVER (PARTITION BY owner_id ORDER BY confidence DESC, key, value, seq) AS n FROM {as_sql("facts")}),
-  h AS (SELECT business_id, count(*) AS n_facts, md5(string_agg(line, chr(10) ORDER BY n)) AS facts_md5 FROM f WHERE n <= 120 GROUP BY 1 HAVING count(*) >= 3),
-  w AS (SELECT *, trim(text) AS t, row_number() OVER (PARTITION BY business_id ORDER BY id) AS n FROM ({_DOSSIER_PAGES})),
+  h AS (SELECT business_id, count(*) AS n_facts, string_agg(line, chr(10) ORDER BY n) AS facts_ FROM f WHERE n <= 120 GROUP BY 1),
+  w AS (SELECT *, trim(text) AS t, row_number() OVER (PARTITION BY business_id ORDER BY fetched_at DESC, id) AS n FROM {as_sql("shop_texts")} WHERE page_type IN ('HOME', 'ABOUT', 'PRODUCT', 'COLLECTION', 'FAQ', 'OTHER')),
   v AS (SELECT *, least(length(t), 12000) AS want FROM w WHERE n <= 8 AND t <> ''), u AS (SELECT *, least(want, 30000 - coalesce(sum(want) OVER (PARTITION BY business_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS take FROM v),
-  g AS (SELECT business_id, count(*) AS n_pages, md5(string_agg('--- ABOUT page: ' || coalesce(title, url) || chr(10) || '(' || url || ')' || chr(10) || t[1:CAST(take AS BIGINT)], chr(10) || chr(10) ORDER BY n)) AS pages_md5 FROM u WHERE take > 0 GROUP BY 1),
-  k AS (SELECT business_id, count(*) AS n_products, md5(string_agg(block, chr(10) || chr(10) ORDER BY n)) AS products_md5 FROM b GROUP BY 1)
-  SELECT business_id, n_facts, facts_md5, n_products, products_md5, n_pages, pages_md5 FROM h LEFT JOIN k USING (business_id) LEFT JOIN g USING (business_id)""")
+  g AS (SELECT business_id, count(*) AS n_pages, string_agg('--- ' || page_type || ' page: ' || coalesce(title, url) || chr(10) || '(' || url || ')' || chr(10) || t[1:CAST(take AS BIGINT)], chr(10) || chr(10) ORDER BY n) AS pages_ FROM u WHERE take > 0 GROUP BY 1),
+  k AS (SELECT business_id, count(*) AS n_products, string_agg(block, chr(10) || chr(10) ORDER BY n) AS products_ FROM b GROUP BY 1),
+  i AS (SELECT product_id, alt_text, width, height, row_number() OVER (PARTITION BY product_id ORDER BY position, source_url) AS k FROM {as_sql("product_images")}),
+  s AS (SELECT business_id, n, k, name, alt_text, width || '×' || height || ', ' || CASE WHEN 100 * width > 115 * height THEN 'landscape' WHEN 100 * width < 87 * height THEN 'portrait' ELSE 'square' END ||
+      CASE WHEN least(width, height) >= 1080 THEN '' WHEN least(width, height) >= 500 THEN ', small for an ad' ELSE ', far too small for an ad' END AS shape FROM p JOIN i ON i.product_id = p.id AND i.k <= 6 WHERE n <= 40),
+  l AS (SELECT business_id, 0 AS kind, n, k, name || ':' || coalesce(' ' || alt_text, '') || coalesce(' (' || shape || ')', '') AS line FROM s WHERE alt_text IS NOT NULL OR shape IS NOT NULL
+    UNION ALL SELECT business_id, 1, n, 0, alt FROM w WHERE n <= 8 UNION ALL SELECT business_id, 1, n, 1, upper(alt) FROM w WHERE n <= 8),
+  o AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY kind, n, k) AS r FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY business_id, lower(line) ORDER BY kind, n, k) = 1)),
+  m AS (SELECT business_id, 'How the merchant describes the pictures on their own site.' || chr(10) || 'These describe images, not guarantees — use them for what the thing looks' || chr(10) || 'like and what it is called, not for claims about how it performs.' || chr(10) || chr(10) ||
+    string_agg('- ' || line, chr(10) ORDER BY r) AS pictures FROM o WHERE r <= 40 GROUP BY 1)
+  SELECT s_suppkey AS business_id, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'The owner says, in their own words:' || chr(10) || 'We are ' || s_name END AS owner_notes_text, coalesce(n_facts, 0) AS n_facts, md5(coalesce(facts_, '')) AS facts_md5, coalesce(n_products, 0) AS n_products,
+    md5(coalesce(products_, '')) AS products_md5, coalesce(n_pages, 0) AS n_pages, md5(coalesce(pages_, '')) AS pages_md5, md5(coalesce(pictures, '')) AS images_md5, coalesce(n_facts, 0) >= 3 AS enough
+  FROM supplier LEFT JOIN h ON h.business_id = s_suppkey LEFT JOIN k ON k.business_id = s_suppkey LEFT JOIN g ON g.business_id = s_suppkey LEFT JOIN m ON m.business_id = s_suppkey""")
 def evidence_dossier(spark, sf_dir):
     own, page = F.when(F.col("id") % 3 == 0, " made by us "), F.when(F.col("id") % 3 <= 1, "as seen")
-    p = project(spark, sf_dir, "products").withColumns({"owner_description": own, "description": page})
+    p = project(spark, sf_dir, "products").withColumns({"owner_description": own, "description": page, "last_seen_at": F.expr("id * 37 % 1013"), "removed_at": F.expr("CASE WHEN id % 10 = 0 THEN 1 END")})
     said = project(spark, sf_dir, "facts").withColumnRenamed("owner_id", "business_id")
-    read = _docs(spark, sf_dir).selectExpr("doc_id % 50 + 1 AS business_id", "doc_id AS id", "'ABOUT' AS page_type", "lang AS title", "concat('/p/', doc_id) AS url", "text")
-    found = evidence.dossier(said, p, "business_id").join(evidence.pages_text(read, "business_id", "id"), "business_id", "left")
-    return found.select("business_id", "n_facts", F.md5("facts_text").alias("facts_md5"), "n_products", F.md5("products_text").alias("products_md5"), "n_pages", F.md5("pages_text").alias("pages_md5"))
+    read = project(spark, sf_dir, "shop_texts").withColumn("image_alts", F.array("alt", F.upper("alt")))
+    shops = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS business_id", "CASE WHEN s_suppkey % 3 <> 0 THEN concat('We are ', s_name) END AS description")
+    found = evidence.dossier(shops, said, p, read, project(spark, sf_dir, "product_images"))
+    return found.select("business_id", F.coalesce("owner_notes_text", F.lit("")).alias("owner_notes_text"), "n_facts", F.md5("facts_text").alias("facts_md5"), "n_products", F.md5("products_text").alias("products_md5"), "n_pages", F.md5("pages_text").alias("pages_md5"), F.md5("image_text").alias("images_md5"), "enough")
 
 
 _UNIT = "(('0x' || substr(sha256(campaign_id || ':{}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"

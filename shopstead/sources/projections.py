@@ -119,7 +119,12 @@ PROJECTIONS: dict[str, tuple[str, str]] = {
     "site_pages": (
         "events",
         """event_id AS id, user_id AS website_id, concat('/page/', event_id) AS url, CAST(event_id * 31 % 1009 AS INT) AS fetched_at,
-        CASE event_id % 12 WHEN 0 THEN 'HOME' WHEN 1 THEN 'PRODUCT' WHEN 2 THEN 'FAQ' WHEN 3 THEN 'SHIPPING' WHEN 4 THEN 'ABOUT' WHEN 5 THEN 'CONTACT' WHEN 6 THEN 'RETURNS' WHEN 7 THEN 'CATEGORY' ELSE 'OTHER' END AS page_type""",
+        CASE event_id % 12 WHEN 0 THEN 'HOME' WHEN 1 THEN 'PRODUCT' WHEN 2 THEN 'FAQ' WHEN 3 THEN 'SHIPPING' WHEN 4 THEN 'ABOUT' WHEN 5 THEN 'CONTACT' WHEN 6 THEN 'RETURNS' WHEN 7 THEN 'COLLECTION' WHEN 8 THEN 'POLICY' WHEN 9 THEN 'BLOG' ELSE 'OTHER' END AS page_type""",
+    ),
+    "shop_texts": (
+        "documents",
+        """doc_id % 50 + 1 AS business_id, doc_id AS id, lang AS title, concat('/p/', doc_id) AS url, text, CAST(doc_id * 31 % 1009 AS INT) AS fetched_at, concat('a view of ', doc_id % 9) AS alt,
+        CASE doc_id % 12 WHEN 0 THEN 'HOME' WHEN 1 THEN 'PRODUCT' WHEN 2 THEN 'FAQ' WHEN 3 THEN 'SHIPPING' WHEN 4 THEN 'ABOUT' WHEN 5 THEN 'CONTACT' WHEN 6 THEN 'RETURNS' WHEN 7 THEN 'COLLECTION' WHEN 8 THEN 'POLICY' WHEN 9 THEN 'BLOG' ELSE 'OTHER' END AS page_type""",
     ),
     "inferences": (
         "events",
