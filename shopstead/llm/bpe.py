@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,9 @@ from .common import documents, mapped, rows_of
 
 #: Bytes that are merged directly; longer pieces are halved.
 LEAF = 24
-#: Pieces that a worker remembers before it forgets those it has not met since as many others; characters after which a long text is cut at a safe place.
-REMEMBERED, SEGMENT = 300_000, 200_000
+#: Pieces that a worker remembers before it forgets those it has not met since as many others; characters of a text whose
+#: matches are taken at once, and matches that are taken together of a longer one.
+REMEMBERED, LONG, PART = 300_000, 200_000, 50_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -64,7 +65,8 @@ class Codec:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.split = self.pattern.findall
         self.fits = lru_cache(100_000)(self._fits)
         self.known = _Known(self)
         self.names = [str(i) for i in range(len(self.bytes_of))]
@@ -91,15 +93,24 @@ class Codec:
         half = len(piece) // 2
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
+    def pieces(self, text: str):
+        """Lists of the pattern's matches in a text, in order."""
+        if len(text) <= LONG:
+            yield self.split(text)
+            return
+        matches = self.pattern.finditer(text)
+        while part := [m[1] if self.pattern.groups == 1 else m[0] for m in islice(matches, PART)]:
+            yield part
+
     def piece(self, piece: str) -> tuple[int, ...]:
         return tuple(self.ranks[t] for t in self.tree(piece.encode("utf-8", "surrogatepass")))
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text. Long texts are cut where white space follows something else: a match always ends
-        there, so the parts' ids only need concatenation."""
+        """Ids of a whole text. The matches of a long one are taken PART at a time, whatever the pattern, so that they
+        are never held together; ids only need concatenation."""
         known, parts = self.known, []
-        for part in segments(text):
-            parts.append(np.fromiter(chain.from_iterable(map(known.__getitem__, self.split(part))), np.int32))
+        for part in self.pieces(text):
+            parts.append(np.fromiter(chain.from_iterable(map(known.__getitem__, part)), np.int32))
             if len(known) > REMEMBERED:
                 known.turn()
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int32)
@@ -129,21 +140,6 @@ class _Known(dict):
         self.clear()
 
 
-_BORDER = regex.compile(r"(?<=\S)(?=\s)")
-
-
-def segments(text: str):
-    at = 0
-    while len(text) - at > SEGMENT:
-        border = _BORDER.search(text, at + SEGMENT)
-        if not border:
-            break
-        yield text[at : border.start()]
-        at = border.start()
-    if at < len(text):
-        yield text[at:]
-
-
 @lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
     with open(path, "rb") as f:

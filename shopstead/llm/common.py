@@ -21,15 +21,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHARS_PER_BUCKET = 4_000_000
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only on a local master (tests)."""
+    """This application's folder in the one that driver and executors share; one of our own only on a local master (tests)."""
+    app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='shopstead-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='shopstead-')}"
+        base = _own[app]
+    return f"{base.rstrip('/')}/shopstead-{app}"
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes every table and model that this application keeps in the shared folder. Results are lazy and read them, so
+    this comes after the results are written."""
+    _delete(spark, shared_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -46,8 +62,7 @@ def dropped(*dfs: DataFrame) -> None:
         spark = df.sparkSession
         folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
         for folder in folders:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
 
 
 #: Rows and bytes of an Arrow batch at most: a batch is in memory on both sides at once, and texts run to megabytes.

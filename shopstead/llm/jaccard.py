@@ -14,6 +14,8 @@ from .sigtree import Block, links
 
 #: Set elements that one side of a block may hold (8 bytes each); larger groups are cut into blocks.
 BLOCK = 500_000
+#: Sets whose elements are dealt out together: a blob numbers them by 16 bits.
+DEALT = 20_000
 _CHARS = 16_000_000
 
 
@@ -158,10 +160,10 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
 def _dealt_texts(docs: DataFrame, width: int, nb: int) -> DataFrame:
     def deal(batches):
         for ids, texts in chunks_of(batches, ("doc_id", "text"), "text", 8_000_000):
-            for a in range(0, len(ids), 20_000):
-                part = texts[a : a + 20_000]
+            for a in range(0, len(ids), DEALT):
+                part = texts[a : a + DEALT]
                 sets = [s for b, e in pieces(part) for s in shingle_sets(part[b:e], width)]
-                yield blob_batch(_deal(ids[a : a + 20_000], sets, nb, combine=True))
+                yield blob_batch(_deal(ids[a : a + DEALT], sets, nb, combine=True))
 
     return mapped(docs.where("doc_id is not null"), deal, BLOBS)
 
@@ -169,8 +171,9 @@ def _dealt_texts(docs: DataFrame, width: int, nb: int) -> DataFrame:
 def _dealt_sets(sets: DataFrame, nb: int) -> DataFrame:
     def deal(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield blob_batch(_deal(batch.column(0).to_pylist(), [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()], nb))
+            for a in range(0, batch.num_rows, DEALT):
+                part = batch.slice(a, DEALT)
+                yield blob_batch(_deal(part.column(0).to_pylist(), [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()], nb))
 
     return mapped(sets.select("doc_id", "items"), deal, BLOBS)
 

@@ -20,10 +20,15 @@ HELD, WINDOWS = 400_000, 400_000
 CHUNK = 400_000
 _CHARS = 16_000_000
 _PLACE = np.uint64((1 << 30) - 1)
-SUFFIX = np.dtype([("t", "<u4"), ("s", "<u8"), ("d", "<i8"), ("m", "<i8"), ("p", "<i4"), ("n", "u1"), ("o", "u1")])
 WINDOW = np.dtype([("w", "<u8"), ("d", "<i8"), ("m", "<i8"), ("p", "<i4")])
 
 
+def suffix_type(length: int) -> np.dtype:
+    """A sampled suffix; the number of windows that sample it and its place in their span are at most `length`."""
+    small = "u1" if length < 256 else "<u4"
+    return np.dtype([("t", "<u4"), ("s", "<u8"), ("d", "<i8"), ("m", "<i8"), ("p", "<i4"), ("n", small), ("o", small)])
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each run of `width` values."""
     n = len(values)
@@ -35,7 +40,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def sampled(ids: list[int], marks: list[int], texts: list[bytes], length: int):
-    """A record for each sampled suffix of the texts, with the 64-bit hash of its first Q bytes.
+    """A record for each sampled suffix of the texts, with the 64-bit hash of its first Q bytes (or `length`, if less).
 
     Each window of `length` bytes samples the suffix at its least Q-gram (leftmost on ties), so equal windows sample at
     the same place in them. A record stands for the n windows, starting at p, that sample one suffix; s is the hash of
@@ -45,10 +50,11 @@ def sampled(ids: list[int], marks: list[int], texts: list[bytes], length: int):
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.r_[0, np.cumsum(sizes)]
     if len(data) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, SUFFIX)
+        return np.zeros(0, np.uint64), np.zeros(0, suffix_type(length))
     rolling = Rolling(data)
-    grams = rolling.grams(Q)
-    least = _least((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), length - Q + 1)
+    q = min(Q, length)
+    grams = rolling.grams(q)
+    least = _least((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), length - q + 1)
     at = (least & _PLACE).astype(np.int64)
     ok = np.zeros(len(at) + 1, np.int32)  # windows inside one document
     full = sizes >= length
@@ -62,7 +68,7 @@ def sampled(ids: list[int], marks: list[int], texts: list[bytes], length: int):
     ends = np.flatnonzero(np.r_[(new | owner_start)[1:], True])
     last = ends[np.searchsorted(ends, first)]
     doc = np.searchsorted(starts, first, side="right") - 1
-    rec = np.empty(len(first), SUFFIX)
+    rec = np.empty(len(first), suffix_type(length))
     h = mix64(grams[at[first]])  # least hashes are small ones: unmixed, their upper bits fill few buckets
     rec["t"] = h & np.uint64(0xFFFFFFFF)
     rec["n"], rec["o"] = last - first + 1, at[first] - first
@@ -110,7 +116,7 @@ def _ranges(doc, mark, start, end, key=None, n=None) -> pa.RecordBatch:
 
 def _first_pass(docs: DataFrame, length: int) -> DataFrame:
     """Ranges that are known to repeat (key null), and suffixes whose bucket must be refined by their bytes (key)."""
-    nb = n_buckets(docs, _CHARS)
+    nb, suffix = n_buckets(docs, _CHARS), suffix_type(length)
 
     def deal(batches):
         for ids, marks, texts in chunks_of(batches, ("doc_id", "mark", "text"), "text", CHUNK):
@@ -137,7 +143,7 @@ def _first_pass(docs: DataFrame, length: int) -> DataFrame:
                     if b >= nb:
                         yield b, blob, True
                         continue
-                    full = size + len(blob) > HELD * SUFFIX.itemsize
+                    full = size + len(blob) > HELD * suffix.itemsize
                     if held and (b != now or full):
                         cut = cut or b == now
                         yield now, b"".join(held), not cut
@@ -153,7 +159,7 @@ def _first_pass(docs: DataFrame, length: int) -> DataFrame:
             if b >= nb:
                 yield _ranges(*np.frombuffer(blob, np.int64).reshape(-1, 4).T)
                 continue
-            rec = np.frombuffer(blob, SUFFIX)
+            rec = np.frombuffer(blob, suffix)
             if all_:
                 t = np.sort(rec["t"])
                 rec = rec[np.isin(rec["t"], np.unique(t[1:][t[1:] == t[:-1]]))]
@@ -363,7 +369,10 @@ def cut_repeats(docs: DataFrame, length: int = 100, digest=None, columns: str =
     Null and empty texts keep nothing and lose nothing, nor do texts shorter than `length` lose any. Rows without doc_id
     stay whole and are not compared; rows that repeat a doc_id with the same text do not count against each other,
     those with another text are documents of their own, in the order of the texts' hashes. Empty tables give empty results; extra columns are left behind.
+    `length` is any number of bytes from 1.
     """
+    if length < 1:
+        raise ValueError("length must be 1 or more")
     docs = marked(docs)
     names = [c.split(" ")[0] for c in columns.split(", ")]
 

@@ -48,6 +48,20 @@ def test_long_texts_are_cut_safely(oracle):
     assert bpe.codec(*PLACE).encode(text).tolist() == oracle.encode_ordinary(text)
 
 
+def test_long_texts_match_like_short_ones(monkeypatch):
+    """A pattern whose matches run over the border of white space, and one with a group."""
+    text = "".join(["a.....\n", "..\r\n\n", "word ", "  ", "1!\n"][k % 5] for k in range(400))
+    for pattern in (r"[^\s\p{L}\p{N}]+[\r\n]*|\p{L}+|\p{N}|\s+", r"(\p{L}+|[^\p{L}]+)"):
+        c = bpe.Codec({bytes([i]): i for i in range(256)}, pattern)
+        whole = c.split(text)
+        monkeypatch.setattr(bpe, "LONG", 10)
+        monkeypatch.setattr(bpe, "PART", 7)
+        parts = list(c.pieces(text))
+        monkeypatch.undo()
+        assert [x for part in parts for x in part] == whole and max(map(len, parts)) == 7
+        assert c.encode(text).tolist() == list(text.encode())
+
+
 def test_round_trip_of_all_rows(docs, corpus, empty, oracle):
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, *PLACE), *PLACE).collect()}
     for i, text in corpus:

@@ -159,6 +159,18 @@ def test_repeats_equal_brute_force(docs, corpus, empty, monkeypatch, split):
     assert substrings.cut_repeats(empty, 100).count() == 0
 
 
+@pytest.mark.parametrize("length", [1, 20, 300, 400])
+def test_repeats_of_other_lengths(spark, length):
+    rng = random.Random(length)
+    say = lambda n: "".join(rng.choices("abcdé", k=n))
+    long, short = say(900), say(40)
+    rows = [(0, say(50) + long + say(300)), (1, short + long[100:800] + short), (2, say(length)), (3, long[:length]), (4, long[: length - 1]), (5, "x" * 700)]
+    got = {r.doc_id: (bytes(r.kept), [(x.start, x.end) for x in r.spans]) for r in substrings.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()}
+    assert got == brute_repeats(rows, length)
+    with pytest.raises(ValueError):
+        substrings.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 0)
+
+
 def test_hot_bucket_is_split(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SPLIT", 3)
     monkeypatch.setattr(substrings, "HELD", 5)  # buckets are refined in several parts

@@ -56,3 +56,17 @@ def test_queries_say_what_their_contracts_say(spark):
             seen.add(w)
         want[i] = (len(data), sum(cover), hashlib.sha256(bytes(b for b, c in zip(data, cover) if not c)).hexdigest())
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in queries.op10_suffix_dedup(spark, sf).collect()} == want
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, sf):
+    """Operators keep tables while lazy results may read them; cleared() takes them all away."""
+    import os
+
+    from shopstead.llm import common, queries
+
+    for name in ("op2_line_dedup", "op6_ngram_jaccard_join", "op8_lm_scoring", "op10_suffix_dedup", "op11_spelling_variants", "op12_decontamination", "op13_prefix_trie"):
+        queries.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
+    folder = common.shared_dir(spark).removeprefix("file://")
+    assert os.listdir(folder)
+    common.cleared(spark)
+    assert not os.path.exists(folder)
