@@ -140,7 +140,14 @@ def unsafe_url(urls: pd.Series) -> pd.Series:
     return urls.map(unsafe_reason, na_action=None)
 
 
+def _joined(link, base) -> str | None:
+    try:
+        return urljoin(base, link.strip()) if isinstance(link, str) and isinstance(base, str) else None
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(StringType())
 def resolve(links: pd.Series, base: pd.Series) -> pd.Series:
-    """Relative links against their page."""
-    return pd.Series([urljoin(b, a.strip()) if isinstance(a, str) and isinstance(b, str) else None for a, b in zip(links, base)], dtype=object)
+    """Relative links against their page; NULL for what is no address."""
+    return pd.Series([_joined(a, b) for a, b in zip(links, base)], dtype=object)

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
 
 
+def folder(spark: SparkSession) -> None:
+    """Lets checkpoint() write to the folder that the driver and all executors share."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        spark.sparkContext.setCheckpointDir(place)
+
+
 def parse_robots(files: DataFrame) -> DataFrame:
     """(site, body) -> (site, line, group, field, value): directives with the group they belong to.
 
@@ -67,23 +75,69 @@ def well_known_sitemaps(sites: DataFrame) -> DataFrame:
     return sites.withColumn("sitemap", F.explode(F.array(*[F.concat("origin", F.lit(p)) for p in WELL_KNOWN])))
 
 
-def parse_sitemap(files: DataFrame, most: int = 5000) -> DataFrame:
-    """(site, base, xml) -> (site, n, url, lastmod, priority, is_index): entries of the same site, in order, tolerant of
-    broken XML."""
-    index = F.col("xml").rlike("(?i)<sitemapindex")
+#: Entries of one sitemap, sitemaps a site starts from, goes on to from an index, and visits; entries for a page
+#: that is to be read, after which no further sitemap is opened.
+MOST_ENTRIES, FIRST_SITEMAPS, NESTED, VISITED, PER_PAGE = 5000, 5, 10, 10, 3
+
+
+def parse_sitemap(files: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+    """(site, base, xml, and the file's url where there is one) -> (site, sitemap, n, url, lastmod, priority, is_index): the
+    first entries of each file that lie on the same site, normalised, in order; tolerant of broken XML. A file with both
+    kinds of entries is no index."""
+    index = F.col("xml").rlike(r"(?i)<sitemap\b") & ~F.col("xml").rlike(r"(?i)<url\b")
     blocks = F.when(index, F.regexp_extract_all("xml", F.lit(r"(?is)<sitemap\b[^>]*>(.*?)</sitemap>"), F.lit(1))).otherwise(F.regexp_extract_all("xml", F.lit(r"(?is)<url\b[^>]*>(.*?)</url>"), F.lit(1)))
-    rows = files.select("site", "base", index.alias("is_index"), F.posexplode(blocks).alias("n", "block"))
+    name = F.col("url") if "url" in files.columns else F.lit(None).cast("string")
+    rows = files.select("site", "base", name.alias("sitemap"), index.alias("is_index"), F.posexplode(F.slice(blocks, 1, most)).alias("n", "block"))
     tag = lambda t: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("block", rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1), r"(?s)<!\[CDATA\[|\]\]>", "")), F.lit(""))
     loc = F.replace(tag("loc"), F.lit("&amp;"), F.lit("&"))
-    found = rows.select("site", "base", "n", "is_index", loc.alias("url"), tag("lastmod").try_cast("timestamp").alias("lastmod"), tag("priority").try_cast("double").alias("priority"))
-    own = found.where(F.col("url").isNotNull() & urls.same_site(F.col("url"), F.col("base"))).drop("base")
-    order = Window.partitionBy("site").orderBy("n")
-    return own.withColumn("_k", F.row_number().over(order)).where(f"_k <= {most}").drop("_k")
+    near = F.when(loc.rlike("(?i)^https?://"), loc).otherwise(urls.resolve(loc, F.col("base")))
+    priority = tag("priority").try_cast("double")
+    found = rows.select("site", "base", "sitemap", "n", "is_index", urls.normalise(near).alias("url"), tag("lastmod").try_cast("timestamp").alias("lastmod"), F.when(priority.between(0, 1), priority).alias("priority"))
+    return found.where(F.col("url").isNotNull() & urls.same_site(F.col("url"), F.col("base"))).drop("base")
+
 
+def nested_sitemaps(starts: DataFrame, files: DataFrame, most_pages: int = 200) -> DataFrame:
+    """(site, url, sitemap, place, rank, lastmod, priority): the addresses that a site's sitemaps list, each where it is
+    listed first; place is the number of its sitemap in the order of visits, rank its place within it by prioritise().
 
-def prioritise(entries: DataFrame) -> DataFrame:
+    starts (site, origin, seq, url) name the first sitemaps of a site, of which five count; files (site, base, url, xml) are
+    what is stored. Indexes queue their first ten sitemaps behind those that wait. A site visits ten different
+    sitemaps, unsafe, foreign and missing ones included, so cycles end, and opens none once it has three times
+    most_pages addresses. A round visits all sitemaps of one depth; ten rounds are the most there can be. Between rounds
+    there are ten rows a site at most, written by checkpoint().
+    """
+    entries = parse_sitemap(files)
+    folder(files.sparkSession)
+    sizes = entries.groupBy("site", F.col("sitemap").alias("url")).agg(F.count("*").alias("n"), F.max("is_index").alias("is_index"))
+    nested = entries.where("is_index").withColumn("k", F.row_number().over(Window.partitionBy("site", "sitemap").orderBy("n"))).where(F.col("k") <= NESTED).select("site", "sitemap", F.col("url").alias("child"), "k")
+    queue = starts.withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy("seq"))).where(F.col("k") <= FIRST_SITEMAPS).select("site", "origin", "url", F.lit(0).alias("parent"), "k")
+    rounds: list[DataFrame] = []
+    while True:
+        once = queue.groupBy("site", "origin", "url").agg(F.min(F.struct("parent", "k")).alias("at"))
+        held = F.lit(0)
+        if rounds:
+            seen = reduce(DataFrame.unionByName, rounds)
+            counts = seen.groupBy("site").agg(F.count("*").alias("held"))
+            once, held = once.join(seen.select("site", "url"), ["site", "url"], "left_anti").join(counts, "site"), F.col("held")
+        place = held + F.row_number().over(Window.partitionBy("site").orderBy("at"))
+        now = once.withColumn("place", place).where(F.col("place") <= VISITED).join(sizes, ["site", "url"], "left")
+        good = urls.unsafe_url("url").isNull() & urls.same_site(F.col("url"), F.col("origin"))
+        now = now.withColumn("good", good).select("site", "origin", "url", "place", F.when(F.col("good") & ~F.col("is_index"), F.col("n")).otherwise(0).alias("n"), (F.col("good") & F.coalesce("is_index", F.lit(False))).alias("opens")).checkpoint()
+        if now.isEmpty():
+            break
+        rounds.append(now)
+        queue = now.where("opens").select("site", "origin", F.col("url").alias("sitemap"), F.col("place").alias("parent")).join(nested, ["site", "sitemap"]).select("site", "origin", F.col("child").alias("url"), "parent", "k")
+    if not rounds:
+        return entries.limit(0).select("site", "url", "sitemap", F.lit(0).alias("place"), F.lit(0).alias("rank"), "lastmod", "priority")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("site").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    opened = reduce(DataFrame.unionByName, rounds).withColumn("before", before).where((F.col("before") < PER_PAGE * most_pages) & (F.col("n") > 0)).select("site", F.col("url").alias("sitemap"), "place")
+    listed = prioritise(entries.where("not is_index").join(opened, ["site", "sitemap"]), ["site", "sitemap"])
+    return listed.groupBy("site", "url").agg(F.min(F.struct("place", "rank", "sitemap", "lastmod", "priority")).alias("first")).select("site", "url", "first.*")
+
+
+def prioritise(entries: DataFrame, by=("site",)) -> DataFrame:
     """rank of each entry on its site: path class, newest first, priority, then order of appearance."""
-    order = Window.partitionBy("site").orderBy(urls.sitemap_class(F.col("url")), F.coalesce(F.unix_seconds("lastmod"), F.lit(0)).desc(), F.coalesce("priority", F.lit(0.0)).desc(), "n")
+    order = Window.partitionBy(*by).orderBy(urls.sitemap_class(F.col("url")), F.coalesce(F.unix_seconds("lastmod"), F.lit(0)).desc(), F.coalesce("priority", F.lit(0.0)).desc(), "n")
     return entries.withColumn("rank", F.row_number().over(order))
 
 
@@ -97,25 +151,24 @@ def crawl(pages: DataFrame, starts: DataFrame, most_pages: int, most_bytes: int
     """Breadth-first crawl of stored pages (url, links, status) from starts (site, url), `most_pages` a site.
 
     Pages may also have final_url (where a redirect led), canonical and bytes. A page that was led to, or declares itself
-    a view of, an address its site has seen is a duplicate: it is read but not taken. A site stops after most_pages pages
+    a view of, an address its site has seen is a duplicate: it is read but not taken. What was seen and taken is kept a
+    table a round, each written once, so a round writes its own addresses only. A site stops after most_pages pages
     or once most_bytes are read, and gets to see six times most_pages addresses at most. Each round joins the frontier to
     the pages and leaves out what was seen; rounds run until no site has anything new to read. Within a round pages are
     taken in frontier order. Returns (site, url, round, n). Rounds are cut by checkpoint(), so the session needs a
     checkpoint folder, which the driver and all executors share.
     """
-    folder = pages.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        pages.sparkSession.sparkContext.setCheckpointDir(folder)
+    folder(pages.sparkSession)
     given = lambda c, other: F.coalesce(c, other) if c in pages.columns else other
     stored = pages.where("status = 200").select("url", "links", given("final_url", F.col("url")).alias("final_url"), given("canonical", F.lit(None).cast("string")).alias("canonical"), given("bytes", F.lit(0)).cast("long").alias("bytes"))
     own = F.when(urls.same_site(F.col("canonical"), F.col("final_url")), urls.normalise(F.col("canonical")))
     stored = stored.withColumn("same", F.coalesce(own, "final_url")).drop("canonical")
     todo = starts.select("site", "url").distinct().withColumn("seq", F.lit(0).cast("long")).checkpoint()
-    seen, fetched, spent = todo.select("site", "url"), None, None
+    met, taken, spent = [todo.select("site", "url")], [], None
     for step in itertools.count():
-        hits = todo.join(stored, "url")
+        hits, seen = todo.join(stored, "url"), reduce(DataFrame.unionByName, met)
         for name in ("final_url", "same"):
-            known = seen.select("site", F.col("url").alias(name), F.lit(True).alias(f"{name}_seen"))
+            known = hits.select("site", name).distinct().join(seen.withColumnRenamed("url", name), ["site", name], "left_semi").withColumn(f"{name}_seen", F.lit(True))
             hits = hits.join(known, ["site", name], "left")
         if spent is not None:
             hits = hits.join(spent, "site", "left")
@@ -133,19 +186,19 @@ def crawl(pages: DataFrame, starts: DataFrame, most_pages: int, most_bytes: int
         room = before < most_pages if most_bytes is None else (before < most_pages) & (F.col("read") - F.col("bytes") < most_bytes)
         read = ranked.where(room).select("site", "url", F.lit(step).alias("round"), "n", "links", "final_url", "same", "bytes", "twin").checkpoint()
         got = read.where("not twin")
-        rows = got.select("site", "url", "round", "n")
-        fetched = rows if fetched is None else fetched.unionByName(rows).checkpoint()
+        taken.append(got.select("site", "url", "round", "n"))
         now = read.groupBy("site").agg(F.count_if(~F.col("twin")).alias("have"), F.sum("bytes").alias("used"))
         spent = (now if spent is None else spent.unionByName(now)).groupBy("site").agg(F.sum("have").alias("have"), F.sum("used").alias("used")).checkpoint()
-        seen = seen.unionByName(got.select("site", F.explode(F.array("final_url", "same")).alias("url"))).distinct().checkpoint()
+        arrived = got.select("site", F.explode(F.array("final_url", "same")).alias("url")).distinct().join(seen, ["site", "url"], "left_anti").checkpoint()
+        met.append(arrived)
+        seen = seen.unionByName(arrived)
         nxt = got.select("site", "n", F.posexplode("links").alias("i", "url")).groupBy("site", "url").agg(F.min(F.struct("n", "i")).alias("at"))
         new = nxt.join(seen, ["site", "url"], "left_anti").withColumn("seq", F.row_number().over(Window.partitionBy("site").orderBy("at")).cast("long"))
         new = new.join(seen.groupBy("site").agg(F.count("*").alias("held")), "site", "left").where(F.col("seq") + F.col("held") <= 6 * most_pages)
         todo = new.select("site", "url", (F.lit(step + 1).cast("long") * (6 * most_pages + 1) + F.col("seq")).alias("seq")).checkpoint()
         if todo.isEmpty():
-            break
-        seen = seen.unionByName(todo.select("site", "url"))
-    return fetched
+            return reduce(DataFrame.unionByName, taken)
+        met.append(todo.select("site", "url"))
 
 
 def fetch_warning(status: Column, content_type: Column, robots_ok: Column, unsafe: Column) -> Column:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extract
-from ..sources.projections import as_sql, project
+from ..operators import crawl, extract, redirects
+from ..sources.projections import _split, as_sql, project
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,117 @@ def page_products(spark, sf_dir):
     shown = F.array_join(F.transform("images", lambda i: F.concat_ws("|", i["url"], none(i["alt"]), none(i["width"]), none(i["height"]))), ",")
     got = extract.products(extract.extract(shop_pages(spark, sf_dir)))
     return got.select("page_id", F.col("owner").cast("int").alias("owner"), "name", "description", "sku", "brand", "price_cents", "price_method", "compare_price_cents", "currency", "availability", "anchor", shown.alias("images"))
+
+
+#: Stored responses made from events, most of them redirects: chains, cycles, an address that many lead to, addresses that
+#: must not be fetched, and some that are not stored.
+_RESPONSES = """SELECT id, concat('https://r', id % 5, '.example/', id) AS url, CASE WHEN id % 4 = 0 THEN 200 WHEN id % 29 = 1 THEN 404 WHEN id % 2 = 0 THEN 301 ELSE 302 END AS status,
+  CASE WHEN id % 37 = 9 THEN NULL WHEN id % 41 = 10 THEN 'http://10.0.0.1/x' WHEN id % 43 = 11 THEN 'ftp://r0.example/1' WHEN id % 47 = 12 THEN '/nowhere' WHEN t % 5 = id % 5 THEN concat('/', t) ELSE concat('https://r', t % 5, '.example/', t, '#top') END AS location
+  FROM (SELECT event_id AS id, CASE WHEN event_id % 7 = 3 THEN event_id + 1 WHEN event_id % 11 = 6 THEN event_id - 1 WHEN event_id % 5 = 1 THEN 2 ELSE CAST(floor(event_id / 3) AS BIGINT) END AS t FROM events)"""
+
+
+@query(f"""WITH RECURSIVE r AS ({_RESPONSES}),
+  n AS (SELECT id, url, status, location, CASE WHEN location LIKE '/%' THEN regexp_extract(url, '^(https://[^/]*)', 1) || location ELSE regexp_replace(location, '#.*', '') END AS target FROM r),
+  s AS (SELECT url, target, CASE WHEN status < 300 OR status > 399 THEN 'http-' || status WHEN location IS NULL THEN 'no-location' WHEN NOT regexp_matches(target, '^https?://') OR regexp_matches(target, '^http://10\\.') THEN 'unsafe-url' END AS outcome FROM n),
+  walk AS (SELECT id, url AS now, 0 AS hops, []::VARCHAR[] AS chain, NULL::VARCHAR AS outcome FROM r
+    UNION ALL SELECT w.id, CASE WHEN s.url IS NULL OR s.outcome IS NOT NULL OR hops = 5 THEN w.now ELSE s.target END, CASE WHEN s.url IS NULL OR s.outcome IS NOT NULL OR hops = 5 THEN hops ELSE hops + 1 END,
+      CASE WHEN s.url IS NULL OR s.outcome IS NOT NULL OR hops = 5 THEN chain ELSE list_append(chain, s.target) END, CASE WHEN s.url IS NULL THEN 'not-stored' WHEN s.outcome IS NOT NULL THEN s.outcome WHEN hops = 5 THEN 'too-many-redirects' END
+    FROM walk w LEFT JOIN s ON s.url = w.now WHERE w.outcome IS NULL)
+  SELECT id, now AS final_url, hops, array_to_string(chain, ' ') AS chain, outcome FROM walk WHERE outcome IS NOT NULL""")
+def redirect_chains(spark, sf_dir):
+    t = F.expr("CASE WHEN event_id % 7 = 3 THEN event_id + 1 WHEN event_id % 11 = 6 THEN event_id - 1 WHEN event_id % 5 = 1 THEN 2 ELSE CAST(floor(event_id / 3) AS BIGINT) END")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), t.alias("t"))
+    url, status, location = (x.rpartition(" AS ")[0] for x in _split(_RESPONSES[len("SELECT id, ") : _RESPONSES.index("\n  FROM")]))
+    stored = rows.selectExpr("id", f"{url} AS url", f"{status} AS status", f"{location} AS location")
+    got = redirects.follow(stored.select("id", "url"), stored.drop("id"))
+    return got.select("id", "final_url", "hops", F.array_join("chain", " ").alias("chain"), "outcome")
+
+
+#: Sitemaps of fifty sites made from parts: an index with a foreign file, a repeated one, a relative one, a cycle, an index
+#: of twelve, a broken file, and one that lists what another lists already.
+_SITE = "concat('https://m', p_size, '.example')"
+_SITE_FILES = f"""SELECT p_size AS site, kind, {_SITE} AS base, p_partkey AS id,
+  concat('<url><loc> ', {_SITE}, CASE p_partkey % 4 WHEN 0 THEN '/products/' WHEN 1 THEN '/blog/' WHEN 2 THEN '/shop/' ELSE '/x/' END, p_partkey % 60, '</loc>', CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('<lastmod>2024-01-', 10 + p_partkey % 19, '</lastmod>') END, '<priority>', CASE p_partkey % 3 WHEN 0 THEN '0.5' WHEN 1 THEN '7' ELSE '0.25' END, '</priority></url>') AS entry
+  FROM part, (SELECT unnest([0, 1, 4, 5]) AS kind)"""
+
+
+def _index(*names: str) -> str:
+    """A sitemap index of the named files of a site, as an expression."""
+    return "concat('<sitemapindex>', " + ", ".join(f"concat('<sitemap><loc>', {n}, '</loc></sitemap>')" for n in names) + ", '</sitemapindex>')"
+
+
+_OWN = [f"concat(base, '/s{k}.xml')" for k in range(7)]
+_INDEXES = {
+    "concat(base, '/sitemap.xml')": _index(_OWN[0], _OWN[1], "'https://other.example/x.xml'", _OWN[2], _OWN[0], _OWN[3], "'/s4.xml'", "'http://127.0.0.1/s.xml'"),
+    _OWN[2]: _index("concat(base, '/sitemap.xml')", _OWN[5], _OWN[6]), _OWN[3]: "'<urlset><url><loc>'",
+    _OWN[4]: f"CASE WHEN site % 2 = 1 THEN {_index(*[f'''concat(base, '/c{k}.xml')''' for k in range(12)], _OWN[5])} END",
+}
+_LISTS = "CASE kind WHEN 0 THEN id % 3 = 0 WHEN 1 THEN id % 3 = 1 WHEN 4 THEN site % 2 = 0 AND id % 3 = 2 ELSE id % 2 = 0 END"
+
+
+@query(f"""WITH RECURSIVE e AS ({_SITE_FILES}), f AS (SELECT site, base || '/s' || kind || '.xml' AS url, '<urlset>' || string_agg(entry, '' ORDER BY id) || '</urlset>' AS xml FROM e WHERE {_LISTS} GROUP BY ALL
+    UNION ALL SELECT site, u, x FROM (SELECT DISTINCT site, base FROM e), LATERAL (VALUES {", ".join(f"({u}, {x})" for u, x in _INDEXES.items())}) t(u, x) WHERE x IS NOT NULL),
+  nest AS (SELECT site, url, i, l[i] AS child FROM (SELECT site, url, regexp_extract_all(xml, '<loc>([^<]+)</loc></sitemap>', 1) AS l FROM f), unnest(range(1, len(l) + 1)) t(i)),
+  abs AS (SELECT site, url, CASE WHEN child LIKE '/%' THEN 'https://m' || site || '.example' || child ELSE child END AS child, i FROM nest),
+  kept AS (SELECT site, url, child, row_number() OVER (PARTITION BY site, url ORDER BY i) AS i FROM abs WHERE child LIKE 'https://m' || site || '.example/%'),
+  walk AS (SELECT DISTINCT site, 'https://m' || site || '.example/sitemap.xml' AS url, [0] AS path FROM f
+    UNION ALL SELECT w.site, k.child, list_append(w.path, k.i) FROM walk w JOIN kept k ON k.site = w.site AND k.url = w.url WHERE k.i <= 10 AND len(w.path) < 6),
+  visit AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY len(path), path) AS place FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY len(path), path) = 1)),
+  item AS (SELECT site, url AS sitemap, i, regexp_extract(l[i], '<loc>\\s*([^<]*)</loc>', 1) AS url, TRY_CAST(regexp_extract(l[i], '<lastmod>([^<]*)<', 1) AS TIMESTAMP) AS lastmod, TRY_CAST(regexp_extract(l[i], '<priority>([^<]*)<', 1) AS DOUBLE) AS p
+    FROM (SELECT site, url, regexp_extract_all(xml, '<url>.*?</url>') AS l FROM f), unnest(range(1, len(l) + 1)) t(i)),
+  size AS (SELECT v.*, coalesce(n, 0) AS n FROM visit v LEFT JOIN (SELECT site, sitemap AS url, count(*) AS n FROM item GROUP BY ALL) USING (site, url) WHERE place <= 10),
+  open AS (SELECT site, url AS sitemap, place FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY site ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM size) WHERE b < 45),
+  ranked AS (SELECT item.*, place, row_number() OVER (PARTITION BY item.site, item.sitemap ORDER BY CASE WHEN item.url LIKE '%/products/%' THEN 0 WHEN item.url LIKE '%/shop/%' THEN 1 WHEN item.url LIKE '%/blog/%' THEN 4 ELSE 3 END,
+      coalesce(epoch(lastmod), 0) DESC, CASE WHEN p <= 1 THEN p ELSE 0 END DESC, i) AS rank FROM item JOIN open USING (site, sitemap))
+  SELECT site, url, sitemap, place, rank FROM ranked QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY place, rank) = 1""")
+def sitemap_walk(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    columns = [c.replace("site_files", "") for c in _split(_SITE_FILES[len("SELECT ") : _SITE_FILES.index("\n  FROM")])]
+    entries = part.withColumn("kind", F.explode(F.array(*map(F.lit, (0, 1, 4, 5))))).selectExpr(*columns).where(_LISTS)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "entry"))), lambda x: x["entry"]), "")
+    sets = entries.groupBy("site", "base", "kind").agg(text.alias("xml")).selectExpr("site", "base", "concat(base, '/s', kind, '.xml') AS url", "concat('<urlset>', xml, '</urlset>') AS xml")
+    sites = part.selectExpr("p_size AS site", f"{_SITE} AS base").distinct()
+    others = sites.select("site", "base", F.explode(F.array(*[F.struct(F.expr(u).alias("url"), F.expr(x).alias("xml")) for u, x in _INDEXES.items()])).alias("f")).select("site", "base", "f.*").where("xml is not null")
+    starts = sites.selectExpr("site", "base AS origin", "0 AS seq", "concat(base, '/sitemap.xml') AS url")
+    got = crawl.nested_sitemaps(starts, sets.unionByName(others), most_pages=15)
+    return got.select("site", "url", "sitemap", F.col("place").cast("long").alias("place"), F.col("rank").cast("long").alias("rank"))
+
+
+#: Stored pages of twenty sites made from customers: trees with links back and across, missing pages, views of other pages.
+_PATH = "CASE WHEN {k} = 0 THEN '/' WHEN {k} % 5 = 0 THEN concat('/products/', {k}) WHEN {k} % 5 = 1 THEN concat('/blog/', {k}) WHEN {k} % 5 = 2 THEN concat('/about/', {k}) WHEN {k} % 5 = 3 THEN concat('/x/', {k}) ELSE concat('/shop/', {k}) END"
+_WEB = "concat('https://w', c_custkey % 20, '.example', {path})"
+_K = "CAST(floor(c_custkey / 20) AS INT)"
+_LINKED = [f"({_K} * 2 + 1)", f"({_K} * 2 + 2)", f"CAST(floor({_K} / 2) AS INT)", f"({_K} * 7 % 30)", f"({_K} * 5 % 40)"]
+_SITE_PAGES = {
+    "site": "c_custkey % 20", "url": _WEB.format(path=_PATH.format(k=_K)), "status": f"CASE WHEN {_K} % 13 = 6 THEN 404 ELSE 200 END", "bytes": f"CAST(100 + {_K} AS BIGINT)",
+    "canonical": f"CASE WHEN {_K} % 11 = 5 THEN {_WEB.format(path=_PATH.format(k=f'({_K} - 1)'))} WHEN {_K} % 11 = 7 THEN 'https://else.example/' END",
+}
+_MOST, _BYTES, _ROUNDS = 12, 1400, 9
+
+
+def _round_sql(k: int) -> str:
+    """The tables of one round of the crawl: what is read, what has been seen by then, and what comes next."""
+    rank = "CASE WHEN regexp_matches(url, 'example/$') THEN 0 WHEN url LIKE '%/products/%' THEN 1 WHEN url LIKE '%/shop/%' THEN 2 WHEN url LIKE '%/about/%' THEN 3 WHEN url LIKE '%/blog/%' THEN 6 ELSE 4 END, seq, url"
+    have = "0" if k == 0 else "coalesce(have, 0)"
+    spent = "" if k == 0 else f" LEFT JOIN (SELECT site, count(*) FILTER (WHERE NOT twin) AS have, sum(bytes) AS used FROM ({' UNION ALL '.join(f'SELECT site, twin, bytes FROM read{j}' for j in range(k))}) GROUP BY site) USING (site)"
+    return f"""h{k} AS (SELECT p.*, seq, (p.same <> p.url AND EXISTS (SELECT 1 FROM seen{k} s WHERE s.site = p.site AND s.url = p.same)) OR row_number() OVER (PARTITION BY p.site, p.same ORDER BY {rank.replace("url", "p.url")}) > 1 AS twin FROM todo{k} t JOIN p ON p.site = t.site AND p.url = t.url),
+  n{k} AS (SELECT h{k}.*, {have} + count(*) FILTER (WHERE NOT twin) OVER w AS n, {"0" if k == 0 else "coalesce(used, 0)"} + sum(bytes) OVER w AS total FROM h{k}{spent} WINDOW w AS (PARTITION BY site ORDER BY {rank} ROWS UNBOUNDED PRECEDING)),
+  read{k} AS (SELECT * FROM n{k} WHERE n - CASE WHEN twin THEN 0 ELSE 1 END < {_MOST} AND total - bytes < {_BYTES}),
+  after{k} AS (SELECT * FROM seen{k} UNION SELECT site, same FROM read{k} WHERE NOT twin),
+  next{k} AS (SELECT site, url, min(row(n, i)) AS met FROM (SELECT site, n, unnest(links) AS url, generate_subscripts(links, 1) AS i FROM read{k} WHERE NOT twin) GROUP BY ALL),
+  todo{k + 1} AS (SELECT site, url, q AS seq FROM (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY met) AS q FROM next{k} x WHERE NOT EXISTS (SELECT 1 FROM after{k} s WHERE s.site = x.site AND s.url = x.url)) JOIN (SELECT site, count(*) AS held FROM after{k} GROUP BY site) USING (site) WHERE q + held <= {6 * _MOST}),
+  seen{k + 1} AS (SELECT * FROM after{k} UNION SELECT site, url FROM todo{k + 1})"""
+
+
+_LINKS = ", ".join(_WEB.format(path=_PATH.format(k=x)) for x in _LINKED)
+
+
+@query(f"""WITH p AS (SELECT *, CASE WHEN canonical LIKE '%else%' THEN url ELSE coalesce(canonical, url) END AS same FROM (SELECT {", ".join(f"{e} AS {n}" for n, e in _SITE_PAGES.items())}, [{_LINKS}] AS links FROM customer) WHERE status = 200),
+  todo0 AS (SELECT DISTINCT c_custkey % 20 AS site, 'https://w' || c_custkey % 20 || '.example/' AS url, 0 AS seq FROM customer), seen0 AS (SELECT site, url FROM todo0),
+  {", ".join(map(_round_sql, range(_ROUNDS)))}
+  {" UNION ALL ".join(f"SELECT site, url, {k} AS round, n::BIGINT AS n FROM read{k} WHERE NOT twin" for k in range(_ROUNDS))}""")
+def crawl_order(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    pages = rows.selectExpr(*[f"{e} AS {n}" for n, e in _SITE_PAGES.items() if n != "site"], f"array({_LINKS}) AS links")
+    starts = rows.selectExpr("c_custkey % 20 AS site", "concat('https://w', c_custkey % 20, '.example/') AS url").distinct()
+    return crawl.crawl(pages, starts, _MOST, _BYTES)
