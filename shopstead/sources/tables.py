@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,17 @@ def read_table(spark: SparkSession, root: str, name: str, schema=None) -> DataFr
     return reader.parquet(f"{root}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place for intermediate tables in the folder that the driver and all executors share (spark.checkpoint.dir); in a
+    temporary folder only where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='shopstead-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def for_tenant(df: DataFrame, tenant, column: str = "business_id") -> DataFrame:
     """The rows of one tenant; prunes partitions on tables written by append_table."""
     return df.where(F.col(column) == F.lit(tenant))
