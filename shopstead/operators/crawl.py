@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources import tables
 
 
 def folder(spark: SparkSession) -> None:
-    """Lets checkpoint() write to the folder that the driver and all executors share."""
+    """Lets checkpoint() write to the folder that the driver and all executors share; to one of our own only where the session
+    names none and the master is local."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place:
         spark.sparkContext.setCheckpointDir(place)
+    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tables.scratch(spark, "checkpoints"))
 
 
 def parse_robots(files: DataFrame) -> DataFrame:

@@ -70,6 +70,78 @@ def json_schema(kind: str) -> dict:
     return {"type": "object", "additionalProperties": False, "properties": {n.rstrip("?"): of(r) for n, r in fields.items()}, "required": [n for n in fields if not n.endswith("?")]}
 
 
+#: Whole answers as providers give them. Flag is a truth value that is false where it is missing; Rows(least,
+#: most, fields) are records. A field that may be missing has a default only where DEFAULTS names one; lists are empty.
+Flag, Rows = "flag", "rows"
+_HYPOTHESIS = {"statement": (Text, 300), "reasoning": (Text, 1000), "uncertainty?": ("low", "medium", "high"), "kind?": ("AUDIENCE_HYPOTHESIS", "MOTIVATION", "OBJECTION", "USE_CASE", "SEASONAL_OPPORTUNITY")}
+DEFAULTS = {"uncertainty": "high", "kind": "AUDIENCE_HYPOTHESIS"}
+WHOLE = {
+    "business.analyse": {"simulated?": (Flag,), "valueProposition": (Text, 1000), "brandVoice": (Text, 300), "restrictions?": (Texts, 10, 300), "audienceHypotheses": (Rows, 1, 8, _HYPOTHESIS)},
+    "strategy.generate": {
+        "simulated?": (Flag,),
+        "strategies": (Rows, 1, 6, {"angle": ANSWERS["strategy"]["angle"], "hypothesis": (Text, 1000), "hook": (Text, 300), "suggestedCta": (Text, 40), "assumptions?": (Texts, 10, 300), "testingVariables?": (Texts, 10, 300)}),
+    },
+    "copy.generate": {"simulated?": (Flag,), "variants": (Rows, 1, 5, {"primaryText": (Text, 500), "headline": (Text, 60), "description": (Text, 120), "cta": (Text, 40)})},
+    "product.describe": {
+        "simulated?": (Flag,), "seen?": (Flag,), "looksLike": (Text, 1000), "colours?": (Texts, 10, 300), "form": (Text, 300), "packaging?": (Text, 300), "printedText?": (Texts, 10, 300), "scale?": (Text, 300),
+        "doNotShow?": (Texts, 10, 300), "imagePrompt": (Text, 1200),
+    },
+}
+
+
+def answer_ddl(task: str) -> str:
+    """The type of a task's answer."""
+
+    def of(fields):
+        kinds = {Text: "string", Texts: "array<string>", Flag: "boolean"}
+        return ",".join(f"{n.rstrip('?')}:{f'array<struct<{of(r[3])}>>' if r[0] == Rows else kinds.get(r[0], 'string')}" for n, r in fields.items())
+
+    return f"struct<{of(WHOLE[task])}>"
+
+
+def answer_issues(value: Column, task: str) -> Column:
+    """Paths of what is wrong with a parsed answer, in the order of its fields: the field, or rows.field of any row."""
+
+    def wrong_in(name, rule):
+        return lambda row: _wrong(row[name.rstrip("?")], rule, name.endswith("?"))
+
+    def of(v, fields, before):
+        found = []
+        for name, rule in fields.items():
+            field, optional = name.rstrip("?"), name.endswith("?")
+            path = F.lit(f"{before}{field}")
+            if rule[0] == Rows:
+                rows = v[field]
+                found.append(F.when(F.coalesce(~F.size(rows).between(rule[1], rule[2]), F.lit(True)), path))
+                found += [F.when(F.exists(rows, wrong_in(n, r)), F.lit(f"{field}.{n.rstrip('?')}")) for n, r in rule[3].items()]
+            elif rule[0] != Flag:
+                found.append(F.when(_wrong(v[field], rule, optional), path))
+        return found
+
+    listed = F.filter(F.array(*of(value, WHOLE[task], "")), lambda x: x.isNotNull())
+    return F.when(value.isNull(), F.array(F.lit("root"))).otherwise(listed)
+
+
+def answer_value(value: Column, task: str) -> Column:
+    """A parsed answer with texts trimmed and defaults put in."""
+
+    def one(v, name, rule):
+        field = name.rstrip("?")
+        if rule[0] == Flag:
+            out = F.coalesce(v[field], F.lit(False))
+        elif rule[0] == Text:
+            out = F.trim(v[field])
+        elif rule[0] == Texts:
+            out = F.coalesce(F.transform(v[field], F.trim), F.array().cast("array<string>"))
+        elif rule[0] == Rows:
+            out = F.transform(v[field], lambda x: F.struct(*[one(x, n, r) for n, r in rule[3].items()]))
+        else:
+            out = F.coalesce(v[field], F.lit(DEFAULTS[field])) if name.endswith("?") else v[field]
+        return out.alias(field)
+
+    return F.struct(*[one(value, n, r) for n, r in WHOLE[task].items()])
+
+
 PAYLOAD = "scanRunId string, businessId string, requestedUrl string, isRescan boolean, ownerRequested boolean"
 
 
