@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 from shopstead.plans import accounts, catalogue, commerce, site, writing
+from shopstead.plans import rows as smaller
 
-QUERIES, SQL = ({k: v for m in (commerce, catalogue, accounts, site, writing) for k, v in getattr(m, kind).items()} for kind in ("QUERIES", "SQL"))
+QUERIES, SQL = ({k: v for m in (commerce, catalogue, accounts, site, writing, smaller) for k, v in getattr(m, kind).items()} for kind in ("QUERIES", "SQL"))
 
 
 @pytest.fixture(scope="module")
