@@ -400,3 +400,18 @@ def stream_activity_dedup(spark, sf_dir):
     name = _name()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return streaming.drain(streaming.suppress_duplicates(_stream(spark, sf_dir), "key", 6 * 3600), name, tables.scratch(spark, name))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS us, event_type = 'purchase' AS finished, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  s AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS flight, NULL::BIGINT AS began, NULL::BIGINT AS lapsed, NULL::BIGINT AS taken FROM (SELECT DISTINCT key FROM e)
+    UNION ALL SELECT key, e.n, CASE WHEN finished THEN NULL WHEN began IS NULL OR us - began >= 86400000000 THEN id ELSE flight END, CASE WHEN finished THEN NULL WHEN began IS NULL OR us - began >= 86400000000 THEN us ELSE began END,
+      CASE WHEN us - began >= 86400000000 THEN flight END, CASE WHEN NOT finished AND (began IS NULL OR us - began >= 86400000000) THEN id END FROM s JOIN e USING (key) WHERE e.n = s.n + 1),
+  last AS (SELECT key, flight AS id FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1 AND began + 86400000000 < (SELECT max(us) FROM e) - 3600000000)
+  SELECT taken AS id, e.key, us AS at_us, 'accepted' AS verdict FROM s JOIN e ON e.id = s.taken UNION ALL SELECT e.id, e.key, us + 86400000000, 'lapsed' FROM (SELECT lapsed AS id FROM s UNION ALL SELECT id FROM last) x JOIN e ON e.id = x.id""")
+def stream_single_flight(spark, sf_dir):
+    name = _name()
+    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
+    asked = source.selectExpr("event_id AS id", "CAST(user_id AS STRING) AS key", "ts", "event_type = 'purchase' AS finished")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    got = streaming.drain(streaming.single_flight(asked, 86_400), name, tables.scratch(spark, name))
+    return got.select("id", "key", F.unix_micros("at").alias("at_us"), "verdict")

@@ -96,6 +96,65 @@ def suppress_duplicates(events: DataFrame, key: str, seconds: int) -> DataFrame:
     return events.groupBy(key).transformWithStateInPandas(_Suppressor(seconds), outputStructType=events.schema, outputMode="Append", timeMode="None")
 
 
+class _Flight(StatefulProcessor):
+    """Keeps the request in flight of each key and when its lease ends; a timer at that time clears both."""
+
+    def __init__(self, seconds: int):
+        self.lease = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.flight = handle, handle.getValueState("flight", "id long, micros long")
+
+    def _lapsed(self, key, flight) -> tuple:
+        return flight[0], key[0], pd.Timestamp(flight[1] + self.lease, unit="us", tz="UTC"), "lapsed"
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = now = tuple(self.flight.get()) if self.flight.exists() else None
+        for part in _in_time_order(rows):
+            told = []
+            for i, at, finished in zip(part["id"], part["ts"].dt.tz_localize(None).astype("datetime64[us]").astype("int64"), part["finished"]):
+                if now is not None and at >= now[1] + self.lease:
+                    told.append(self._lapsed(key, now))
+                    now = None
+                if finished:
+                    now = None
+                elif now is None:
+                    now = (int(i), int(at))
+                    told.append((now[0], key[0], pd.Timestamp(now[1], unit="us", tz="UTC"), "accepted"))
+            if told:
+                yield pd.DataFrame(told, columns=["id", "key", "at", "verdict"])
+        if now == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer((before[1] + self.lease) // 1000)
+        if now is None:
+            self.flight.clear()
+        else:
+            self.flight.update(now)
+            self.handle.registerTimer((now[1] + self.lease) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.flight.exists():
+            flight = tuple(self.flight.get())
+            self.flight.clear()
+            yield pd.DataFrame([self._lapsed(key, flight)], columns=["id", "key", "at", "verdict"])
+
+    def close(self) -> None:
+        pass
+
+
+def single_flight(events: DataFrame, lease: int, late: str = "1 hour") -> DataFrame:
+    """(id, key, at, verdict): which requests of a stream (id, key, ts, finished) are taken up, and which lapse.
+
+    A request of a key is accepted unless one is in flight already, which it then joins. An event with `finished` ends
+    the key's flight; so does its lease, `lease` seconds after it began, which is told as lapsed. Events of one batch
+    count in time order. Rows older than the watermark are left out before they get here. State is one request a key,
+    and an event-time timer clears it, so keys that fall silent leave nothing behind. Needs the RocksDB state store.
+    """
+    timed = events.select("id", "key", F.col("ts").cast("timestamp").alias("ts"), "finished").withWatermark("ts", late)
+    return timed.groupBy("key").transformWithStateInPandas(_Flight(lease), outputStructType="id long, key string, at timestamp, verdict string", outputMode="Append", timeMode="EventTime")
+
+
 def drain(df: DataFrame, name: str, checkpoint: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Runs a stream over all input there is (in one or several batches) and returns the result as a table, which lies
     beside the checkpoint. With the keys of an aggregation, windows that the watermark has not closed yet are in it, too:
@@ -116,4 +175,4 @@ def drain(df: DataFrame, name: str, checkpoint: str, keys: tuple[str, ...] = ())
     return last.select("last.*")
 
 
-__all__ = ["drain", "rate_windows", "suppress_duplicates"]
+__all__ = ["drain", "rate_windows", "single_flight", "suppress_duplicates"]
