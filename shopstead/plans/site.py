@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import crawl, extract, redirects
+from ..operators import crawl, extract, ld, redirects
 from ..sources.projections import _split, as_sql, project
 
 QUERIES: dict = {}
@@ -206,3 +206,22 @@ def crawl_order(spark, sf_dir):
     pages = rows.selectExpr(*[f"{e} AS {n}" for n, e in _SITE_PAGES.items() if n != "site"], f"array({_LINKS}) AS links")
     starts = rows.selectExpr("c_custkey % 20 AS site", "concat('https://w', c_custkey % 20, '.example/') AS url").distinct()
     return crawl.crawl(pages, starts, _MOST, _BYTES)
+
+
+#: JSON-LD made from parts: graphs, arrays, records at several depths, one that is too deep, and scripts that do not parse.
+_LD = """concat('{"@type":', CASE WHEN p_partkey % 3 = 0 THEN '["Thing","PRODUCT"]' ELSE '"ProductGroup"' END, ',"name":', CASE WHEN p_partkey % 2 = 0 THEN concat('{"@value":" ', p_name, ' "}') ELSE concat('"', p_name, '"') END, CASE p_partkey % 4 WHEN 0 THEN concat(',"brand":["",{"name":"', p_brand, '"}]') WHEN 1 THEN concat(',"brand":{"name":"', p_brand, '"}') WHEN 2 THEN ',"brand":true' ELSE '' END,
+  ',"sku":null,"mpn":', p_size, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ',"offers":[1,{"lowPrice":12.5,"priceCurrency":"USD"},{"price":1}]' END, '}')"""
+_LD_HTML = "CASE CAST(floor(p_partkey / 3) AS INT) % 8 WHEN 0 THEN concat('{\"@context\":\"x\",\"@graph\":[', r, ',{\"@type\":\"Thing\",\"isRelatedTo\":[', r, ']}]}') WHEN 1 THEN concat('[', r, ',', r, ',7]') WHEN 2 THEN concat('{\"@type\":\"WebPage\",\"about\":null,\"mainEntity\":', r, '}') WHEN 3 THEN '{\"@type\":\"Product\",' WHEN 4 THEN concat('{\"a\":{\"b\":{\"c\":{\"d\":{\"e\":', r, '}}}}}') WHEN 5 THEN concat('{\"z\":1,\"a\":[{\"b\":[{\"c\":[', r, ']}]}]}') WHEN 6 THEN concat('{\"a\":[{\"b\":[{\"c\":[{\"d\":', r, '}]}]}]}') ELSE r END"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS page_id, {_LD_HTML} AS doc FROM (SELECT *, {_LD} AS r FROM part)),
+  top AS (SELECT page_id, CASE WHEN json_valid(doc) THEN doc::JSON END AS j FROM p), list_ AS (SELECT page_id, CASE WHEN json_type(j, '$."@graph"') = 'ARRAY' THEN j->'$."@graph"' WHEN json_type(j) = 'ARRAY' THEN j ELSE json_array(j) END AS l FROM top WHERE j IS NOT NULL),
+  walk AS (SELECT page_id, i - 1 AS block, []::BIGINT[] AS path, json_extract(l, '$[' || (i - 1) || ']') AS j FROM list_, unnest(range(1, json_array_length(l)::BIGINT + 1)) t(i)
+    UNION ALL SELECT page_id, block, list_append(path, k - 1), CASE WHEN json_type(j) = 'OBJECT' THEN json_extract(j, '$."' || list_sort(json_keys(j))[k] || '"') ELSE json_extract(j, '$[' || (k - 1) || ']') END
+      FROM walk, unnest(range(1, CASE json_type(j) WHEN 'OBJECT' THEN len(json_keys(j)) WHEN 'ARRAY' THEN json_array_length(j)::BIGINT ELSE 0 END + 1)) t(k) WHERE len(path) < 6)
+  SELECT page_id, block, array_to_string(path, '.') AS path, trim(coalesce(j->>'$.name."@value"', j->>'$.name')) AS name, coalesce(j->>'$.brand.name', j->>'$.brand[1].name') AS brand, j->>'$.mpn' AS sku, j->>'$.offers[1].lowPrice' AS price, j->>'$.offers[1].priceCurrency' AS currency
+  FROM walk WHERE json_type(j) = 'OBJECT' AND (lower(j->>'$."@type"') = 'productgroup' OR lower(j->>'$."@type"[1]') = 'product')""")
+def ld_products(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("r", F.expr(_LD)).selectExpr("p_partkey AS page_id", f"concat('<p></p><script  type=application/LD+json>', {_LD_HTML}, '</script>') AS html")
+    got = ld.products(docs)
+    return got.select("page_id", F.col("block").cast("long").alias("block"), F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "name", "brand", "sku", "price", "currency")
