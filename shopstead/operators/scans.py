@@ -30,6 +30,46 @@ def http_class(code: Column) -> Column:
     return found.when(code.isin(500, 502, 503, 504), "site-error").otherwise("other-error")
 
 
+#: What an owner is told about a status and about a reason; {code} and {agent} stand for those.
+STATUS_MESSAGES = {
+    "refused": "The website refused us ({code}). This is almost always a firewall or bot protection in front of the site rather than a problem with the site itself — Cloudflare’s bot protection does it by default. Allow the visitor named “{agent}” in that service’s settings, then read the site again.",
+    "missing": "That page was not found on the website (404). Check the address.",
+    "slow-down": "The website asked us to slow down (429). We already wait between pages, so this usually means rate limiting in front of the site. Allowing “{agent}” there, or trying again later, should fix it.",
+    "site-error": "The website itself returned an error ({code}). That is a problem at the site's end, not ours — try again once it is back.",
+    "other-error": "The website answered with an error ({code}), so there was nothing to read.",
+}
+REASON_MESSAGES = {
+    "unsafe-url": "That address is not one we can scan. It must be a public http:// or https:// website.",
+    "robots-disallowed": "The website’s robots.txt asks crawlers not to read it, so we stopped.",
+    "not-html": "That address is not a web page, so there was nothing to read.",
+    "PROVIDER_TIMEOUT": "The website took too long to respond. It may be slow or temporarily down.",
+}
+NOTHING_READ, NOT_READ = "Nothing could be read from that address. Check that the website is online.", "The website could not be read."
+
+
+def status_message(code: Column, agent: str) -> Column:
+    """What an owner can do about an HTTP status (as text), with the visitor's name that they would have to allow."""
+    kind = http_class(code.try_cast("int"))
+    told = F.lit(None).cast("string")
+    for name, message in STATUS_MESSAGES.items():
+        told = F.when(kind == name, message.replace("{agent}", agent)).otherwise(told)
+    return F.replace(told, F.lit("{code}"), code)
+
+
+def unreachable(scans: DataFrame, warnings: DataFrame, agent: str) -> DataFrame:
+    """scans (scan_id, root_url) with `message`: why nothing could be read, from the first of their warnings (scan_id, n, url,
+    reason, detail) about the root address, else from their first that is not only about robots.txt."""
+    about = (F.col("url") == F.col("root_url")) | (F.col("url") == F.concat("root_url", F.lit("/")))
+    own = warnings.join(scans.select("scan_id", "root_url"), "scan_id").withColumn("about", about).where(F.col("about") | (F.col("reason") != "robots-not-plain-text"))
+    first = own.groupBy("scan_id").agg(F.min_by(F.struct("reason", "detail"), F.struct((~F.col("about")).alias("other"), "n")).alias("w"))
+    reason = F.col("w.reason")
+    told = F.when(F.col("w").isNull(), NOTHING_READ)
+    for name, message in REASON_MESSAGES.items():
+        told = told.when(reason == name, message)
+    told = told.when(reason.startswith("http-"), status_message(F.substring(reason, 6, 10), agent)).otherwise(F.coalesce("w.detail", F.lit(NOT_READ)))
+    return scans.join(first, "scan_id", "left").withColumn("message", told).drop("w")
+
+
 def first_blocked(warnings: DataFrame) -> DataFrame:
     """(scan_id, status): the first status of each scan's warnings (scan_id, n, reason) that means we were refused."""
     code = F.regexp_extract("reason", "^http-([0-9]+)$", 1).try_cast("int")

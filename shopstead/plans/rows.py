@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from ..operators import claims, crawl, facts, jobs, offers, versions
+from ..operators import claims, crawl, extract, facts, jobs, offers, scans, versions
 from ..sources import tables
 from ..sources.projections import as_sql, project
 
@@ -220,3 +220,56 @@ def tenant_rows(spark, sf_dir):
     tables.append_table(rows.where("id % 2 = 1").repartition("business_id"), root, "orders")
     last = rows.agg(F.max("business_id")).first()[0]
     return tables.for_tenant(tables.read_table(spark, root, "orders", "id long, status string, business_id long"), last).select("id", "business_id", "status")
+
+
+_REASON = "CASE event_id % 9 WHEN 0 THEN 'unsafe-url' WHEN 1 THEN 'robots-disallowed' WHEN 2 THEN 'not-html' WHEN 3 THEN 'PROVIDER_TIMEOUT' WHEN 4 THEN 'robots-not-plain-text' WHEN 5 THEN 'CRAWL_ERROR' ELSE concat('http-', CASE event_id % 7 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 429 WHEN 4 THEN 503 ELSE 418 END) END"
+_WARNED = f"SELECT user_id % 120 AS scan_id, event_id AS n, CASE event_id % 5 WHEN 0 THEN concat('https://s', user_id % 120, '.example/') WHEN 1 THEN 'https://x.example/p' ELSE concat('https://s', user_id % 120, '.example/p') END AS url, {_REASON} AS reason, CASE WHEN event_id % 2 = 0 THEN 'It broke.' END AS detail FROM events WHERE event_id % 11 = 3"
+
+
+@query(f"""WITH w AS ({_WARNED}), s AS (SELECT s_suppkey AS scan_id, 'https://s' || s_suppkey || '.example' AS root FROM supplier),
+  f AS (SELECT * FROM w JOIN s USING (scan_id) WHERE url = root || '/' OR reason <> 'robots-not-plain-text' QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY url = root || '/' DESC, n) = 1), c AS (SELECT s.scan_id, reason, detail, reason[6:] AS code FROM s LEFT JOIN f USING (scan_id))
+  SELECT scan_id, CASE WHEN reason IS NULL THEN 'Nothing could be read from that address. Check that the website is online.' WHEN reason = 'unsafe-url' THEN 'That address is not one we can scan. It must be a public http:// or https:// website.'
+    WHEN reason = 'robots-disallowed' THEN 'The website’s robots.txt asks crawlers not to read it, so we stopped.' WHEN reason = 'not-html' THEN 'That address is not a web page, so there was nothing to read.'
+    WHEN reason = 'PROVIDER_TIMEOUT' THEN 'The website took too long to respond. It may be slow or temporarily down.' WHEN reason NOT LIKE 'http-%' THEN coalesce(detail, 'The website could not be read.')
+    WHEN code IN ('401', '403') THEN 'The website refused us (' || code || '). This is almost always a firewall or bot protection in front of the site rather than a problem with the site itself — Cloudflare’s bot protection does it by default. Allow the visitor named “ShopBot/1.0” in that service’s settings, then read the site again.'
+    WHEN code = '404' THEN 'That page was not found on the website (404). Check the address.' WHEN code = '429' THEN 'The website asked us to slow down (429). We already wait between pages, so this usually means rate limiting in front of the site. Allowing “ShopBot/1.0” there, or trying again later, should fix it.'
+    WHEN code LIKE '50%' THEN 'The website itself returned an error (' || code || '). That is a problem at the site''s end, not ours — try again once it is back.' ELSE 'The website answered with an error (' || code || '), so there was nothing to read.' END AS message FROM c""")
+def unreachable_scans(spark, sf_dir):
+    warnings = _table(spark, sf_dir, "events").where("event_id % 11 = 3").selectExpr("user_id % 120 AS scan_id", "event_id AS n", "CASE event_id % 5 WHEN 0 THEN concat('https://s', user_id % 120, '.example/') WHEN 1 THEN 'https://x.example/p' ELSE concat('https://s', user_id % 120, '.example/p') END AS url", f"{_REASON} AS reason", "CASE WHEN event_id % 2 = 0 THEN 'It broke.' END AS detail")
+    runs = _table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS scan_id", "concat('https://s', s_suppkey, '.example') AS root_url")
+    return scans.unreachable(runs, warnings, "ShopBot/1.0").select("scan_id", "message")
+
+
+_AD = "concat(p_name, ' now $', p_size, '.50', CASE p_partkey % 5 WHEN 0 THEN ', the finest, hurry' WHEN 1 THEN concat(', ', p_size, '% off') WHEN 2 THEN ', only 3 left' WHEN 3 THEN ', loved by 900 users' ELSE '' END, CASE WHEN p_partkey % 4 = 0 THEN ' FAST shipping' ELSE '' END)"
+
+
+@query(f"""WITH a AS (SELECT p_partkey AS id, p_size AS size, {_AD} AS t FROM part), v AS (
+    SELECT id, 'unstated-price' AS rule, '$' || size || '.50' AS excerpt FROM a WHERE id % 3 <> 0
+    UNION ALL SELECT id, 'unsupported-discount', size || '% off' FROM a WHERE id % 5 = 1 AND size % 2 = 1 UNION ALL SELECT id, 'unverifiable-statistic', size || '%' FROM a WHERE id % 5 = 1
+    UNION ALL SELECT id, 'unsubstantiated-superlative', 'finest' FROM a WHERE id % 5 = 0 AND id % 2 = 1 UNION ALL SELECT id, 'manufactured-urgency', 'hurry' FROM a WHERE id % 5 = 0
+    UNION ALL SELECT id, 'manufactured-urgency', 'only 3 left' FROM a WHERE id % 5 = 2 UNION ALL SELECT id, 'unverifiable-statistic', '900 users' FROM a WHERE id % 5 = 3
+    UNION ALL SELECT id, 'merchant-restriction', ' fast Shipping ' FROM a WHERE id % 4 = 0 UNION ALL SELECT id, 'merchant-restriction', 'red' FROM a WHERE t ILIKE '%red%')
+  SELECT id, count(v.id) = 0 AS ok, coalesce(string_agg(rule || ':' || excerpt, '|' ORDER BY rule, excerpt), '') AS found FROM a LEFT JOIN v USING (id) GROUP BY id""")
+def restricted_copy(spark, sf_dir):
+    copy = _table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CAST(NULL AS STRING) AS headline", f"{_AD} AS primary_text", "'' AS description", "'' AS cta", "CASE WHEN p_partkey % 3 = 0 THEN array(CAST(p_size * 100 + 50 AS BIGINT)) END AS stated_price_cents",
+        "CASE WHEN p_size % 2 = 0 THEN array(p_size) END AS allowed_percents", "CASE WHEN p_partkey % 2 = 0 THEN 'Simply the FINEST of all' END AS verified_text", "array(' fast Shipping ', '', 'red') AS restrictions")
+    told = F.array_join(F.array_sort(F.transform("violations", lambda v: F.concat(v["rule"], F.lit(":"), v["excerpt"]))), "|")
+    return claims.check(copy).select("id", "ok", told.alias("found"))
+
+
+_MARKUP = """concat('<title> ', p_name, '  shop </title><meta name="Description" content=" All ', p_type, '"><meta property="og:title" content="', p_brand, '"><meta property="OG:title" content="later"><link rel="Canonical" href="/c/', p_partkey, '"><nav>menu ', p_name, '</nav><style>x</style>',
+  '<div itemscope><span itemprop="Brand">', p_brand, '</span><a itemprop="url" href="/u">', p_name, '</a><meta itemprop="price" content="', p_size, '"><time itemprop="when" datetime="2024">now</time></div>', '<p>', p_type, '</p><p>size ', p_size, '</p>',
+  '<a href="/p/', p_partkey, '?utm_source=a&amp;b=1">one</a><a href="https://WWW.m.example/q/#x">two</a><a href="//else.example/">out</a><a href="mailto:a@b.example">mail</a><a href="/file.PDF">pdf</a><a href="/p/', p_partkey, '?b=1">again</a>',
+  '<img alt="a ', p_name, '"><img alt="one"><img alt="', p_name, '  photo.jpg"><img alt=" a  ', p_name, ' ">')"""
+
+
+@query("""SELECT p_partkey AS id, p_name || ' shop' AS title, 'All ' || p_type AS description, 'https://m.example/c/' || p_partkey AS canonical, 'og:title=' || p_brand AS open_graph,
+    'brand=' || p_brand || ',price=' || p_size || ',url=/u,when=2024' AS microdata, 'https://m.example/u https://m.example/p/' || p_partkey || '?b=1 https://www.m.example/q' AS links, 'a ' || p_name AS alts,
+    p_brand || p_name || 'now' || p_type || 'size ' || p_size || 'onetwooutmailpdfagain' AS visible FROM part""")
+def page_markup(spark, sf_dir):
+    pages = _table(spark, sf_dir, "part").selectExpr("p_partkey AS page_id", "'https://m.example/x' AS url", f"{_MARKUP} AS html")
+    got = extract.extract(pages)
+    pairs = lambda m, keep: F.array_join(F.array_sort(F.transform(F.filter(F.map_entries(m), keep), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    seen = F.regexp_replace("text", r"^.*shop ?", "")
+    return got.select(F.col("page_id").alias("id"), "page.title", F.col("page.meta_description").alias("description"), "page.canonical", pairs("page.open_graph", lambda e: e["key"].startswith("og:")).alias("open_graph"), pairs("page.microdata", lambda e: F.lit(True)).alias("microdata"),
+        F.array_join("links", " ").alias("links"), F.array_join("page.image_alts", "|").alias("alts"), seen.alias("visible"))
