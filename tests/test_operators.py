@@ -123,7 +123,7 @@ def test_robots_sitemap_and_crawl(spark):
     assert crawl.crawl_delay_ms(directives, "shopbot", 1000).first().delay_ms == 3000
     xml = "<urlset><url><loc>https://a.example/blog/x/</loc></url><url><loc> https://www.a.example/products/y </loc><priority>0.4</priority></url><url><loc>https://else.example/</loc></url>"
     entries = crawl.parse_sitemap(spark.createDataFrame([("a", "https://a.example/", xml)], "site string, base string, xml string"))
-    assert [r.url for r in crawl.prioritise(entries).orderBy("rank").collect()] == ["https://www.a.example/products/y", "https://a.example/blog/x/"]
+    assert [r.url for r in crawl.prioritise(entries).orderBy("rank").collect()] == ["https://www.a.example/products/y", "https://a.example/blog/x"]
     web = {"https://s.example/": ["/p/1", "/blog/a/", "/products/x"], "/products/x": ["/"], "/p/1": ["/deep"], "/deep": [], "/blog/a/": []}
     full = lambda u: u if u.startswith("http") else f"https://s.example{u}"
     pages = spark.createDataFrame([(full(u), [full(x) for x in links], 200) for u, links in web.items()], "url string, links array<string>, status int")
