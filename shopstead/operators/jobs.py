@@ -20,6 +20,17 @@ def claim(jobs: DataFrame, now: Column, workers: int, types: list[str] | None =
     return head.withColumns({"status": F.lit("RUNNING"), "started_at": now, "attempts": F.col("attempts") + 1})
 
 
+def drain(jobs: DataFrame, now: Column, most: int = 100, budget_ms: int | None = None, types: list[str] | None = None) -> DataFrame:
+    """The jobs that one drain of the queue runs, in order (n): at most `most`, and none once the jobs before it have taken
+    budget_ms (took_ms says how long each takes). The budget is looked at between jobs, so the last may pass it. Only the
+    first `most` rows are ever put in order."""
+    head = claim(jobs, now, most, types)
+    order = Window.orderBy(F.desc("priority"), "run_at", "id")
+    spent = F.coalesce(F.sum("took_ms").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = head.withColumns({"n": F.row_number().over(order), "spent_ms": spent})
+    return rows if budget_ms is None else rows.where(F.col("spent_ms") < budget_ms)
+
+
 def backoff_ms(attempt: Column, draw: Column) -> Column:
     """Exponential with full jitter; draw in [0, 1) is an input, so results repeat."""
     return F.floor(draw * F.least(F.lit(float(BASE_MS)) * F.pow(F.lit(2.0), attempt - 1), F.lit(float(MOST_MS))) + 0.5).cast("long")

@@ -273,3 +273,17 @@ def page_markup(spark, sf_dir):
     seen = F.regexp_replace("text", r"^.*shop ?", "")
     return got.select(F.col("page_id").alias("id"), "page.title", F.col("page.meta_description").alias("description"), "page.canonical", pairs("page.open_graph", lambda e: e["key"].startswith("og:")).alias("open_graph"), pairs("page.microdata", lambda e: F.lit(True)).alias("microdata"),
         F.array_join("links", " ").alias("links"), F.array_join("page.image_alts", "|").alias("alts"), seen.alias("visible"))
+
+
+@query(f"""WITH q AS (SELECT id, id % 900 + 100 AS took_ms, row_number() OVER (ORDER BY priority DESC, run_at, id) AS n FROM {as_sql("jobs")} WHERE status = 'PENDING' AND type = 'website.scan' AND run_at <= TIMESTAMP '1998-01-01'),
+  s AS (SELECT *, coalesce(sum(took_ms) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent_ms FROM q WHERE n <= 80) SELECT id, n, spent_ms::BIGINT AS spent_ms FROM s WHERE spent_ms < 20000""")
+def drained_jobs(spark, sf_dir):
+    queue = project(spark, sf_dir, "jobs").withColumn("took_ms", F.expr("id % 900 + 100"))
+    return jobs.drain(queue, F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'"), 80, 20_000, ["website.scan"]).select("id", F.col("n").cast("long").alias("n"), F.col("spent_ms").cast("long").alias("spent_ms"))
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE '{"user":{"Session_Id":"[REDACTED]","tags":["' || event_type || '",{"apiKey":"[REDACTED]"}]},"a":{"b":{"c":{"d":{"e":{"f":{"g":"[MAX_DEPTH]"}}}}}},"m":"' ||
+  CASE WHEN event_id % 5 = 0 THEN repeat('é', 2000) || '…[truncated ' || event_id % 40 + 1 || ' chars]' ELSE 'ok' END || '"}' END AS record FROM events""")
+def nested_logs(spark, sf_dir):
+    raw = """CASE WHEN event_id % 7 = 0 THEN '{"user": ' ELSE concat('{"user": {"Session_Id": 5, "tags": ["', event_type, '", {"apiKey": {"x": 1}}]}, "a": {"b": {"c": {"d": {"e": {"f": {"g": 1}}}}}}, "m": "', CASE WHEN event_id % 5 = 0 THEN repeat('é', CAST(2001 + event_id % 40 AS INT)) ELSE 'ok' END, '"}') END"""
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), tables.redact_json(F.expr(raw)).alias("record"))

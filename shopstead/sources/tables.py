@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def read_table(spark: SparkSession, root: str, name: str, schema=None) -> DataFrame:
@@ -60,6 +64,37 @@ def redact(fields: Column) -> Column:
     return F.transform_values(fields, lambda k, v: F.when(k.rlike(SECRET_KEYS), F.lit(MASK)).when(F.length(v) > LONGEST, cut(v)).otherwise(v))
 
 
+#: Levels of a record that are looked into, and what stands for deeper ones.
+MOST_DEPTH, TOO_DEEP = 6, "[MAX_DEPTH]"
+_SECRET = re.compile(SECRET_KEYS)
+
+
+def _redacted(value, depth: int = 0):
+    if depth > MOST_DEPTH and value is not None:
+        return TOO_DEEP
+    if isinstance(value, str) and len(value) > LONGEST:
+        return f"{value[:LONGEST]}…[truncated {len(value) - LONGEST} chars]"
+    if isinstance(value, list):
+        return [_redacted(x, depth + 1) for x in value]
+    if isinstance(value, dict):
+        return {k: MASK if _SECRET.search(k) else _redacted(x, depth + 1) for k, x in value.items()}
+    return value
+
+
+@F.pandas_udf(StringType())
+def redact_json(records: pd.Series) -> pd.Series:
+    """Log records as JSON with secrets masked at every level, long strings cut, and levels below the sixth left out; NULL
+    for what is no JSON. A record's shape is not known beforehand, so this is an Arrow UDF."""
+
+    def one(raw):
+        try:
+            return json.dumps(_redacted(json.loads(raw)), ensure_ascii=False, separators=(",", ":")) if raw else None
+        except ValueError:
+            return None
+
+    return records.map(one)
+
+
 def safe_key(key: Column) -> Column:
     """Whether an object's key stays below the store's root: relative, no empty part, no dots for a part, no backslash."""
     return key.isNotNull() & ~key.rlike(r"(^|/)(\.{0,2})(/|$)") & ~key.contains("\\") & ~key.contains("\u0000")
