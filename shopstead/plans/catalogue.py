@@ -176,17 +176,26 @@ def _types_sql(path: str, heading: str) -> str:
     return f"CASE {rules} WHEN {path} IN ('/', '') THEN 'HOME' {words} ELSE 'OTHER' END"
 
 
-#: Paths and the page types that the contract gives them, in words of its own.
-_KINDS = [("/products/red-cup", "PRODUCT"), ("/p/9", "PRODUCT"), ("/products", "OTHER"), ("/collections/mugs", "COLLECTION"), ("/Shop", "COLLECTION"), ("/shopping", "OTHER"), ("/our-story", "ABOUT"), ("/help/orders", "FAQ"),
-  ("/delivery", "SHIPPING"), ("/refund-policy", "RETURNS"), ("/policies/refunds", "RETURNS"), ("/privacy", "POLICY"), ("/contact-us", "CONTACT"), ("/news/today", "BLOG"), ("/newsletter", "OTHER"), ("/", "HOME")]
-
-
-@query(f"""SELECT page_type, {[k for _, k in _KINDS]}[CAST(page_id % {len(_KINDS)} AS INT) + 1] AS path_type, count(*) AS n
-  FROM (SELECT page_id, {_types_sql('path', 'lower(title)')} AS page_type FROM (SELECT page_id, n.path, {_TITLE} || ' ' AS title FROM {_NORM} n JOIN pages USING (page_id))) GROUP BY ALL""")
+#: Paths of many kinds.
+_PATHS = ["/products/red-cup", "/p/9", "/products", "/collections/mugs", "/Shop", "/shopping", "/our-story", "/help/orders", "/delivery", "/refund-policy", "/policies/refunds", "/privacy", "/contact-us", "/news/today", "/newsletter", "/", "/shop/item/4", "/Legal/team", "/article", "/cookies.html"]
+#: Types of paths by their parts: the first part that one of a type's words starts, or is where the type asks for whole parts.
+_STARTS = "len(list_filter(parts, lambda x: {})) > 0"
+_PATH_SQL = " ".join(
+    f"WHEN {test} THEN '{kind}'" for kind, test in [
+        ("PRODUCT", "len(list_filter(range(1, len(parts)), lambda i: parts[i] IN ('product', 'products', 'item', 'p') AND parts[i + 1] <> '')) > 0"),
+        ("COLLECTION", _STARTS.format("x IN ('collection', 'collections', 'category', 'categories', 'shop', 'store', 'catalog', 'catalogue')")),
+        *[(k, _STARTS.format(" OR ".join(f"starts_with(x, '{w}')" for w in words))) for k, words in [("ABOUT", ("about", "our-story", "who-we-are", "team")), ("FAQ", ("faq", "help", "support", "questions")), ("SHIPPING", ("shipping", "delivery", "postage")), ("RETURNS", ("return", "refund", "exchange")), ("CONTACT", ("contact", "get-in-touch", "reach-us")), ("POLICY", ("policies", "policy", "privacy", "terms", "legal", "cookie"))]],
+        ("BLOG", _STARTS.format("x IN ('blog', 'blogs', 'news', 'article', 'articles', 'post', 'posts', 'journal')")), ("HOME", "len(list_filter(parts, lambda x: x <> '')) = 0"),
+    ]
+)
+
+
+@query(f"""WITH k AS (SELECT page_id, string_split(lower({_PATHS}[CAST(page_id % {len(_PATHS)} AS INT) + 1])[2:], '/') AS parts FROM pages), t AS (SELECT page_id, CASE {_PATH_SQL} ELSE 'OTHER' END AS path_type FROM k)
+  SELECT page_type, path_type, count(*) AS n FROM (SELECT page_id, {_types_sql('path', 'lower(title)')} AS page_type FROM (SELECT page_id, n.path, {_TITLE} || ' ' AS title FROM {_NORM} n JOIN pages USING (page_id))) JOIN t USING (page_id) GROUP BY ALL""")
 def page_type_counts(spark, sf_dir):
     no = F.lit(False)
     kind = text.page_type(urls.path(F.col("url")), F.regexp_extract("html", "(?i)<title>([^<]*)</title>", 1), F.lit(""), no, no)
-    path = F.element_at(F.array(*[F.lit(p) for p, _ in _KINDS]), (F.col("page_id") % len(_KINDS) + 1).cast("int"))
+    path = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("page_id") % len(_PATHS) + 1).cast("int"))
     by_path = text.page_type(path, F.lit(""), F.lit(""), no, no)
     return _pages(spark, sf_dir).groupBy(kind.alias("page_type"), by_path.alias("path_type")).agg(F.count("*").alias("n"))
 
@@ -227,20 +236,27 @@ def page_business_facts(spark, sf_dir):
     return extract.business_facts(extract.extract(_pages(spark, sf_dir)))
 
 
-#: Starts of addresses and why they must not be fetched.
-_SPELLED = [("http://2130706433/", "private-host"), ("http://0x7f.1/", "private-host"), ("http://017700000001/", "private-host"), ("http://172.16.0.1/", "private-host"), ("http://172.15.0.1/", None),
-  ("http://8.8.8.8/", None), ("http://256.1.1.1/", "invalid"), ("https://u:p@a.example/", "credentials"), ("https://a.example:8080/", "port"), ("https://a.example:443/", None), ("ftp://a.example/", "scheme"),
-  ("http://[::1]/", "private-host"), ("http://[::ffff:10.0.0.1]/", "private-host"), ("http://[::ffff:8.8.8.8]/", None), ("http://[2002:808:808::1]/", "private-host"), ("http://printer.local/", "private-host"),
-  ("http://metadata/", "private-host"), ("http://metadata.example/", None), ("HTTPS://A.EXAMPLE/", None)]
-_REASONS = ", ".join("NULL" if r is None else f"'{r}'" for _, r in _SPELLED)
+#: Starts of addresses in many spellings.
+_SPELLED = ["http://2130706433/", "http://0x7f.1/", "http://017700000001/", "http://172.16.0.1/", "http://172.15.0.1/", "http://8.8.8.8/", "http://256.1.1.1/", "https://u:p@a.example/", "https://a.example:8080/", "https://a.example:443/", "ftp://a.example/",
+  "http://[::1]/", "http://[::ffff:10.0.0.1]/", "http://[::ffff:8.8.8.8]/", "http://[2002:808:808::1]/", "http://printer.local/", "http://metadata/", "http://metadata.example/", "HTTPS://A.EXAMPLE/", "http://0300.0250.1/", "http://0xA9FE0101/", "http://100.64.3.4/", "http://1.2.3.4.5/", "http://09.1.1.1/", "http://198.51.7.7/"]
+#: A host as an IPv4 number in any base and number of parts: octal behind a 0, hexadecimal behind 0x; the last part fills up.
+_PART_SQL = "CASE WHEN x LIKE '0x%' THEN CASE WHEN x = '0x' THEN 0 ELSE TRY_CAST(x AS BIGINT) END WHEN x LIKE '0_%' THEN CASE WHEN regexp_matches(x, '^[0-7]+$') THEN list_reduce([0::BIGINT] || list_transform(string_split(x, ''), lambda d: d::BIGINT), lambda a, b: a * 8 + b) END ELSE TRY_CAST(x AS BIGINT) END"
+_ADDRESS = f"""(WITH s AS (SELECT page_id, {_SPELLED}[CAST(page_id % {len(_SPELLED)} AS INT) + 1] AS u FROM pages), a AS (SELECT page_id, lower(regexp_extract(u, '^([^:]*):', 1)) AS scheme, lower(regexp_extract(u, '//([^/]*)', 1)) AS auth FROM s),
+  h AS (SELECT *, regexp_extract(auth, ':(\\d+)$', 1) AS port, regexp_replace(regexp_replace(auth, '^.*@', ''), ':\\d+$', '') AS host FROM a), m AS (SELECT *, CASE WHEN host LIKE '[::ffff:%' THEN regexp_extract(host, 'ffff:([0-9.]+)', 1) ELSE host END AS name FROM h),
+  p AS (SELECT *, string_split(name, '.') AS parts FROM m), v AS (SELECT *, list_transform(parts, lambda x: {_PART_SQL}) AS ns, regexp_matches(parts[-1], '^(0x[0-9a-f]*|\\d+)$') AS numeric FROM p),
+  n AS (SELECT *, CASE WHEN numeric AND len(ns) <= 4 AND len(list_filter(ns, lambda x: x IS NULL)) = 0 AND len(list_filter(ns[:-2], lambda x: x > 255)) = 0 AND ns[-1] < power(256, 5 - len(ns)) THEN coalesce(ns[1], 0) END AS ok,
+    CASE len(ns) WHEN 1 THEN ns[1] WHEN 2 THEN ns[1] * 16777216 + ns[2] WHEN 3 THEN ns[1] * 16777216 + ns[2] * 65536 + ns[3] ELSE ns[1] * 16777216 + ns[2] * 65536 + ns[3] * 256 + ns[4] END AS ip FROM v)
+  SELECT page_id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN auth LIKE '%@%' THEN 'credentials' WHEN port NOT IN ('', '80', '443') THEN 'port' WHEN name = 'metadata' OR name LIKE '%.local' THEN 'private-host'
+    WHEN name LIKE '[%' THEN CASE WHEN name LIKE '[::%' OR name LIKE '[2002:%' THEN 'private-host' END WHEN numeric AND ok IS NULL THEN 'invalid'
+    WHEN numeric AND (ip >> 24 IN (0, 10, 127) OR ip >> 24 >= 224 OR ip >> 16 IN (43518, 49320, 49152, 50739, 51968) OR ip >> 20 = 2753 OR ip >> 22 = 401 OR ip >> 17 = 25353) THEN 'private-host' END AS spelled_reason FROM n)"""
 
 
-@query(rf"""SELECT page_id, CASE WHEN url IS NULL OR trim(url) = '' THEN 'invalid' WHEN length(trim(url)) > 2048 THEN 'too-long' WHEN NOT regexp_matches(url, '(?i)^https?:') THEN 'scheme' WHEN NOT regexp_matches(url, '^[^:]*://[^/?#]') THEN 'invalid'
+@query(rf"""SELECT p.page_id, CASE WHEN url IS NULL OR trim(url) = '' THEN 'invalid' WHEN length(trim(url)) > 2048 THEN 'too-long' WHEN NOT regexp_matches(url, '(?i)^https?:') THEN 'scheme' WHEN NOT regexp_matches(url, '^[^:]*://[^/?#]') THEN 'invalid'
     WHEN regexp_matches(url, '^[^/]*//[^/?#]*@') THEN 'credentials' WHEN regexp_matches(url, '^[^/]*//[^/?#]*:\d') AND NOT regexp_matches(url, '^[^/]*//[^/?#]*:(80|443)([/?#]|$)') THEN 'port'
     WHEN regexp_matches(url, '(?i)^[^/]*//(metadata|([^/?#]*\.)?localhost|[^/?#]*\.(local|internal|intranet|home\.arpa|lan))\.?([:/?#]|$)') THEN 'private-host' END AS reason,
-  [{_REASONS}][CAST(page_id % {len(_SPELLED)} AS INT) + 1] AS spelled_reason FROM pages""")
+  spelled_reason FROM pages p JOIN {_ADDRESS} USING (page_id)""")
 def unsafe_urls(spark, sf_dir):
-    start = F.element_at(F.array(*[F.lit(u) for u, _ in _SPELLED]), (F.col("page_id") % len(_SPELLED) + 1).cast("int"))
+    start = F.element_at(F.array(*map(F.lit, _SPELLED)), (F.col("page_id") % len(_SPELLED) + 1).cast("int"))
     spelled = F.concat(start, F.substring(urls.path(F.col("url")), 2, 2048))
     return _pages(spark, sf_dir).select("page_id", urls.unsafe_url("url").alias("reason"), urls.unsafe_url(spelled).alias("spelled_reason"))
 
