@@ -200,15 +200,27 @@ def page_type_counts(spark, sf_dir):
     return _pages(spark, sf_dir).groupBy(kind.alias("page_type"), by_path.alias("path_type")).agg(F.count("*").alias("n"))
 
 
-_RULES = [("/fr/", True), ("/", False), ("/en/*5$", True), ("/de", False), ("/es/9*", True)]
-_ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\n" + "".join(f"{'Allow' if a else 'Disallow'}: {p}\n" for p, a in _RULES) + "Crawl-delay: 2\nSitemap: https://x.example/s.xml\n"
-_RULE_ROWS = ", ".join(f"({a}, '^{p.replace('*', '.*')}', {len(p.rstrip('$'))})" for p, a in _RULES)
+#: Rules of three kinds of sites, told apart by the length of their name: (path pattern, allowed).
+_RULES = {0: [("/fr/", True), ("/", False), ("/en/*5$", True), ("/de", False), ("/es/9*", True)], 1: [("/en/", False), ("/en/1", True), ("/*7", True), ("*page", False), ("/fr/*3*", False), ("/fr/", False), ("/fr/", True)], 2: []}
+_AGENTS = {0: "*", 1: "SHOPBOT", 2: "*"}
 
 
-@query(f"""SELECT page_id, coalesce(arg_max(r.allow, row(r.len, r.allow)), true) AS allowed FROM {_NORM} p LEFT JOIN (VALUES {_RULE_ROWS}) r(allow, rx, len) ON regexp_matches(p.path, r.rx) GROUP BY page_id""")
+def _robots(kind: int) -> str:
+    """A file with another agent's rules, those for everybody, and our own group, which counts where there is one."""
+    own = "".join(f"{'Allow' if a else 'disallow'}: {p} # note\n" for p, a in _RULES[kind])
+    decoy = "" if _AGENTS[kind] == "*" else "User-agent: *\nDisallow: /\n\n"
+    return f"User-agent: other\nDisallow: /\n\n{decoy}User-agent: nobody\nUser-agent: {_AGENTS[kind]}\n{own}Crawl-delay: 2\nSitemap: https://x.example/s.xml\n"
+
+
+#: A pattern as a LIKE pattern with its length: stars are any text, a dollar is the end, everything else is a start.
+_RULE_ROWS = ", ".join(f"({k}, {a}, '{(p[:-1] if p.endswith('$') else p + '*').replace('*', '%')}', {len(p.rstrip('$'))})" for k, rules in _RULES.items() for p, a in rules)
+
+
+@query(f"""SELECT page_id, coalesce(arg_max(r.allow, row(r.len, r.allow)), true) AS allowed FROM {_NORM} p LEFT JOIN (VALUES {_RULE_ROWS}) r(kind, allow, form, len) ON r.kind = length(p.host) % 3 AND p.path LIKE r.form GROUP BY page_id""")
 def robots_verdicts(spark, sf_dir):
     pages = _pages(spark, sf_dir).select("page_id", urls.host(F.col("url")).alias("site"), urls.path(F.col("url")).alias("path"))
-    files = pages.select("site").distinct().withColumn("body", F.lit(_ROBOTS))
+    kind = F.length("site") % 3
+    files = pages.select("site").distinct().withColumn("body", F.when(kind == 0, _robots(0)).when(kind == 1, _robots(1)).otherwise(_robots(2)))
     rules = crawl.rules_for(crawl.parse_robots(files), "shopbot/1.0")
     return crawl.robots_verdicts(pages, rules).select("page_id", "allowed")
 
