@@ -28,3 +28,7 @@ def same(spark, folder, name):
 
 def test_labels_do_not_come_round(spark, sf, tmp_path):
     same(spark, grown(sf, tmp_path, 100, part=("p_partkey", 200)), "labelled_copy")
+
+
+def test_copy_evidence_of_large_ids(spark, sf, tmp_path):
+    same(spark, grown(sf, tmp_path, 3, part=("p_partkey", 500_000)), "copy_evidence")
