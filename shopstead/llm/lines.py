@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOBS, blob_batch, chunks_of, dealt, dropped, mapped, marked, mix64, n_buckets, packed, pieces, split_by_bucket, stored, unpacked
-from .components import components, merged_roots
+from .components import components
 from .jaccard import tree_links
 from .rolling import Rolling, code_points, is_space, lower_ascii
 
@@ -80,7 +80,7 @@ def band_keys(lines: Lines, which: np.ndarray) -> np.ndarray:
 
 
 #: What the survey finds. FIRST: the first place of a line (key, doc_id, mark, line). REPEAT: a place that an equal line
-#: precedes. RIVAL: a line (key) that shares a band with another (other).
+#: precedes. RIVAL: a line (key) that shares a band with others; `other` is the least of them, mark names them all.
 FIRST, REPEAT, RIVAL = range(3)
 FOUND = "kind int, key long, other long, doc_id long, mark long, line int"
 
@@ -143,7 +143,7 @@ def survey(docs: DataFrame) -> DataFrame:
 
     def rivals(blobs):
         every = np.frombuffer(b"".join(blobs), BAND)
-        links = []
+        groups = []
         part = (every["g"] & np.uint64(7)).astype(np.uint8)  # an eighth of the bands at a time
         for j in range(8):
             rec = every[part == j]
@@ -151,10 +151,19 @@ def survey(docs: DataFrame) -> DataFrame:
             order = np.lexsort((k, g))
             g, k = g[order], k[order]
             new = np.r_[True, g[1:] != g[:-1]] if len(g) else np.zeros(0, bool)
-            least = k[new][np.cumsum(new) - 1]
-            links.append((k[k != least], least[k != least]))
-        ids, roots = merged_roots(*map(np.concatenate, zip(*links)))
-        yield _found(RIVAL, key=ids[ids != roots], other=roots[ids != roots])
+            once = new | np.r_[True, k[1:] != k[:-1]] if len(g) else new  # chunks repeat a line
+            g, k, new = g[once], k[once], new[once]
+            first = np.flatnonzero(new)
+            size = np.diff(np.r_[first, len(k)])
+            if not (size > 1).any():
+                continue
+            name = np.add.reduceat(mix64(k.view(np.uint64)), first)  # bands of the same lines have one name
+            some = np.unique(np.where(size > 1, name, 0), return_index=True)[1]
+            some = some[size[some] > 1]
+            taken = np.isin(np.repeat(np.arange(len(first)), size), some)
+            groups.append([x[taken] for x in (k, np.repeat(k[first], size), np.repeat(name, size))])
+        for key, least, name in groups:
+            yield _found(RIVAL, key=key, other=least, mark=name)
 
     def meet(batches):
         def solved():
@@ -215,15 +224,32 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return mapped(texts, run, "doc_id long, n long, items binary")
 
 
+#: Lines of a component of bands that are all compared with each other; those of a larger one, only within their bands.
+TOGETHER = 500
+
+
+def _rivals(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """(id, component) as tree_links takes them. Bands chain lines that are not alike, and the more lines there are, the
+    longer the chains: past some size most lines hang together. So a large component falls back into its bands, which
+    hold all pairs that are to be compared; a line is then in as many groups as it shares bands with different lines."""
+    large = lines.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("component")
+    apart = lines.join(large, "component", "left_semi").select(F.col("id").alias("key"))
+    bands = shared.join(apart, "key", "left_semi").select(F.col("key").alias("id"), F.col("mark").alias("component")).distinct()
+    return lines.join(large, "component", "left_anti").select("id", "component").unionByName(bands)
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, lines): numbers of the lines to drop in each document of docs (see marked) that has any. Lines are
     one when equal, or when links of similarity >= 0.8 lead from one to the other; the occurrence with the least
     (doc_id, mark, number) stays."""
     found = stored(survey(docs), "lines")
     firsts = found.where(F.col("kind") == FIRST).select("key", "doc_id", "mark", "line")
-    rivals = components(found.where(F.col("kind") == RIVAL).select("key", "other"), "key", "other")
-    wanted = rivals.select(F.col("id").alias("key")).join(firsts, "key")
+    shared = stored(found.where(F.col("kind") == RIVAL).select("key", "other", "mark").distinct(), "bands")
+    lines = components(shared.select("key", "other"), "key", "other")
+    wanted = lines.select(F.col("id").alias("key")).join(firsts, "key")
     sets = stored(_wanted_lines(docs, wanted), "sets")
+    rivals = stored(_rivals(lines, shared), "rivals")
+    dropped(lines, shared)
     joined = components(tree_links(sets, rivals, NUM, read=_shingle_sets))
     dropped(sets, rivals)
     # a class keeps its least place; the anti-join goes by place, so a large class is spread over all tasks

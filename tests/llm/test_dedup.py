@@ -336,3 +336,23 @@ def test_lexicon_in_shards(docs, spark):
     assert (again.inside(terms) == whole.inside(terms)).all()
     got = spark.range(1).select("id").mapInArrow(lambda it: (b for b in it), "id long").count()  # workers map shards, too
     assert got == 1 and imatch._mapped_shard(cut.shards[0]).tolist() == sorted(cut.shards[0].value.tolist())
+
+
+def test_chained_lines_are_compared_by_bands(spark, monkeypatch):
+    """Windows over one text chain by their bands though none is alike (0.77); near copies of some are found all the same."""
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(24_100))
+    rows = [text[12 * i : 12 * i + 99] + "x" for i in range(2000)]
+    docs = [(i, "\n".join(rows[i * 20 : i * 20 + 20])) for i in range(100)] + [(100, "\n".join(x[:-1] + "y" for x in rows[::100]))]
+    seen = []
+    whole = lines.tree_links
+
+    def watched(sets, rivals, *args, **kw):
+        seen.append(rivals.groupBy("component").count().agg({"count": "max"}).first()[0])
+        return whole(sets, rivals, *args, **kw)
+
+    monkeypatch.setattr(lines, "tree_links", watched)
+    monkeypatch.setattr(lines, "TOGETHER", 100, raising=False)
+    got = {r.doc_id: r.n_dropped for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: 20 if i == 100 else 0 for i in range(101)}
+    assert seen[0] <= 100
