@@ -114,7 +114,9 @@ def owner_edits(products: DataFrame, edits: DataFrame, now: Column) -> DataFrame
     e = edits.select("id", F.trim("description").alias("text"), F.col("cost_cents").alias("new_cost"), "has_description", "has_cost")
     long, bad = F.length("text") > MOST_DESCRIPTION, ~F.col("new_cost").between(0, MOST_COST)
     error = F.when(F.col("has_description") & long, "description-too-long").when(F.col("has_cost") & bad, "unusable-cost")
-    rows = products.join(e, "id", "left").withColumn("error", error)
+    # texts grow with the edits, whatever the size of the files they come from; those that are refused stay behind
+    e = e.withColumn("error", error).withColumn("text", F.when(F.col("error").isNull() & F.col("has_description"), F.col("text")))
+    rows = products.join(e.hint("merge"), "id", "left")
     fine = F.col("error").isNull()
     text, told = F.nullif(F.col("text"), F.lit("")), fine & F.coalesce("has_description", F.lit(False))
     changed = {

@@ -32,3 +32,9 @@ def test_labels_do_not_come_round(spark, sf, tmp_path):
 
 def test_copy_evidence_of_large_ids(spark, sf, tmp_path):
     same(spark, grown(sf, tmp_path, 3, part=("p_partkey", 500_000)), "copy_evidence")
+
+
+def test_owner_texts_are_not_broadcast(spark, sf):
+    """Edits read from a small file grow to 2,000 characters each; refused texts do not reach the join."""
+    plan = QUERIES["owner_edits"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
