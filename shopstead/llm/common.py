@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from ..sources.tables import small_batches
+
 #: Words as every operator here counts them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text (in characters) that one packed-shuffle bucket should stand for.
@@ -65,19 +67,6 @@ def dropped(*dfs: DataFrame) -> None:
             _delete(spark, folder)
 
 
-#: Rows and bytes of an Arrow batch at most: a batch is in memory on both sides at once, and texts run to megabytes.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Keeps the session's Arrow batches at BATCH_ROWS rows and some BATCH_BYTES bytes or fewer."""
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{name}"
-        have = spark.conf.get(name).rstrip("bB")
-        if not (have.isdigit() and 0 < int(have) <= most):
-            spark.conf.set(name, str(most))
-
-
 @lru_cache(1)
 def _libc():
     """The C library, told to give freed arrays of 8 MB or more back to the system (mallopt's fixed numbers: -3 is the

@@ -5,6 +5,8 @@ import os
 import duckdb
 from test_queries import QUERIES, SQL, rows
 
+from shopstead.operators import extract
+
 
 def grown(sf, folder, times, **keys):
     """Copies of the tables in sf: those named by keys (table = (column, shift)) `times` over with shifted keys."""
@@ -38,3 +40,12 @@ def test_owner_texts_are_not_broadcast(spark, sf):
     """Edits read from a small file grow to 2,000 characters each; refused texts do not reach the join."""
     plan = QUERIES["owner_edits"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(extract, "PAGES", 3)
+    pages = spark.range(10).selectExpr("id AS page_id", "'https://a.example/' AS url", "concat('<title>t', id, '</title>') AS html").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    got = extract.extract(pages).select("page_id", "page.title").collect()
+    assert sorted((r.page_id, r.title) for r in got) == [(i, f"t{i}") for i in range(10)]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
