@@ -55,6 +55,16 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+#: Rows that a task of a narrow pass with much work a row should get.
+SPREAD = 5000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to a task for each SPREAD rows. Columns compress to a few bytes a row, so a file of a million rows is
+    one or two tasks as it is read; this is for tables whose rows are small and are then worked on at length."""
+    return df.repartition(max(1, -(-df.count() // SPREAD)))
+
+
 def append_table(df: DataFrame, root: str, name: str, partition_by: str | None = "business_id") -> None:
     """Appends rows, a folder a tenant."""
     writer = df.write.mode("append")

@@ -6,6 +6,7 @@ import duckdb
 from test_queries import QUERIES, SQL, rows
 
 from shopstead.operators import extract
+from shopstead.sources import tables
 
 
 def grown(sf, folder, times, **keys):
@@ -42,6 +43,12 @@ def test_owner_texts_are_not_broadcast(spark, sf):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_small_rows_are_spread(spark, sf, monkeypatch):
+    """A pass with much work a row has a task for each SPREAD rows, not for each split of the file."""
+    monkeypatch.setattr(tables, "SPREAD", 20)
+    assert QUERIES["page_markup"](spark, sf).rdd.getNumPartitions() == 10
+
+
 def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(extract, "PAGES", 3)
     pages = spark.range(10).selectExpr("id AS page_id", "'https://a.example/' AS url", "concat('<title>t', id, '</title>') AS html").coalesce(1)
