@@ -88,30 +88,41 @@ def parse_sitemap(files: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
     """(site, base, xml, and the file's url where there is one) -> (site, sitemap, n, url, lastmod, priority, is_index): the
     first entries of each file that lie on the same site, normalised, in order; tolerant of broken XML. A file with both
     kinds of entries is no index."""
+    return _own(_entries(files, most))
+
+
+def _own(entries: DataFrame) -> DataFrame:
+    return entries.where(F.col("url").isNotNull() & urls.same_site(F.col("url"), F.col("base"))).drop("base")
+
+
+def _entries(files: DataFrame, most: int | None) -> DataFrame:
+    """What parse_sitemap finds before foreign addresses are left out, with the file's base."""
     index = F.col("xml").rlike(r"(?i)<sitemap\b") & ~F.col("xml").rlike(r"(?i)<url\b")
     blocks = F.when(index, F.regexp_extract_all("xml", F.lit(r"(?is)<sitemap\b[^>]*>(.*?)</sitemap>"), F.lit(1))).otherwise(F.regexp_extract_all("xml", F.lit(r"(?is)<url\b[^>]*>(.*?)</url>"), F.lit(1)))
     name = F.col("url") if "url" in files.columns else F.lit(None).cast("string")
-    rows = files.select("site", "base", name.alias("sitemap"), index.alias("is_index"), F.posexplode(F.slice(blocks, 1, most)).alias("n", "block"))
+    # blocks are a column before they are exploded: an entry does not carry its file along
+    cut = files.select("site", "base", name.alias("sitemap"), index.alias("is_index"), (blocks if most is None else F.slice(blocks, 1, most)).alias("blocks"))
+    rows = cut.select("site", "base", "sitemap", "is_index", F.posexplode("blocks").alias("n", "block")).repartition("site", "sitemap", "n")
     tag = lambda t: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("block", rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1), r"(?s)<!\[CDATA\[|\]\]>", "")), F.lit(""))
     loc = F.replace(tag("loc"), F.lit("&amp;"), F.lit("&"))
-    near = F.when(loc.rlike("(?i)^https?://"), loc).otherwise(urls.resolve(loc, F.col("base")))
-    priority = tag("priority").try_cast("double")
-    found = rows.select("site", "base", "sitemap", "n", "is_index", urls.normalise(near).alias("url"), tag("lastmod").try_cast("timestamp").alias("lastmod"), F.when(priority.between(0, 1), priority).alias("priority"))
-    return found.where(F.col("url").isNotNull() & urls.same_site(F.col("url"), F.col("base"))).drop("base")
+    # each a column of its own, since the next one reads it many times
+    rows = rows.withColumns({"loc": loc, "priority": tag("priority").try_cast("double")})
+    rows = rows.withColumn("near", F.when(F.col("loc").rlike("(?i)^https?://"), F.col("loc")).otherwise(urls.resolve(F.col("loc"), F.col("base"))))
+    return rows.select("site", "base", "sitemap", "n", "is_index", urls.normalise(F.col("near")).alias("url"), tag("lastmod").try_cast("timestamp").alias("lastmod"), F.when(F.col("priority").between(0, 1), F.col("priority")).alias("priority"))
 
 
-def nested_sitemaps(starts: DataFrame, files: DataFrame, most_pages: int = 200) -> DataFrame:
+def nested_sitemaps(starts: DataFrame, files: DataFrame, most_pages: int = 200, most_entries: int | None = MOST_ENTRIES) -> DataFrame:
     """(site, url, sitemap, place, rank, lastmod, priority): the addresses that a site's sitemaps list, each where it is
     listed first; place is the number of its sitemap in the order of visits, rank its place within it by prioritise().
 
     starts (site, origin, seq, url) name the first sitemaps of a site, of which five count; files (site, base, url, xml) are
     what is stored. Indexes queue their first ten sitemaps behind those that wait. A site visits ten different
     sitemaps, unsafe, foreign and missing ones included, so cycles end, and opens none once it has three times
-    most_pages addresses. A round visits all sitemaps of one depth; ten rounds are the most there can be. Between rounds
-    there are ten rows a site at most, written by checkpoint().
+    most_pages addresses. Of a file most_entries count, all where it is None. A round visits all sitemaps of one depth; ten rounds are the most there can be. Between rounds
+    there are ten rows a site at most, written by checkpoint(), as are the entries of all files, which every round reads.
     """
-    entries = parse_sitemap(files)
     folder(files.sparkSession)
+    entries = _own(_entries(files, most_entries).checkpoint())
     sizes = entries.groupBy("site", F.col("sitemap").alias("url")).agg(F.count("*").alias("n"), F.max("is_index").alias("is_index"))
     nested = entries.where("is_index").withColumn("k", F.row_number().over(Window.partitionBy("site", "sitemap").orderBy("n"))).where(F.col("k") <= NESTED).select("site", "sitemap", F.col("url").alias("child"), "k")
     queue = starts.withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy("seq"))).where(F.col("k") <= FIRST_SITEMAPS).select("site", "origin", "url", F.lit(0).alias("parent"), "k")

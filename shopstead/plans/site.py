@@ -164,7 +164,7 @@ def sitemap_walk(spark, sf_dir):
     sites = part.selectExpr("p_size AS site", f"{_SITE} AS base").distinct()
     others = sites.select("site", "base", F.explode(F.array(*[F.struct(F.expr(u).alias("url"), F.expr(x).alias("xml")) for u, x in _INDEXES.items()])).alias("f")).select("site", "base", "f.*").where("xml is not null")
     starts = sites.selectExpr("site", "base AS origin", "0 AS seq", "concat(base, '/sitemap.xml') AS url")
-    got = crawl.nested_sitemaps(starts, sets.unionByName(others), most_pages=15)
+    got = crawl.nested_sitemaps(starts, sets.unionByName(others), most_pages=15, most_entries=None)
     return got.select("site", "url", "sitemap", F.col("place").cast("long").alias("place"), F.col("rank").cast("long").alias("rank"))
 
 

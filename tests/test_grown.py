@@ -5,7 +5,7 @@ import os
 import duckdb
 from test_queries import QUERIES, SQL, rows
 
-from shopstead.operators import extract
+from shopstead.operators import crawl, extract
 from shopstead.sources import tables
 
 
@@ -43,6 +43,12 @@ def test_owner_texts_are_not_broadcast(spark, sf):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_sitemap_entries_leave_their_file(spark):
+    files = spark.createDataFrame([(1, "https://a.example", "https://a.example/s.xml", "<urlset><url><loc>/p</loc></url></urlset>")], "site int, base string, url string, xml string")
+    plan = crawl.parse_sitemap(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xml#" not in plan[: plan.index("Generate")]
+
+
 def test_small_rows_are_spread(spark, sf, monkeypatch):
     """A pass with much work a row has a task for each SPREAD rows, not for each split of the file."""
     monkeypatch.setattr(tables, "SPREAD", 20)
