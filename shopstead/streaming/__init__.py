@@ -64,27 +64,42 @@ def _in_time_order(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pending = _sorted([pending[stop:], *more])
 
 
+#: Buckets of keys. A call into Python and its questions to the state store cost milliseconds, so keys are not groups of
+#: their own: a bucket is, and its state is read and written once a batch. Fixed for as long as a checkpoint lives.
+BUCKETS = 4096
+
+
+def _bucketed(events: DataFrame, key: str) -> DataFrame:
+    """Events by bucket of their key, with the key as text under `key_text`."""
+    return events.withColumns({"key_text": F.col(key).cast("string"), "key_bucket": F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS))})
+
+
+def _micros(times: pd.Series) -> pd.Series:
+    return (times if times.dt.tz is None else times.dt.tz_convert("UTC").dt.tz_localize(None)).astype("datetime64[us]").astype("int64")
+
+
 class _Suppressor(StatefulProcessor):
-    """Keeps the time of the last event let through for each key; rows of a batch are taken in time order."""
+    """Keeps the time of the last event let through for each key of a bucket; rows of a batch are taken in time order."""
 
-    def __init__(self, seconds: int):
-        self.seconds = seconds
+    def __init__(self, seconds: int, columns: list[str]):
+        self.micros, self.columns = seconds * 1_000_000, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "micros long")
+        self.last = handle.getValueState("last", "keys array<string>, micros array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = self.last.get()[0] if self.last.exists() else None
+        kept = dict(zip(*(self.last.get() or ((), ()))))
         for part in _in_time_order(rows):
             keep = []
-            for at in part["ts"].astype("datetime64[us]").astype("int64"):
-                ok = kept is None or at - kept > self.seconds * 1_000_000
-                kept = at if ok else kept
+            for k, at in zip(part["key_text"], _micros(part["ts"])):
+                ok = k not in kept or at - kept[k] > self.micros
+                if ok:
+                    kept[k] = at
                 keep.append(ok)
             if any(keep):
-                yield part[keep]
-        if kept is not None:
-            self.last.update((int(kept),))
+                yield part.loc[keep, self.columns]
+        if kept:
+            self.last.update((list(kept), list(kept.values())))
 
     def close(self) -> None:
         pass
@@ -93,7 +108,8 @@ class _Suppressor(StatefulProcessor):
 def suppress_duplicates(events: DataFrame, key: str, seconds: int) -> DataFrame:
     """Events (id, key, ts) without those within `seconds` of the last one kept of their key; state is one timestamp a
     key. Needs the RocksDB state store."""
-    return events.groupBy(key).transformWithStateInPandas(_Suppressor(seconds), outputStructType=events.schema, outputMode="Append", timeMode="None")
+    by_bucket = _bucketed(events, key).groupBy("key_bucket")
+    return by_bucket.transformWithStateInPandas(_Suppressor(seconds, events.columns), outputStructType=events.schema, outputMode="Append", timeMode="None")
 
 
 class _Flight(StatefulProcessor):

@@ -96,6 +96,36 @@ def test_suppression_takes_keys_in_pieces(monkeypatch):
     assert got["id"].tolist() == every.sort_values(["ts", "id"])["id"].tolist()
 
 
+def in_batches(spark, folder, rows, schema, size):
+    """A stream of rows, `size` a batch, in the order given."""
+    for i in range(0, len(rows), size):
+        spark.createDataFrame(rows[i : i + size], schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def drained(live, folder):
+    """The rows of a drained stream, and the rows of its state after the last batch."""
+    live.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    q = live.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return live.sparkSession.read.schema(live.schema).parquet(f"{folder}/out").collect(), q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_suppression_state_is_by_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming, "BUCKETS", 3)
+    rng, base = random.Random(8), dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice([None, *(f"k{j}" for j in range(30))]), base + dt.timedelta(seconds=20 * i + rng.randrange(20))) for i in range(240)]
+    want, last = [], {}
+    for i, k, t in rows:
+        if k not in last or (t - last[k]).total_seconds() > 900:
+            last[k] = t
+            want.append(i)
+    live = in_batches(spark, str(tmp_path / "in"), rows, "id long, key string, ts timestamp_ntz", 80)
+    got, state = drained(streaming.suppress_duplicates(live, "key", 900), tmp_path)
+    assert sorted(map(tuple, got)) == [rows[i] for i in want] and len(want) < 200
+    assert state <= 3
+
+
 def test_versions(spark):
     s = "website_id int, product_url string, name string, description string, price_cents long, compare_price_cents long, currency string, availability string, sku string"
     old = spark.createDataFrame([(1, "/a", "A", None, 100, None, "USD", "IN_STOCK", None), (1, "/b", "B", None, 100, None, "USD", "IN_STOCK", None), (1, "/c", "C", None, 1, None, "USD", "IN_STOCK", None)], s)
