@@ -113,47 +113,66 @@ def suppress_duplicates(events: DataFrame, key: str, seconds: int) -> DataFrame:
 
 
 class _Flight(StatefulProcessor):
-    """Keeps the request in flight of each key and when its lease ends; a timer at that time clears both."""
+    """Keeps the request in flight of each key of a bucket and when it began; a timer at the end of the bucket's first lease
+    clears those that have lapsed."""
 
     def __init__(self, seconds: int):
         self.lease = seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.flight = handle, handle.getValueState("flight", "id long, micros long")
+        self.handle, self.flights = handle, handle.getValueState("flights", "keys array<string>, ids array<long>, micros array<long>, timer long")
+
+    def _stored(self) -> tuple[dict, int | None]:
+        keys, ids, micros, timer = self.flights.get() or ((), (), (), None)
+        return dict(zip(keys, zip(ids, micros))), timer
+
+    def _store(self, flights: dict, timer: int | None) -> None:
+        """Writes the flights of the bucket and moves its timer, which stood at `timer`, to their first end."""
+        first = min((began + self.lease) // 1000 for _, began in flights.values()) if flights else None
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is None:
+            self.flights.clear()
+            return
+        if timer != first:
+            self.handle.registerTimer(first)
+        self.flights.update((list(flights), [i for i, _ in flights.values()], [began for _, began in flights.values()], first))
 
-    def _lapsed(self, key, flight) -> tuple:
-        return flight[0], key[0], pd.Timestamp(flight[1] + self.lease, unit="us", tz="UTC"), "lapsed"
+    @staticmethod
+    def _told(rows: list[tuple]) -> pd.DataFrame:
+        told = pd.DataFrame(rows, columns=["id", "key", "at", "verdict"])
+        return told.assign(at=pd.to_datetime(told["at"], unit="us", utc=True))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = now = tuple(self.flight.get()) if self.flight.exists() else None
+        flights, timer = self._stored()
+        before = dict(flights)
         for part in _in_time_order(rows):
             told = []
-            for i, at, finished in zip(part["id"], part["ts"].dt.tz_localize(None).astype("datetime64[us]").astype("int64"), part["finished"]):
+            for i, k, at, finished in zip(part["id"], part["key_text"], _micros(part["ts"]), part["finished"]):
+                now = flights.get(k)
                 if now is not None and at >= now[1] + self.lease:
-                    told.append(self._lapsed(key, now))
+                    told.append((now[0], k, now[1] + self.lease, "lapsed"))
                     now = None
+                    del flights[k]
                 if finished:
-                    now = None
+                    flights.pop(k, None)
                 elif now is None:
-                    now = (int(i), int(at))
-                    told.append((now[0], key[0], pd.Timestamp(now[1], unit="us", tz="UTC"), "accepted"))
+                    flights[k] = (int(i), at)
+                    told.append((int(i), k, at, "accepted"))
             if told:
-                yield pd.DataFrame(told, columns=["id", "key", "at", "verdict"])
-        if now == before:
-            return
-        if before is not None:
-            self.handle.deleteTimer((before[1] + self.lease) // 1000)
-        if now is None:
-            self.flight.clear()
-        else:
-            self.flight.update(now)
-            self.handle.registerTimer((now[1] + self.lease) // 1000)
+                yield self._told(told)
+        if flights != before:
+            self._store(flights, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.flight.exists():
-            flight = tuple(self.flight.get())
-            self.flight.clear()
-            yield pd.DataFrame([self._lapsed(key, flight)], columns=["id", "key", "at", "verdict"])
+        """One timer stands for all leases of the bucket that the watermark has passed."""
+        flights, timer = self._stored()
+        expired, mark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        ended = {k: (i, began + self.lease) for k, (i, began) in flights.items() if (end := (began + self.lease) // 1000) <= expired or end < mark}
+        # the timer that has expired is cleared by Spark
+        self._store({k: f for k, f in flights.items() if k not in ended}, None if timer == expired else timer)
+        if ended:
+            yield self._told([(i, k, at, "lapsed") for k, (i, at) in ended.items()])
 
     def close(self) -> None:
         pass
@@ -165,10 +184,11 @@ def single_flight(events: DataFrame, lease: int, late: str = "1 hour") -> DataFr
     A request of a key is accepted unless one is in flight already, which it then joins. An event with `finished` ends
     the key's flight; so does its lease, `lease` seconds after it began, which is told as lapsed. Events of one batch
     count in time order. Rows older than the watermark are left out before they get here. State is one request a key,
-    and an event-time timer clears it, so keys that fall silent leave nothing behind. Needs the RocksDB state store.
+    and event-time timers clear it, so keys that fall silent leave nothing behind. Needs the RocksDB state store.
     """
     timed = events.select("id", "key", F.col("ts").cast("timestamp").alias("ts"), "finished").withWatermark("ts", late)
-    return timed.groupBy("key").transformWithStateInPandas(_Flight(lease), outputStructType="id long, key string, at timestamp, verdict string", outputMode="Append", timeMode="EventTime")
+    by_bucket = _bucketed(timed, "key").groupBy("key_bucket")
+    return by_bucket.transformWithStateInPandas(_Flight(lease), outputStructType="id long, key string, at timestamp, verdict string", outputMode="Append", timeMode="EventTime")
 
 
 def drain(df: DataFrame, name: str, checkpoint: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -126,6 +126,28 @@ def test_suppression_state_is_by_bucket(spark, tmp_path, monkeypatch):
     assert state <= 3
 
 
+def test_flights_are_kept_by_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming, "BUCKETS", 3)
+    rng, base = random.Random(12), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [(i, rng.choice([None, *(f"k{j}" for j in range(30))]), base + dt.timedelta(seconds=60 * i + rng.randrange(60)), rng.random() < 0.2) for i in range(240)]
+    want, flights, lease = [], {}, dt.timedelta(seconds=3000)
+    for i, k, t, finished in rows:
+        if k in flights and t >= flights[k][1] + lease:
+            want.append((flights[k][0], k, flights[k][1] + lease, "lapsed"))
+            del flights[k]
+        if finished:
+            flights.pop(k, None)
+        elif k not in flights:
+            flights[k] = (i, t)
+            want.append((i, k, t, "accepted"))
+    mark = rows[-1][2] - dt.timedelta(seconds=600)
+    want += [(i, k, t + lease, "lapsed") for k, (i, t) in flights.items() if t + lease < mark]
+    live = in_batches(spark, str(tmp_path / "in"), rows, "id long, key string, ts timestamp, finished boolean", 80)
+    got, state = drained(streaming.single_flight(live, 3000, "10 minutes").selectExpr("id", "key", "unix_micros(at) AS at", "verdict"), tmp_path)
+    assert sorted((x.id, x.key or "", x.at, x.verdict) for x in got) == sorted((i, k or "", (t - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1), v) for i, k, t, v in want)
+    assert {x[3] for x in want} == {"accepted", "lapsed"} and any(t + lease >= mark for _, t in flights.values()) and state <= 9  # flights and timers by key, by time
+
+
 def test_versions(spark):
     s = "website_id int, product_url string, name string, description string, price_cents long, compare_price_cents long, currency string, availability string, sku string"
     old = spark.createDataFrame([(1, "/a", "A", None, 100, None, "USD", "IN_STOCK", None), (1, "/b", "B", None, 100, None, "USD", "IN_STOCK", None), (1, "/c", "C", None, 1, None, "USD", "IN_STOCK", None)], s)
