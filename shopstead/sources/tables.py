@@ -59,10 +59,10 @@ def small_batches(spark: SparkSession) -> None:
 SPREAD = 5000
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt out to a task for each SPREAD rows. Columns compress to a few bytes a row, so a file of a million rows is
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df dealt out to a task for each `rows` rows (SPREAD of them by default). Columns compress to a few bytes a row, so a file of a million rows is
     one or two tasks as it is read; this is for tables whose rows are small and are then worked on at length."""
-    return df.repartition(max(1, -(-df.count() // SPREAD)))
+    return df.repartition(max(1, -(-df.count() // (rows or SPREAD))))
 
 
 def append_table(df: DataFrame, root: str, name: str, partition_by: str | None = "business_id") -> None:

@@ -5,7 +5,7 @@ import os
 import duckdb
 from test_queries import QUERIES, SQL, rows
 
-from shopstead.operators import crawl, extract
+from shopstead.operators import crawl, extract, redirects
 from shopstead.sources import tables
 
 
@@ -55,6 +55,15 @@ def test_small_rows_are_spread(spark, sf, monkeypatch):
     assert QUERIES["page_markup"](spark, sf).rdd.getNumPartitions() == 10
 
 
+def test_redirects_are_spread(spark, monkeypatch):
+    """Addresses are parsed and gated in a task for each SPREAD rows, after they are dealt out."""
+    monkeypatch.setattr(redirects, "SPREAD", 20, raising=False)
+    stored = spark.range(200).coalesce(1).selectExpr("concat('https://a.example/', id) AS url", "301 AS status", "concat('/', id + 1) AS location")
+    plan = redirects.steps(stored)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.rindex("ArrowEvalPython") < plan.find("RoundRobinPartitioning(10)")
+    assert "regexp_extract" not in plan[plan.index("RoundRobinPartitioning(10)") :]
+
+
 def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(extract, "PAGES", 3)
     pages = spark.range(10).selectExpr("id AS page_id", "'https://a.example/' AS url", "concat('<title>t', id, '</title>') AS html").coalesce(1)
