@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from .common import BLOBS, blob_batch, bucket_records, chunks_of, dealt, dropped, mapped, marked, mix64, n_buckets, packed, pieces, stored, unpacked_chunks
 from .components import components
 from .rolling import Rolling, code_points, lower_ascii, words_of
-from .sigtree import Block, links
+from .sigtree import Block, links, overlap
 
 #: Set elements that one side of a block may hold (8 bytes each); larger groups are cut into blocks.
 BLOCK = 500_000
 #: Sets whose elements are dealt out together: a blob numbers them by 16 bits.
 DEALT = 20_000
+#: Bytes of items that are read together; small pieces of work are read several at a time.
+READ = 250_000
 _CHARS = 16_000_000
 
 
@@ -271,33 +273,56 @@ def _solved(placed: DataFrame, num: int, den: int, read) -> DataFrame:
     with each other where one is two, else those of one side with those of the other."""
 
     def run(batches):
-        def solve(key, rows):
+        def solve(key, rows, sets):
+            large = LARGE <= key[1] < REST
+            if len(rows) == 2:
+                (_, a, _), (_, b, _) = rows
+                n, common = len(sets[0]) + len(sets[1]), 0
+                if den * min(map(len, sets)) >= num * max(map(len, sets)):
+                    common = overlap(*sets)
+                return [(a, b, large)] if den * common >= num * (n - common) else []
             sides = {}
-            for side, i, items in rows:
+            for (side, i, _), s in zip(rows, sets):
                 ids, kept = sides.setdefault(side, ([], []))
                 ids.append(i)
-                kept.append(items)
-            if len(sides) != (1 if key[1] == key[2] else 2):
-                return []
-            blocks = [Block(ids, read(kept)) for ids, kept in sides.values()]
-            return [(a, b, LARGE <= key[1] < REST) for a, b in links(blocks[0], blocks[-1], num, den)]
+                kept.append(s)
+            blocks = [Block(*x) for x in sides.values()]
+            return [(a, b, large) for a, b in links(blocks[0], blocks[-1], num, den)]
+
+        def solved(pieces):
+            sets = read([items for _, rows in pieces for _, _, items in rows])
+            at = 0
+            for key, rows in pieces:
+                yield from solve(key, rows, sets[at : at + len(rows)])
+                at += len(rows)
 
         def batch_of(found):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "large"])
 
-        now, held, out = None, [], []
+        now, held, ready, size, out = None, [], [], 0, []
+
+        def whole():
+            """Whether the piece at hand has something to compare."""
+            return len(held) > 1 and len({side for side, _, _ in held}) == (1 if now[1] == now[2] else 2)
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != now:
-                    if len(held) > 1:
-                        out += solve(now, held)
+                    if whole():
+                        ready.append((now, held))
+                        size += sum(len(items) for _, _, items in held)
+                        if size >= READ:
+                            out += solved(ready)
+                            ready, size = [], 0
                     now, held = row[:3], []
                 held.append(row[3:])
             if len(out) > 10_000:
                 yield batch_of(out)
                 out = []
-        if len(held) > 1:
-            out += solve(now, held)
+        if whole():
+            ready.append((now, held))
+        if ready:
+            out += solved(ready)
         if out:
             yield batch_of(out)
 

@@ -69,14 +69,17 @@ def band_keys(lines: Lines, which: np.ndarray) -> np.ndarray:
     """A key for each band of each of the chosen lines."""
     grams = np.r_[shingles(lines), np.zeros(SHINGLE + 1, np.uint32)]
     ranges = np.c_[lines.start[which], lines.end[which] - SHINGLE + 1].ravel()
-    out = np.zeros((len(which), BANDS), np.uint64)
+    least = np.empty((BANDS, ROWS, len(which)), np.uint32)
     spare = np.empty_like(grams)
     for k in range(BANDS * ROWS):
         np.bitwise_xor(grams, _XOR[k], out=spare)
         np.multiply(spare, _MUL[k], out=spare)
-        least = np.minimum.reduceat(spare, ranges)[::2].astype(np.uint64)
-        out[:, k // ROWS] = mix64(out[:, k // ROWS] ^ (least + np.uint64((k + 1) << 32)))
-    return out
+        least[k // ROWS, k % ROWS] = np.minimum.reduceat(spare, ranges)[::2]
+    out = np.zeros((BANDS, len(which)), np.uint64)
+    for r in range(ROWS):
+        place = (np.arange(r, BANDS * ROWS, ROWS, dtype=np.uint64) + np.uint64(1)) << np.uint64(32)
+        out = mix64(out ^ (least[:, r] + place[:, None]))
+    return np.ascontiguousarray(out.T)
 
 
 #: What the survey finds. FIRST: the first place of a line (key, doc_id, mark, line). REPEAT: a place that an equal line
@@ -197,7 +200,13 @@ def _shingle_sets(items: list[bytes]) -> list[np.ndarray]:
     for a, b in pieces(items):
         codes, starts = code_points([x.decode("utf-8", "surrogatepass") for x in items[a:b]])
         grams = Rolling(codes).grams(SHINGLE)
-        out += [np.unique(grams[s : e - SHINGLE + 1]) for s, e in zip(starts[:-1], starts[1:])]
+        for s, e in zip(starts[:-1].tolist(), (starts[1:] - SHINGLE + 1).tolist()):
+            part = grams[s:e]
+            part.sort()
+            new = np.empty(len(part), bool)
+            new[:1] = True
+            np.not_equal(part[1:], part[:-1], out=new[1:])
+            out.append(part[new])
     return out
 
 

@@ -51,12 +51,9 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
 
 
-_SPACE = np.zeros(33, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
 def is_space(codes: np.ndarray) -> np.ndarray:
-    return (codes <= 32) & _SPACE[np.minimum(codes, 32)]
+    """Tab to carriage return, and space; unsigned differences wrap around."""
+    return (codes - np.uint32(9) <= 4) | (codes == 32)
 
 
 def words_of(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,4 +71,4 @@ def words_of(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def lower_ascii(codes: np.ndarray) -> np.ndarray:
-    return np.where((codes >= 65) & (codes <= 90), codes + np.uint32(32), codes)
+    return codes | (codes - np.uint32(65) <= 25).astype(np.uint32) << np.uint32(5)  # capitals lack that bit

@@ -46,9 +46,17 @@ class Block:
         self.sets = [sets[i] for i in order]
         self.sizes = sizes[order]
         self.sig = signatures(self.sets)
+        self.bits = np.bitwise_count(self.sig).sum(axis=1, dtype=np.int64)
         self.root = Node(self.sig, self.sizes, 0, len(ids))
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted sets have in common."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")  # merges the two runs
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def apart(a: Node, b: Node, num: int, den: int) -> bool:
     """Whether no set of a and set of b can reach the ratio, by sizes and by elements that the other side lacks."""
     if den * a.most < num * b.least or den * b.most < num * a.least:
@@ -77,18 +85,17 @@ def links(x: Block, y: Block, num: int, den: int):
             else:
                 stack += [(a, k) for k in b.kids]
             continue
-        for i in range(a.lo, a.hi):
-            lo = max(b.lo, i + 1) if same else b.lo
-            if lo >= b.hi:
+        common = x.sig[a.lo : a.hi].T[:, :, None] & y.sig[b.lo : b.hi].T[:, None, :]
+        common = np.bitwise_count(common).sum(axis=0, dtype=np.int64)
+        di, dj = x.bits[a.lo : a.hi, None] - common, y.bits[b.lo : b.hi] - common
+        near = (den * di + num * dj <= (den - num) * x.sizes[a.lo : a.hi, None]) & (den * dj + num * di <= (den - num) * y.sizes[b.lo : b.hi])
+        if same and a is b:
+            near = np.triu(near, 1)
+        for i, j in zip(*(at.tolist() for at in np.nonzero(near))):
+            i, j = a.lo + i, b.lo + j
+            if forest.find(i) == forest.find(shift + j):
                 continue
-            sig = y.sig[lo:b.hi]
-            di = np.bitwise_count(x.sig[i] & ~sig).sum(axis=1, dtype=np.int64)
-            dj = np.bitwise_count(sig & ~x.sig[i]).sum(axis=1, dtype=np.int64)
-            near = (den * di + num * dj <= (den - num) * x.sizes[i]) & (den * dj + num * di <= (den - num) * y.sizes[lo:b.hi])
-            for j in np.flatnonzero(near) + lo:
-                if forest.find(i) == forest.find(shift + int(j)):
-                    continue
-                common = len(np.intersect1d(x.sets[i], y.sets[j], assume_unique=True))
-                if den * common >= num * (int(x.sizes[i]) + int(y.sizes[j]) - common):
-                    forest.union(i, shift + int(j))
-                    yield x.ids[i], y.ids[j]
+            common = overlap(x.sets[i], y.sets[j])
+            if den * common >= num * (int(x.sizes[i]) + int(y.sizes[j]) - common):
+                forest.union(i, shift + j)
+                yield x.ids[i], y.ids[j]

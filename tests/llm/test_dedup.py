@@ -356,3 +356,32 @@ def test_chained_lines_are_compared_by_bands(spark, monkeypatch):
     got = {r.doc_id: r.n_dropped for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: 20 if i == 100 else 0 for i in range(101)}
     assert seen[0] <= 100
+
+
+def test_small_groups_are_read_together(spark, tmp_path):
+    """A thousand pairs, a triple and a group of forty are read some hundred at a time, and link as all pairs do."""
+    rng = np.random.default_rng(7)
+    rows, rivals, groups = [], [], [2] * 1000 + [3, 40]
+    for g, k in enumerate(groups):
+        base = rng.integers(0, 1 << 62, 40, np.uint64)
+        for _ in range(k):
+            s = base[: 40 - int(rng.integers(0, 10))].copy()
+            s[0] = rng.integers(0, 1 << 62)
+            rows.append((len(rows), len(s), bytearray(np.sort(s).tobytes())))
+            rivals.append((rows[-1][0], g))
+    log = str(tmp_path / "reads")
+
+    def read(items):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return [np.frombuffer(x, np.uint64) for x in items]
+
+    sets = spark.createDataFrame(rows, "doc_id long, n long, items binary")
+    found = jaccard.tree_links(sets, spark.createDataFrame(rivals, "id long, component long"), 80, read=read).collect()
+    plain = [set(np.frombuffer(x, np.uint64).tolist()) for _, _, x in rows]
+    of = np.array([g for _, g in rivals])
+    want = [(a, b) for g in range(len(groups)) for ids in [np.flatnonzero(of == g).tolist()] for b in ids for a in ids if a < b and 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b])]
+    assert 100 < len(want) and {2 * g for g in range(1000)} - {a for a, _ in want}
+    assert roots(len(rows), [(r.a, r.b) for r in found]) == roots(len(rows), want)
+    with open(log) as f:
+        assert len(f.readlines()) < 100
