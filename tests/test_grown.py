@@ -1,5 +1,6 @@
 """Registered queries on tables grown by repeating them with shifted keys: the keys and groups of larger inputs."""
 
+import hashlib
 import os
 
 import duckdb
@@ -37,6 +38,27 @@ def test_copy_evidence_of_large_ids(spark, sf, tmp_path):
     same(spark, grown(sf, tmp_path, 3, part=("p_partkey", 500_000)), "copy_evidence")
 
 
+def test_copy_evidence_of_all_products_and_events(spark, sf, tmp_path):
+    """Beside its SQL: every product has a row, whatever its id, with the facts of every event."""
+    folder = grown(sf, tmp_path, 3, part=("p_partkey", 500_000))
+    facts = {}
+    for event, user, kind in duckdb.sql(f"SELECT event_id, user_id, event_type FROM '{folder}/events.parquet'").fetchall():
+        facts.setdefault(user % 200, []).append((kind, f"v{event % 37}"))
+    said = lambda i: "\n".join(v for _, v in sorted(facts.get(i, [])))
+    want = [(i, hashlib.md5(f"{name}\n\n{said(i)}\n{'' if i % 5 else 'As seen'}".encode()).hexdigest()) for i, name in duckdb.sql(f"SELECT p_partkey, p_name FROM '{folder}/part.parquet'").fetchall()]
+    assert len(want) == 600 and sorted(tuple(r) for r in QUERIES["copy_evidence"](spark, folder).select("id", "words_md5").collect()) == sorted(want)
+
+
+def test_copy_evidence_of_missing_ids(spark, sf, tmp_path):
+    for f in os.listdir(sf):
+        missing = {"part": "p_partkey", "events": "event_id"}.get(f.removesuffix(".parquet"))
+        if missing:
+            duckdb.sql(f"COPY (SELECT * REPLACE (nullif({missing}, 7) AS {missing}) FROM '{sf}/{f}') TO '{tmp_path}/{f}' (FORMAT parquet)")
+        else:
+            os.symlink(f"{sf}/{f}", f"{tmp_path}/{f}")
+    same(spark, str(tmp_path), "copy_evidence")
+
+
 def test_owner_texts_are_not_broadcast(spark, sf):
     """Edits read from a small file grow to 2,000 characters each; refused texts do not reach the join."""
     plan = QUERIES["owner_edits"](spark, sf)._jdf.queryExecution().executedPlan().toString()
