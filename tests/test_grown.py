@@ -34,6 +34,16 @@ def test_labels_do_not_come_round(spark, sf, tmp_path):
     same(spark, grown(sf, tmp_path, 100, part=("p_partkey", 200)), "labelled_copy")
 
 
+def test_labels_of_all_variants(spark, tmp_path):
+    """An ad's accepted variants are all labelled: past Z, past the halves of pairs, past 65,536."""
+    duckdb.sql(f"COPY (SELECT k * 40 + 1 AS p_partkey, 'plain' AS p_name FROM range(122500) t(k)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    ids = [i for i in range(1, 122500 * 40, 40) if i % 3 and i % 7]
+    unit = lambda n: (65 + n) % 65536
+    want = [(i, 1, "\ufffd" if 0xD800 <= unit(n) <= 0xDFFF else chr(unit(n))) for n, i in enumerate(ids)]
+    assert len(want) == 70000 and sorted(tuple(r) for r in QUERIES["labelled_copy"](spark, str(tmp_path)).select("id", "ad", "label").collect()) == want
+    same(spark, str(tmp_path), "labelled_copy")
+
+
 def test_copy_evidence_of_large_ids(spark, sf, tmp_path):
     same(spark, grown(sf, tmp_path, 3, part=("p_partkey", 500_000)), "copy_evidence")
 
